@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, mixing, sharding
+from . import fingerprints, licenses, mixing, packing, sharding, substrings
 
 
 def queries() -> dict:
     return {
         "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
+        "op2_substring_dedup": substrings.op2_substring_dedup,
+        "op3_binary_packing": packing.op3_binary_packing,
         "op5_license_scan": licenses.op5_license_scan,
         "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
