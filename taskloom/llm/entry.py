@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, mixing, packing, sharding, substrings
+from . import fingerprints, lattice, licenses, minhash, mixing, packing, sharding, substrings
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
         "op2_substring_dedup": substrings.op2_substring_dedup,
         "op3_binary_packing": packing.op3_binary_packing,
+        "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
         "op5_license_scan": licenses.op5_license_scan,
+        "op6_lattice_near_dedup": lattice.op6_lattice_near_dedup,
         "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
     }
