@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lattice, licenses, minhash, mixing, packing, sharding, substrings
+from . import fingerprints, lattice, licenses, minhash, mixing, packing, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -14,7 +14,9 @@ def queries() -> dict:
         "op5_license_scan": licenses.op5_license_scan,
         "op6_lattice_near_dedup": lattice.op6_lattice_near_dedup,
         "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
+        "op10_quality_cotraining": quality.op10_quality_cotraining,
     }
 
 

@@ -41,32 +41,35 @@ def text_slices(col: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray
         i = j
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(a 64-bit hash of each word in order, offsets of the rows among the words). lower: A-Z count as a-z."""
+def word_places(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte of each word, its bytes, offsets of the rows among the words). gap: which bytes are in no word."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    table = _BYTE.copy()
-    table[SPACE] = 0
-    if lower:
-        table[65:91] = table[97:123]
-    inside = ~SPACE[data]
+    inside = ~gap[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edge = offsets[:-1][offsets[:-1] < n]
     begins[edge] = inside[edge]
     starts = np.flatnonzero(begins)
-    rows = np.searchsorted(starts, offsets)
+    size = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+    return starts, size, np.searchsorted(starts, offsets)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, size: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each of the spans, which lie in order and do not overlap. lower: A-Z count as a-z."""
     if not len(starts):
-        return np.zeros(0, np.uint64), rows
-    lengths = np.diff(np.append(starts, n))
-    place = np.arange(n, dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths) if starts[0] == 0 else None
-    if place is None:
-        data, inside = data[starts[0] :], inside[starts[0] :]
-        place = np.arange(n - starts[0], dtype=np.int32) - np.repeat((starts - starts[0]).astype(np.int32), lengths)
-    size = np.add.reduceat(inside, starts - starts[0], dtype=np.int64)
-    values = table[data] * powers(_BASE, int(lengths.max()))[place]
-    return mix(np.add.reduceat(values, starts - starts[0]) + size.astype(np.uint64)), rows
+        return np.zeros(0, np.uint64)
+    table = _BYTE.copy()
+    if lower:
+        table[65:91] = table[97:123]
+    place = ragged(size)
+    values = table[data[np.repeat(starts, size) + place]] * powers(_BASE, int(size.max()))[place]
+    return mix(np.add.reduceat(values, np.cumsum(size) - size) + size.astype(np.uint64))
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash of each word in order, offsets of the rows among the words). lower: A-Z count as a-z."""
+    starts, size, rows = word_places(data, offsets)
+    return hash_spans(data, starts, size, lower), rows
 
 
 def ragged(counts: np.ndarray) -> np.ndarray:
