@@ -17,6 +17,8 @@ from .words import text_slices
 #: Labelled rows of either class that the network is fitted on, and the longest text of these (bytes).
 SAMPLE, LONGEST = (1200, 1600), 40_000
 SLICE = 2 << 20
+#: Log-likelihood ratio from which an n-gram marks a window in the first round: more than chance gives any of them.
+TELLING = 22.0
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: tuple[int, int] = SAMPLE) -> list[tuple[str, int]]:
@@ -39,7 +41,8 @@ def _texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds(v: dict, y: np.ndarray) -> np.ndarray:
-    """For each distinct word, the highest log-odds of the positive class over its n-grams, by texts that hold them."""
+    """For each distinct word, the highest log-likelihood ratio for the positive class over its n-grams, by the texts
+    that hold them."""
     text = np.repeat(np.arange(len(y)), np.diff(v["rows"]))
     pairs = np.unique(text.astype(np.int64) * len(v["word"]) + v["at"])
     text, word = pairs // len(v["word"]), pairs % len(v["word"])
@@ -47,8 +50,10 @@ def _seeds(v: dict, y: np.ndarray) -> np.ndarray:
     grams = v["grams"][np.repeat(ends[word] - n, n) + net.ragged(n)]
     held = np.unique(np.repeat(text, n) * net.TABLE + grams)
     of, gram = y[held // net.TABLE], held % net.TABLE
-    hits = [np.bincount(gram[of == c], minlength=net.TABLE) + 0.5 for c in (0, 1)]
-    odds = np.log(hits[1] / ((y == 1).sum() + 1)) - np.log(hits[0] / ((y == 0).sum() + 1))
+    a, b = (np.bincount(gram[of == c], minlength=net.TABLE).astype(float) for c in (1, 0))
+    p1, p0 = a / max((y == 1).sum(), 1), b / max((y == 0).sum(), 1)
+    rate, xlog = (y == 1).mean(), lambda n, e: np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum(e, 1e-9)), 0)
+    odds = np.where(p1 > p0, 2.0, -2.0) * (xlog(a, (a + b) * rate) + xlog(b, (a + b) * (1 - rate)))
     out, full = np.full(len(v["word"]), -9.0), np.flatnonzero(v["n"])
     if len(full):
         out[full] = np.maximum.reduceat(odds[v["grams"]], (ends - v["n"])[full])
@@ -83,7 +88,9 @@ def train(rows: list[tuple[str, int]], seed: int = 3, steps: tuple[int, ...] = (
         rank = np.empty(len(order), int)
         rank[order] = place
         train_side = ~back[text]
-        pos = np.flatnonzero(train_side & (y[text] == 1) & (rank < (1 if k == 0 else 2)) & ((rank == 0) | (found > 0)))
+        pos = np.flatnonzero(train_side & (y[text] == 1) & (rank < 3) & ((cover.max(0) > TELLING) if k == 0 else found > 0))
+        if len(pos) < 10:
+            pos = np.flatnonzero(train_side & (y[text] == 1) & (rank == 0))
         chance = rng.random(len(text)) < 0.35
         neg = np.flatnonzero(train_side & (y[text] == 0) & ((rank < 3) if k else (chance | (rank < 1))))
         if k:
@@ -130,8 +137,8 @@ def _scored(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(score)], names=[*names, "_score"])
 
 
-def toxicity(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """The columns of docs and `score` (0 to 1): that of the worst window of the whole text.
+def toxicity(docs: DataFrame, model: dict | None, text: str = "text", score: str = "score") -> DataFrame:
+    """The columns of docs and `score` (0 to 1; the name may be another): that of the worst window of the whole text.
 
     Windows are net.WINDOW words, one every net.STRIDE, up to the end. Null and empty texts, and texts without a letter
     or digit, score as a text in which nothing was found; without a model every score is 0. Equal texts score alike,
@@ -139,10 +146,10 @@ def toxicity(docs: DataFrame, model: dict | None, text: str = "text") -> DataFra
     """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # the weights: tables of a fixed size
-    own = [f for f in docs.schema if f.name != "score"]
+    own = [f for f in docs.schema if f.name != score]
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "_score double"])
     rows = docs.select(*[F.col(f"`{f.name}`") for f in own], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.mapInArrow(lambda it: _scored(it, held), kinds).withColumnRenamed("_score", "score")
+    return rows.mapInArrow(lambda it: _scored(it, held), kinds).withColumnRenamed("_score", score)
 
 
 def held_out(key: str = "doc_id") -> Column:
