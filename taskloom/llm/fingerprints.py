@@ -48,26 +48,30 @@ def canonical(text: Column) -> Column:
     skips the first part.
     """
     single, form, pairs, longer, special = _tables()
-    text = F.coalesce(text, F.lit(""))
     as_map = lambda s: F.str_to_map(F.lit(s), F.lit("\x02"), F.lit("\x01"))
+    odd = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in special) + "]"
+
+    def let(value: Column, f) -> Column:
+        """f(value), with value named once: the tables stand once in the plan."""
+        return F.transform(F.array(value), f)[0]
 
-    def composed(piece: Column) -> Column:
+    def pieces(text: Column, cut: str, f) -> Column:
+        return F.array_join(F.transform(F.split(text, cut), f), "")
+
+    def composed(piece: Column, known: Column) -> Column:
         for _ in range(3):
-            piece = F.concat(F.coalesce(F.try_element_at(as_map(pairs), F.substring(piece, 1, 2)), F.substring(piece, 1, 2)), F.substr(piece, F.lit(3)))
+            piece = let(piece, lambda p: F.concat(F.coalesce(F.try_element_at(known, F.substring(p, 1, 2)), F.substring(p, 1, 2)), F.substr(p, F.lit(3))))
         return piece
 
-    def over(text: Column, needed: Column, cut: str, f) -> Column:
-        return F.when(needed, F.array_join(F.transform(F.split(text, cut), f), "")).otherwise(text)
+    # translate() looks characters up by hash (those without a partner go); a class of so many characters in a regular
+    # expression tries them in turn. So the first tells whether a text needs the second.
+    def normal(t: Column) -> Column:
+        spelled = let(as_map(longer), lambda known: pieces(t, f"(?={odd})|(?<={odd})", lambda p: F.coalesce(F.try_element_at(known, p), p)))
+        plain = let(F.translate(t, single + special, form), lambda s: F.when(F.char_length(s) == F.char_length(t), s).otherwise(F.translate(spelled, single, form)))
+        return let(plain, lambda p: F.when(p.rlike(r"\p{M}"), let(as_map(pairs), lambda known: pieces(p, r"(?=\P{M}\p{M})|(?<=\p{M})(?=\P{M})", lambda q: composed(q, known)))).otherwise(p))
 
-    # translate() looks characters up by hash; a class of so many characters in a regular expression tries them in turn.
-    short = F.translate(text, single + special, form)
-    odd = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in special) + "]"
-    whole = F.char_length(short) == F.char_length(text)
-    spelled = over(text, F.lit(True), f"(?={odd})|(?<={odd})", lambda p: F.coalesce(F.try_element_at(as_map(longer), p), p))
-    plain = F.when(whole, short).otherwise(F.translate(spelled, single, form))
-    marked = over(plain, plain.rlike(r"\p{M}"), r"(?=\P{M}\p{M})|(?<=\p{M})(?=\P{M})", composed)
-    normal = F.when(F.octet_length(text) == F.char_length(text), text).otherwise(marked)
-    folded = F.lower(F.upper(normal))
+    text = F.coalesce(text, F.lit(""))
+    folded = F.lower(F.upper(let(text, lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(normal(t)))))
     spaces = r"\x09-\x0D\x1C-\x20\x{85}\x{2028}\x{2029}"
     return F.trim(F.regexp_replace(folded, rf"[{spaces}]{{2,}}|[{spaces}&&[^ ]]", " "))
 
@@ -75,7 +79,8 @@ def canonical(text: Column) -> Column:
 def digest(canon: Column) -> Column:
     """128 bits in hexadecimal: two 64-bit xxhash values under different seeds."""
     part = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
-    return F.concat(part(F.xxhash64(canon)), part(F.xxhash64(F.lit(0x5EED), canon)))
+    both = lambda c: F.concat(part(F.xxhash64(c)), part(F.xxhash64(F.lit(0x5EED), c)))
+    return F.transform(F.array(canon), both)[0]
 
 
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", prints: DataFrame | None = None) -> DataFrame:
