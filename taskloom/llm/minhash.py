@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship
-from .common import components, load, saved
+from .common import components, load, partitions, saved
 from .words import hashed_words, mix, text_slices
 
 #: BANDS bands of ROWS registers: a pair of Jaccard 0.8 shares no band with probability (1 - 0.8**5)**40 = 1e-7.
@@ -21,6 +21,10 @@ MANTISSA = 10
 #: Bits of a shingle's hash, beside the number of its document in a slice.
 SHINGLE_BITS = 50
 SLICE = 4 << 20
+#: Turns in which classes try single members of the largest component they meet, before all open pairs are tried.
+TURNS = 1
+#: Classes of either side that are compared in one group at the end, and shingles that are looked at together there.
+BLOCK, COLUMNS = 256, 8192
 _RANDOM = np.random.default_rng(77)
 _A = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -168,6 +172,72 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), z], names=["doc", "z"])
 
 
+def _compared(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (main, kind, i, j, side, doc, comp, z), sorted by the first four -> links between different components:
+    of each row of side 0, one to each component of the other rows of its group."""
+    expand = zstandard.ZstdDecompressor().decompress
+
+    def judge(rows: list[tuple]) -> pa.RecordBatch:
+        texts = [expand(r[7]) for r in rows]
+        e, ends = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), size)
+        doc, comp, side = (np.array([r[c] for r in rows], np.int64) for c in (5, 6, 4))
+        x = np.flatnonzero(side == 0)
+        y = x if rows[0][1] else np.flatnonzero(side == 1)
+        # Shingles that one row alone has can't be common; the others are columns, some thousand at a time.
+        order = np.argsort(e, kind="stable")
+        new = np.append(True, e[order][1:] != e[order][:-1]) if len(e) else np.zeros(0, bool)
+        col = np.empty(len(e), np.int64)
+        col[order] = np.cumsum(new) - 1
+        n = np.diff(ends)
+        row = np.repeat(np.arange(len(rows)), n)
+        often = np.bincount(col)[col] > 1 if len(e) else np.zeros(0, bool)
+        names, col = np.unique(col[often], return_inverse=True)
+        row, inter = row[often], np.zeros((len(x), len(y)), np.float32)
+        for c in range(0, len(names), COLUMNS):
+            here = (col >= c) & (col < c + COLUMNS)
+            m = np.zeros((len(rows), min(COLUMNS, len(names) - c)), np.float32)
+            m[row[here], col[here] - c] = 1
+            inter += m[x] @ m[y].T
+        union = n[x][:, None] + n[y] - inter
+        p, q = np.nonzero((100 * inter >= percent * union) & (comp[x][:, None] != comp[y]))
+        _, one = np.unique(np.stack([x[p], comp[y[q]]], 1), axis=0, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(doc[x[p[one]]]), pa.array(doc[y[q[one]]])], names=["a", "b"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and r[:4] != held[0][:4]:
+                yield judge(held)
+                held = []
+            held.append(r)
+    if held:
+        yield judge(held)
+
+
+def _settled(there: DataFrame, plain: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between the classes that share a bucket and are in different components still. there: (main, doc, comp),
+    where main is the largest component of a bucket of doc.
+
+    For each main, the classes outside of it are compared with those in it and with each other, on full sets, in blocks
+    of at most about BLOCK by BLOCK: no pair is a row, only what is found leaves a task.
+    """
+    out, blocks = F.col("comp") != F.col("main"), lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    sizes = there.groupBy("main").agg(F.count_if(out).alias("nx"), F.count_if(~out).alias("ny")).where("nx > 0").select("main", blocks("nx").alias("bx"), blocks("ny").alias("by"))
+    rows = there.join(sizes, "main").withColumn("side", F.when(out, 0).otherwise(1))
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("side") == 0, F.col("bx")).otherwise(F.col("by"))).cast("int")
+    rows = rows.withColumn("own", own)
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    key = lambda kind, i, j: [F.col("main"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.col("side"), F.col("doc"), F.col("comp")]
+    x = rows.where("side = 0")
+    cells = x.withColumn("o", upto("by")).select(*key(0, F.col("own"), F.col("o")))
+    cells = cells.unionByName(rows.where("side = 1").withColumn("o", upto("bx")).select(*key(0, F.col("o"), F.col("own"))))
+    cells = cells.unionByName(x.withColumn("o", upto("bx")).select(*key(1, F.least("own", "o"), F.greatest("own", "o"))))
+    texts = saved(plain.mapInArrow(_packed, "doc long, z binary").join(there.select("doc").distinct(), "doc", "left_semi"))
+    names = ["main", "kind", "i", "j"]
+    met = cells.join(texts, "doc").select(*names, "side", "doc", "comp", "z").repartition(partitions(plain.sparkSession), *names).sortWithinPartitions(*names)
+    return saved(met.mapInArrow(lambda it: _compared(it, shingle, percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row: component_id is the least key reachable by links.
 
@@ -178,9 +248,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     kept is whether the row has its component's key. Other columns are not read. No rows give no rows.
 
     Copies meet by a 128-bit hash of their set, so only one row of a class is banded. In each bucket every class is
-    paired with the bucket's least, and of those each class tries the one it meets most often. Then only pairs between
-    different components of a bucket are left; all of them are tried against an estimate, and then on full sets. A
-    bucket's largest component is never paired with itself, so a large group costs its size and not its square.
+    paired with the bucket's least, and of those each class tries the one it meets most often. Then, TURNS times, each
+    class outside of the largest component of a bucket tries members of that one, others in each turn. Each try is an estimate,
+    then full sets. What is still open between components that share a bucket is settled on full sets in blocks, where
+    no pair is a row; a bucket's largest component is not compared with itself.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -206,21 +277,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
         return saved(both.mapInArrow(lambda it: _verified(it, shingle, percent), kinds))
 
     met = buckets.where("doc <> least").groupBy("doc", "least").agg(F.count("*").alias("c"))
-    stars = saved(met.groupBy("doc").agg(F.max_by("least", F.struct(F.col("c"), -F.col("least"))).alias("b")).select(F.col("doc").alias("a"), "b"))
-    links = linked(stars)
+    tried = saved(met.groupBy("doc").agg(F.max_by("least", F.struct(F.col("c"), -F.col("least"))).alias("b")).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")))
+    links = linked(tried)
+    for turn in range(TURNS + 1):
+        comp = saved(components(links))
+        there = buckets.select("key", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+        mixed = there.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        there = saved(there.join(mixed, "key"))
+        by_turn = F.struct(F.xxhash64(F.lit(turn), "doc"), F.col("doc"))
+        parts = there.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("doc", by_turn).alias("face"))
+        largest = parts.groupBy("key").agg(F.max_by(F.struct("comp", "face"), F.struct(F.col("c"), F.col("comp"))).alias("main"))
+        there = there.join(largest.select("key", F.col("main.comp").alias("main"), F.col("main.face").alias("face")), "key")
+        if turn == TURNS:
+            links = saved(links.union(_settled(saved(there.select("main", "doc", "comp").distinct()), plain, shingle, percent)))
+            break
+        faces = there.where("comp <> main").groupBy(F.col("doc").alias("x"), "face").agg(F.count("*").alias("c"))
+        rank = F.row_number().over(Window.partitionBy("x").orderBy(F.col("c").desc(), "face"))
+        pairs = faces.withColumn("r", rank).where("r <= 2").select(F.least("x", "face").alias("a"), F.greatest("x", "face").alias("b")).distinct()
+        pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried, links = saved(tried.union(pairs)), saved(links.union(linked(pairs)))
+
     comp = saved(components(links))
-    there = buckets.select("key", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
-    mixed = there.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    there = saved(there.join(mixed, "key"))
-    largest = there.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct(F.col("c"), F.col("comp"))).alias("main"))
-    there = there.join(largest, "key")
-    one = there.where("comp <> main").select("key", F.col("doc").alias("x"), F.col("comp").alias("cx"))
-    other = there.select("key", F.col("doc").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("in_main"))
-    across = one.join(other, "key").where("cx <> cy and (in_main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = linked(saved(across.join(tried, ["a", "b"], "left_anti")))
-
-    comp = saved(components(links.union(more)))
     known = classes.join(comp, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("found"))
     found = sketches.select("doc", "n", "s1", "s2").join(known, ["s1", "s2", "n"], "left").withColumn("found", F.coalesce("found", "doc"))
     back = lambda c: F.when(F.col(c) != none, F.col(c))
