@@ -81,8 +81,9 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
         if size & width:
             out += part[done : done + len(out)] * c[done]
             done += width
-        part = part[: len(part) - width] + part[width:] * c[width]
         width *= 2
+        if width <= size:
+            part = part[: len(part) - width // 2] + part[width // 2 :] * c[width // 2]
     return mix(out)
 
 
