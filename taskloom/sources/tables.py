@@ -18,8 +18,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
 
 def read_json_lines_apart(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines with their file)."""
-    rows = spark.read.schema(f"{schema}, _bad string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").withColumn("_file", F.col("_metadata.file_path"))
-    return rows.where("_bad is null").drop("_bad", "_file"), rows.where("_bad is not null").select(F.col("_file").alias("file"), F.col("_bad").alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where("trim(line) <> ''")
+    parsed = lines.withColumn("_row", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return parsed.where("_row._bad is null").select("_row.*").drop("_bad"), parsed.where("_row._bad is not null").select("file", "line")
 
 
 def run_files(raw: DataFrame, path: str = "file") -> DataFrame:

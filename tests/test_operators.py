@@ -79,14 +79,14 @@ def test_label_stays_for_later_calls_of_a_step(spark):
 
 
 def test_code_is_parsed_and_not_run(spark):
-    df = spark.createDataFrame([("def verify_a(x):\n    return 1",), ("raise SystemExit(1)",), ("def (",), ("x",)], "c string").select(code.verifier_check("c").alias("v"))
+    df = spark.createDataFrame([("def verify_a(x):\n    return 1",), ("raise SystemExit(1)",), ("def broken(:",), ("x",)], "c string").select(code.verifier_check("c").alias("v"))
     assert [r.v.reason for r in df.collect()] == [None, "no_verify_function", "syntax_error", "too_short"]
 
 
 def test_skill_warnings(spark):
     good = "\n".join(text.SKILL_SECTIONS) + "\nConfidence: high"
     assert one(spark, text.skill_warnings(F.col("a"), 50), a=good) == []
-    assert one(spark, text.skill_warnings(F.col("a"), 5), a=good + " ``` training get_* Confidence: low") == ["too_long:20>5", "wildcard_or_placeholder_tool_name", r"banned_terms:\btraining\b", "code_fence", "confidence_count:2"]
+    assert one(spark, text.skill_warnings(F.col("a"), 5), a=good + " ``` training get_* Confidence: low") == ["too_long:23>5", "wildcard_or_placeholder_tool_name", r"banned_terms:\btraining\b", "code_fence", "confidence_count:2"]
 
 
 def test_diverse_equals_one_by_one(spark):
@@ -165,8 +165,8 @@ def test_append_new_is_idempotent(spark, tmp_path):
 def test_json_lines_apart(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"a": 1}\n\n{"a": \n{"a": 2}\n')
     good, bad = tables.read_json_lines_apart(spark, str(tmp_path / "t.jsonl"), "a int")
-    assert sorted(r.a for r in good.where("a is not null").collect()) == [1, 2]
-    assert bad.cache().count() == 1
+    assert sorted(r.a for r in good.collect()) == [1, 2]
+    assert bad.count() == 1
 
 
 def test_stream_counts_each_file_once(spark, tmp_path):
