@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lattice, licenses, minhash, mixing, packing, quality, sharding, substrings, toxicity
+from . import fingerprints, lattice, licenses, minhash, mixing, oracles, packing, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle()}
+    return {
+        "op2_substring_dedup": oracles.SUBSTRINGS,
+        "op4_minhash_near_dedup": oracles.NEAR,
+        "op5_license_scan": licenses.oracle(),
+        "op6_lattice_near_dedup": oracles.VECTORS,
+    }
