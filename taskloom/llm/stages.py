@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from . import minhash, mixing, packing, substrings, toxicity
 from .common import load, saved, word_count
 
-#: Score from which a document counts as toxic.
-TOXIC = 0.7
-
 
 def _row_mark(docs: DataFrame) -> Column:
     """Tells rows of the same doc_id apart by their text and source."""
@@ -20,12 +17,12 @@ def _row_mark(docs: DataFrame) -> Column:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose worst window scores below TOXIC; the network learns from the labelled documents of sf_dir.
+    """Documents whose worst window scores below toxicity.CUT; the network learns from the labelled documents of sf_dir.
 
     Null and empty texts stay. Every row is judged by its text alone, so copies go or stay together.
     """
     model = toxicity.train(toxicity.sample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), "toxic", ~toxicity.held_out()))
-    return toxicity.toxicity(docs, model, score="_toxic").where(F.col("_toxic") < TOXIC).drop("_toxic")
+    return toxicity.toxicity(docs, model, score="_toxic").where(F.col("_toxic") < toxicity.CUT).drop("_toxic")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
