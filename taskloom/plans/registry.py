@@ -130,6 +130,35 @@ def _(s, d):
     return selection.skill_stats(selection.validated_skills(table(s, d, "documents").select("doc_id", F.col("text").alias("skill")), 400))
 
 
+@query("p21_schema_text", """SELECT n_regionkey, string_agg('CREATE TABLE ' || n_name || ' (id)' || chr(10) || 'CREATE INDEX i' || CAST(n_nationkey AS VARCHAR), chr(10) || chr(10) ORDER BY n_name) AS text FROM nation GROUP BY 1""")
+def _(s, d):
+    t = F.struct(F.col("n_name").alias("name"), F.concat(F.lit("CREATE TABLE "), "n_name", F.lit(" (id)")).alias("ddl"), F.array(F.concat(F.lit("CREATE INDEX i"), F.col("n_nationkey").cast("string"))).alias("indexes"))
+    return table(s, d, "nation").groupBy("n_regionkey").agg(T.schema_text(F.array_sort(F.collect_list(t))).alias("text"))
+
+
+@query("p23_scenario_text", """SELECT doc_id, source || chr(10) || substr(text, 1, 500) || chr(10) || 'Categories: ' || lang || ', ' || source || chr(10) || 'Features: ' || lang AS text FROM documents""")
+def _(s, d):
+    r = table(s, d, "documents").select("doc_id", F.col("source").alias("name"), F.col("text").alias("description"), F.array("lang", "source").alias("categories"), F.array("lang").alias("simulatable_features"))
+    return r.select("doc_id", T.scenario_text().alias("text"))
+
+
+@query("p25_valid_results", f"SELECT run, mode, count(*) AS n FROM ({VERDICTS}) v WHERE task_id <> 1 GROUP BY ALL")
+def _(s, d):
+    v = view(s, d, "verdicts").withColumn("verdict", F.when(F.col("task_id") != 1, F.lit("{}")))
+    return v.where(T.is_valid_result("code", F.col("mode"), F.col("reward_type"), F.col("verdict"))).groupBy("run", "mode").agg(F.count("*").alias("n"))
+
+
+@query("t4_scenario_subset", "SELECT 'Supplier#' AS kind, CAST(n AS VARCHAR) AS scenario FROM (SELECT s_suppkey AS n FROM supplier WHERE s_suppkey IN (1, 2, 3, 5)) x ORDER BY scenario LIMIT 3")
+def _(s, d):
+    names = table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("scenario"))
+    return selection.scenario_subset(names, ["1", "2", "3", "5", "none"], 3)[0].select(F.lit("Supplier#").alias("kind"), "scenario")
+
+
+@query("j2_missing_sources", f"SELECT scenario, task_id, CASE WHEN NOT has_env THEN 'missing_env' WHEN NOT has_db_schema THEN 'missing_db_schema' WHEN NOT has_sample THEN 'missing_sample' END AS missing FROM ({{bundle}}) b")
+def _(s, d):
+    return rows.missing_sources(bundle(s, d)).select("scenario", "task_id", "missing")
+
+
 @query("p26_tool_description", """SELECT doc_id, array_to_string([trim(x, ' ') for x in string_split(text, chr(10)) if trim(x, ' ') <> ''], ' ') AS short FROM documents""")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", T.tool_description(F.concat("text", F.lit("\nArgs: x"))).alias("short"))
@@ -314,6 +343,9 @@ def _(s, d):
 BUNDLE = f"SELECT scenario, CAST(task_id AS INT) AS task_id, task, scenario || '/task_' || CAST(task_id AS VARCHAR) AS task_key, scenario IN (SELECT 'supplier_' || CAST(s_suppkey % 50 AS VARCHAR) FROM supplier WHERE s_suppkey % 50 <> 3) AS has_env, scenario IN (SELECT 'supplier_' || CAST(s_suppkey % 50 AS VARCHAR) FROM supplier WHERE s_suppkey % 50 <> 4) AS has_db_schema, scenario <> 'supplier_5' AS has_sample, task_id <> 1 AS has_verifier FROM ({LONG}) x"
 
 
+ORACLE["j2_missing_sources"] = ORACLE["j2_missing_sources"].replace("{bundle}", BUNDLE)
+
+
 def bundle(s, d):
     t = supplier_tasks(s, d)
     no = lambda k: t.where(f"pos % 50 <> {k}").select("scenario")
