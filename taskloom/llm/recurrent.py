@@ -6,9 +6,12 @@ hashed tables. Everything a task needs is a dictionary of arrays.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 import numpy as np
 
-from .words import hash_spans, mix, ragged, word_places
+from .words import hash_spans, mix, ragged, runs
 
 #: Words of a window, and words from one window to the next.
 WINDOW, STRIDE = 32, 16
@@ -16,19 +19,73 @@ WINDOW, STRIDE = 32, 16
 TABLE, INPUT, STATE, LOOK = 1 << 14, 16, 8, 8
 #: Sizes of n-grams in bytes, of which those that begin a word are told from the others; sizes of longer beginnings.
 GRAMS, BEGINNINGS = (3, 4, 5), (6, 7, 8, 10)
-#: Bytes that are in no word: ASCII but letters and digits.
+#: Bytes that are in no word: ASCII but letters and digits; characters beyond it are told by _wide_gaps().
 GAP = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+#: Runs of more than LONG bytes are cut into pieces of REACH bytes from each STEP bytes on (up to three bytes more or
+#: less, so that no character is cut): they overlap, so every n-gram of GRAMS is in a piece.
+LONG, STEP, REACH = 24, 8, 16
+
+
+@cache
+def _wide_gaps() -> np.ndarray:
+    """Which characters beyond ASCII are in no word: white space, punctuation, symbols and controls. Soft hyphens,
+    joiners and the like are inside words."""
+    out = np.zeros(0x110000, bool)
+    out[128:] = [(k := unicodedata.category(chr(i)))[0] in "ZPS" or k == "Cc" or i == 0x200B for i in range(128, 0x110000)]
+    return out
+
+
+def _inside(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text are in a word."""
+    inside = ~GAP[data]
+    block = 1 << 20
+    for i in range(0, len(data), block):
+        at = i + np.flatnonzero(data[i : i + block] >= 0xC2)
+        if not len(at):
+            continue
+        lead = data[at]
+        more = 1 + (lead >= 0xE0) + (lead >= 0xF0)
+        code = lead.astype(np.int64) & (0x3F >> more)
+        for k in (1, 2, 3):
+            tail = data[np.minimum(at + k, len(data) - 1)] & 0x3F
+            code = np.where(more >= k, code << 6 | tail, code)
+        apart = _wide_gaps()[np.minimum(code, 0x10FFFF)]
+        at, more = at[apart], more[apart]
+        for k in range(4):
+            inside[np.minimum(at + k, len(data) - 1)[more >= k]] = False
+    return inside
+
+
+def _positions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, bytes, offsets of the texts among them) of what takes a place in a window: words, and the pieces of
+    longer runs."""
+    starts, size, rows = runs(_inside(data), offsets)
+    count = np.where(size > LONG, -(-(size - REACH) // STEP) + 1, 1)
+    if (count == 1).all():
+        return starts, size, rows
+    whole = np.repeat(starts, count)
+    end = whole + np.repeat(size, count)
+    begin = whole + STEP * ragged(count)
+    until = np.where(np.repeat(count, count) > 1, np.minimum(begin + REACH, end), end)
+    for cut in (begin, until):
+        for _ in range(3):
+            inner = (cut > whole) & (cut < end)
+            cut -= inner & ((data[np.minimum(cut, len(data) - 1)] & 0xC0) == 0x80)
+    return begin, until - begin, np.append(0, np.cumsum(count))[rows]
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    block = 1 << 16  # words at a time: what is made for each byte is larger than the text
+    return np.concatenate([hash_spans(data, starts[i : i + block], size[i : i + block], lower=True) for i in range(0, len(starts), block)] or [np.zeros(0, np.uint64)])
 
 
 def vocabulary(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The words of texts: `at` (each word's number among the distinct), `rows` (offsets of the texts), and of the
     distinct words the table row of the word, and the table rows of its n-grams with their counts."""
-    starts, size, rows = word_places(data, offsets, GAP)
-    size = np.minimum(size, 64)
-    block = 1 << 16  # words at a time: what is made for each byte is larger than the text
-    h = np.concatenate([hash_spans(data, starts[i : i + block], size[i : i + block], lower=True) for i in range(0, len(starts), block)] or [np.zeros(0, np.uint64)])
+    starts, size, rows = _positions(data, offsets)
+    h = _hashes(data, starts, size)
     names, first, at = np.unique(h, return_index=True, return_inverse=True)
-    s, n = starts[first], np.minimum(size[first], 24)
+    s, n = starts[first], size[first]
     low = data.copy()
     big = (low >= 65) & (low <= 90)
     low[big] += 32

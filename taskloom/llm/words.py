@@ -43,8 +43,12 @@ def text_slices(col: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray
 
 def word_places(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte of each word, its bytes, offsets of the rows among the words). gap: which bytes are in no word."""
-    n = len(data)
-    inside = ~gap[data]
+    return runs(~gap[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_places() of bytes of which it is known whether they are in a word."""
+    n = len(inside)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edge = offsets[:-1][offsets[:-1] < n]
@@ -55,7 +59,7 @@ def word_places(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE)
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, size: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each of the spans, which lie in order and do not overlap. lower: A-Z count as a-z."""
+    """A 64-bit hash of each of the spans, none of them empty. lower: A-Z count as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     table = _BYTE.copy()

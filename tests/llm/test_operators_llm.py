@@ -335,6 +335,30 @@ def test_toxicity_held_out(spark):
     assert toxicity.train(docs[:0]) is None and toxicity.toxicity(frame(spark, []), model).count() == 0
 
 
+def test_words_of_texts_without_ascii_gaps():
+    from taskloom.llm import recurrent as net
+
+    def seen(text):
+        raw = [text.encode(), b"end"]
+        v = net.vocabulary(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        ends = np.cumsum(v["n"])
+        at = v["at"][: v["rows"][1]]
+        return v["word"][at].tolist(), {int(g) for i in at for g in v["grams"][ends[i] - v["n"][i] : ends[i]]}
+
+    for gap in "\u00a0 \u3000 \u2014 \u201d \u3002 \uff0c".split(" "):
+        assert seen(f"calm{gap}grubbish{gap}tree")[0] == seen("calm grubbish tree")[0]
+    r = random.Random(4)
+    for letters in ("abcdefgh", "\u4e00\u4e8c\u4e09\u56db\u4e94", "a\u00e9\u4e00\U00020000"):
+        text = "".join(r.choice(letters) for _ in range(300))
+        start, size, rows = net._positions(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        assert size.max() <= net.LONG and size.min() > 0 and rows.tolist() == [0, len(start)]
+        spans = list(zip(start.tolist(), (start + size).tolist()))
+        assert all(text.encode()[a:b].decode() for a, b in spans)
+        assert all(any(a <= i and i + 5 <= b for a, b in spans) for i in range(len(text.encode()) - 4))
+    tail = "x" * 100
+    assert seen(tail + "grubbish")[1] - seen(tail + "calmness")[1]
+
+
 def test_gradients():
     from taskloom.llm import recurrent as net
 
