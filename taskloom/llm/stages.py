@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash, mixing, packing, substrings, toxicity
-from .common import load, saved, word_count
+from .common import load, ranked, saved, word_count
 
 
 def _row_mark(docs: DataFrame) -> Column:
@@ -28,18 +28,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (shingles of five words, Jaccard 0.8): the one of least doc_id.
 
-    Documents without words are in no group and stay. Of rows with the same doc_id one stays, that of the least text;
-    rows without doc_id count as one document.
+    Documents without words are in no group and stay. Where doc_ids are null or repeated, every row is a document of its
+    own, numbered by doc_id (null first), then by a hash of its text; so rows of one doc_id with different texts stay.
+    Of rows that are equal in all columns, doc_id not null, one stays.
     """
-    found = saved(minhash.near_duplicates(docs))
-    kept = found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
-    one = rows.where("_n = 1").select(*docs.columns)
-    several = rows.where("_n > 1").select(*docs.columns)
-    if kept.where("_n > 1").isEmpty():
-        return one
-    least = several.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row"))
-    return one.unionByName(least.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns]))
+    if docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null").isEmpty():
+        kept = saved(minhash.near_duplicates(docs)).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id").select(*docs.columns)
+    alone = docs.where("doc_id is not null").distinct().unionByName(docs.where("doc_id is null"))
+    rows = saved(alone.withColumn("_row", F.monotonically_increasing_id()))
+    narrow = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), "_row")
+    numbers = ranked(narrow, F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row"), rank="_no").select("_row", "_no")
+    numbered = saved(rows.join(numbers, "_row"))
+    kept = saved(minhash.near_duplicates(numbered, key="_no")).where("kept").select("_no")
+    return numbered.join(kept, "_no").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

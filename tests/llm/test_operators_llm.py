@@ -479,3 +479,12 @@ def test_stages(spark):
     assert mixed.columns == df.columns and counts == Counter({k: v for k, v in copies.items() if v})
     for stage in (stages.drop_near_duplicates, stages.drop_repeats, stages.mix_sources, stages.pack_sequences):
         assert stage(spark, df.where("false"), "").count() == 0
+
+
+def test_near_duplicate_stage_keeps_rows_of_one_doc_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    docs = [(None, text(i), "en", "a", 0) for i in range(20)] + [(7, text(100 + i), "en", "a", 0) for i in range(3)]
+    docs += [(50, text(3) + " more", "en", "a", 0), (51, text(102) + " more", "en", "a", 0), (52, text(200), "en", "a", 0), (None, "", "en", "a", 0), (None, "", "en", "b", 0)]
+    got = stages.drop_near_duplicates(spark, frame(spark, docs), "")
+    rest = [x for x in docs if x[0] not in (50, 51)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rest))
