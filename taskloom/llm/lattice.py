@@ -189,8 +189,10 @@ def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         rows += len(batch)
         if rows >= 20_000:
             t = pa.Table.from_batches(held)
-            cell = t.column("cell").to_numpy()
-            cut = int(np.searchsorted(cell, cell[-1]))
+            cell, x, y = (t.column(c).to_numpy() for c in ("cell", "x", "y"))
+            # The last pair of blocks may go on; a cell of many goes pair by pair.
+            change = np.flatnonzero((cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+            cut = int(change[-1]) + 1 if len(change) else 0
             if cut:
                 yield from pairs(t.slice(0, cut))
                 held, rows = t.slice(cut).combine_chunks().to_batches(), len(t) - cut

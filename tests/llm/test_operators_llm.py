@@ -276,6 +276,27 @@ def test_vectors(spark):
     assert lattice.vector_classes(df.where("false")).count() == 0
 
 
+def test_blocks_of_a_hot_cell_are_compared_pair_by_pair():
+    import pyarrow as pa
+
+    keys = np.full((lattice.TABLES, 1 + lattice.PROBES), 7, np.int64).tobytes()
+    taken = []
+
+    def batches():
+        for y in range(300):  # one cell, 300 pairs of blocks of 200 rows
+            n = 200
+            taken.append(y)
+            side = np.where(np.arange(n) < n // 2, 0, y).astype(np.int32)
+            cols = [np.full(n, 7), np.zeros(n, np.int32), np.full(n, y, np.int32), side, np.arange(n) + n * y, np.ones(n, np.int64)]
+            more = [pa.array([np.array([1.0, i]).tobytes() for i in range(n)], pa.binary()), pa.array([keys] * n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *more], names=["cell", "x", "y", "side", "vec", "copies", "v", "keys"])
+
+    found = lattice._compared(batches(), 0.9)
+    first = next(found)
+    assert len(taken) <= 101  # as many as fill the buffer, not the whole cell
+    assert {int(v) // 200 for b in [first, *found] for v in b.column(0).to_pylist()} == set(range(300))
+
+
 def test_e8_points_are_nearest():
     x = np.random.default_rng(1).normal(size=(300, 8)) * 2
     p, d = lattice.e8_points(x)
