@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..sources.ship import ship
 
-#: Sides of the block grid over a table of vectors.
-GRID = 4
+#: About so many rows has a block of vectors.
+BLOCK = 500
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -21,8 +21,12 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)  # a zero vector is like nothing
 
 
-def _grid(left: DataFrame, right: DataFrame, grid: int, upper: bool) -> DataFrame:
-    """Both sides dealt over the cells of a grid x grid square; each cell holds one block of either side."""
+def _grid(left: DataFrame, right: DataFrame, grid: int | None, upper: bool) -> DataFrame:
+    """Both sides dealt over the cells of a grid x grid square; each cell holds one block of either side. grid: by the
+    rows of the larger side, where it is not given."""
+    if grid is None:
+        rows = left.count() if left is right else max(left.count(), right.count())
+        grid = max(1, -(-rows // BLOCK))
     block = F.pmod(F.xxhash64("id"), F.lit(grid)).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
     a = left.select("id", "embedding", block.alias("x"), others.alias("y"), F.lit(0).alias("side"))
@@ -31,7 +35,7 @@ def _grid(left: DataFrame, right: DataFrame, grid: int, upper: bool) -> DataFram
     return both.where("x <= y") if upper else both
 
 
-def nearest(candidates: DataFrame, pool: DataFrame, grid: int = GRID) -> DataFrame:
+def nearest(candidates: DataFrame, pool: DataFrame, grid: int | None = None) -> DataFrame:
     """(id, similarity, neighbour) of each candidate: the greatest cosine to the pool and its first holder by id; 0.0
     and -1 for an empty pool or a zero vector. Both are (id, embedding)."""
     ship(candidates.sparkSession)
@@ -51,7 +55,7 @@ def nearest(candidates: DataFrame, pool: DataFrame, grid: int = GRID) -> DataFra
     return known.select("id", F.when(real, F.col("t.sim")).otherwise(0.0).alias("similarity"), F.when(real, F.col("t.other")).otherwise(-1).alias("neighbour"))
 
 
-def similar_pairs(vectors: DataFrame, above: float, grid: int = GRID) -> DataFrame:
+def similar_pairs(vectors: DataFrame, above: float, grid: int | None = None) -> DataFrame:
     """(a, b, similarity) with a < b and a cosine above the threshold. vectors: (id, embedding)."""
     ship(vectors.sparkSession)
 
@@ -70,7 +74,7 @@ def similar_pairs(vectors: DataFrame, above: float, grid: int = GRID) -> DataFra
     return _grid(vectors, vectors, grid, True).groupBy("x", "y").applyInPandas(pairs, "a long, b long, similarity double")
 
 
-def pairwise_stats(vectors: DataFrame, above: float, grid: int = GRID) -> DataFrame:
+def pairwise_stats(vectors: DataFrame, above: float, grid: int | None = None) -> DataFrame:
     """Number, mean, least, greatest and population deviation of all pairwise cosines, and pairs above the threshold.
 
     Each block gives its count, sums and extremes; no pair leaves a task.
