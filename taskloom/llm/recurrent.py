@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network with attention pooling over windows of words, in numpy.
 
-A word's input is the vector of the word itself plus the mean of the vectors of its character n-grams, both from
-hashed tables. Everything a task needs is a dictionary of arrays.
+A word's input is the vector of the word itself plus the mean of the vectors of its character n-grams plus the mean of
+those of its beginnings, all from hashed tables. Everything a task needs is a dictionary of arrays.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from .words import hash_spans, mix, ragged, runs
 #: Words of a window, and words from one window to the next.
 WINDOW, STRIDE = 32, 16
 #: Rows of the hashed tables; sizes of inputs, of each direction's state and of the attention.
-TABLE, INPUT, STATE, LOOK = 1 << 14, 16, 8, 8
-#: Sizes of n-grams in bytes, of which those that begin a word are told from the others; sizes of longer beginnings.
-GRAMS, BEGINNINGS = (3, 4, 5), (6, 7, 8, 10)
+TABLE, INPUT, STATE, LOOK = 1 << 16, 16, 8, 8
+#: Spread of untrained n-gram vectors: small, as n-grams that training never saw add up to noise in rare words.
+SPREAD = 0.01
+#: Sizes in bytes of the n-grams anywhere in a word, and of those with which it begins.
+GRAMS, BEGINNINGS = (3, 4, 5), (4, 5, 6, 7, 8, 10)
 #: Bytes that are in no word: ASCII but letters and digits; characters beyond it are told by _wide_gaps().
 GAP = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 #: Runs of more than LONG bytes are cut into pieces of REACH bytes from each STEP bytes on (up to three bytes more or
@@ -89,19 +91,24 @@ def vocabulary(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     low = data.copy()
     big = (low >= 65) & (low <= 90)
     low[big] += 32
-    grams, owner = [], []
-    for k in (*GRAMS, *BEGINNINGS):
-        count = np.maximum(n - k + 1, 0) if k in GRAMS else (n >= k).astype(np.int64)
-        place = ragged(count)
-        spot = np.repeat(s, count) + place
-        g = (place == 0).astype(np.uint64) + np.uint64(2 * k)
+    inner, heads = _grams(low, s, n, GRAMS, False), _grams(low, s, n, BEGINNINGS, True)
+    return {"at": at, "rows": rows, "word": (names % np.uint64(TABLE)).astype(np.int64), "grams": inner[0], "n": inner[1], "heads": heads[0], "n_heads": heads[1]}
+
+
+def _grams(low: np.ndarray, s: np.ndarray, n: np.ndarray, sizes: tuple[int, ...], head: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of the n-grams of words (first byte s, n bytes), word by word, and their counts; head: only those
+    with which a word begins."""
+    rows, owner = [], []
+    for k in sizes:
+        count = (n >= k).astype(np.int64) if head else np.maximum(n - k + 1, 0)
+        spot = np.repeat(s, count) + (0 if head else ragged(count))
+        g = np.full(len(spot), 2 * k + head, np.uint64)
         for j in range(k):
             g = g * np.uint64(0x100000001B3) + low[spot + j]
-        grams.append((mix(g) % np.uint64(TABLE)).astype(np.int32))
+        rows.append((mix(g) % np.uint64(TABLE)).astype(np.int32))
         owner.append(np.repeat(np.arange(len(s), dtype=np.int32), count))
-    grams, owner = np.concatenate(grams), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return {"at": at, "rows": rows, "word": (names % np.uint64(TABLE)).astype(np.int64), "grams": grams[order], "n": np.bincount(owner, minlength=len(s))}
+    rows, owner = np.concatenate(rows), np.concatenate(owner)
+    return rows[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(s))
 
 
 def windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +123,7 @@ def windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fresh(seed: int) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     normal = lambda *shape, by=1.0: (r.normal(size=shape) * by).astype(np.float32)
-    p = {"words": normal(TABLE, INPUT, by=0.05), "chars": normal(TABLE, INPUT, by=0.2)}
+    p = {"words": normal(TABLE, INPUT, by=0.05), "grams": normal(TABLE, INPUT, by=SPREAD), "heads": normal(TABLE, INPUT, by=SPREAD)}
     for d in "fb":
         p |= {f"wx{d}": normal(INPUT, 3 * STATE, by=INPUT**-0.5), f"wh{d}": normal(STATE, 3 * STATE, by=STATE**-0.5), f"b{d}": np.zeros(3 * STATE, np.float32)}
     return p | {"wa": normal(2 * STATE, LOOK, by=0.35), "ba": np.zeros(LOOK, np.float32), "va": normal(LOOK, by=0.35), "wo": normal(2 * STATE, by=0.35), "bo": np.zeros(1, np.float32)}
@@ -126,10 +133,11 @@ def word_inputs(p: dict, v: dict) -> np.ndarray:
     """Inputs of the distinct words, and a last row of zeros that stands after a window's end."""
     x = np.zeros((len(v["word"]) + 1, INPUT), np.float32)
     x[:-1] = p["words"][v["word"]]
-    full = np.flatnonzero(v["n"])
-    if len(full):
-        ends = np.cumsum(v["n"])
-        x[full] += np.add.reduceat(p["chars"][v["grams"]], (ends - v["n"])[full]) / v["n"][full, None]
+    for rows, count in (("grams", "n"), ("heads", "n_heads")):
+        full = np.flatnonzero(v[count])
+        if len(full):
+            ends = np.cumsum(v[count])
+            x[full] += np.add.reduceat(p[rows][v[rows]], (ends - v[count])[full]) / v[count][full, None]
     return x
 
 
@@ -233,7 +241,7 @@ def logits(p: dict, v: dict, first: np.ndarray, size: np.ndarray, block: int = 4
 
 
 def fit(p: dict, v: dict, first: np.ndarray, size: np.ndarray, y: np.ndarray, hard: np.ndarray, steps: int, seed: int, batch: int = 192, rate: float = 0.01) -> None:
-    """Adam on windows, as many of either class in a batch and half of those of class 0 among the hard ones (where
+    """Adam on windows, as many of either class in a batch and an eighth of those of class 0 among the hard ones (where
     there are any); changes p. Table rows move only when a batch has them."""
     rng = np.random.default_rng(seed)
     mean, var = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
@@ -244,8 +252,8 @@ def fit(p: dict, v: dict, first: np.ndarray, size: np.ndarray, y: np.ndarray, ha
         some = sides[0][i : i + 8192]
         calm[gather(v, first[some], size[some])[0]] = True
     calm = np.flatnonzero(calm[:-1])
-    parts = [(sides[0], batch // 4), (hard, batch // 4), (sides[1], batch // 2)]
-    ends = np.cumsum(v["n"])
+    parts = [(sides[0], batch // 2 - batch // 16), (hard, batch // 16), (sides[1], batch // 2)]
+    ends = {c: np.cumsum(v[c]) for c in ("n", "n_heads")}
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(side, n) for side, n in parts])
         idx, mask = gather(v, first[pick], size[pick])
@@ -260,17 +268,23 @@ def fit(p: dict, v: dict, first: np.ndarray, size: np.ndarray, y: np.ndarray, ha
         idx = at.reshape(idx.shape)
         has_pad = used[-1] == len(v["word"])
         used = used[:-1] if has_pad else used
-        n = v["n"][used]
-        grams = v["grams"][np.repeat(ends[used] - n, n) + ragged(n)]
-        part = {"word": v["word"][used], "n": n, "grams": grams}
+        part = {"word": v["word"][used]}
+        for rows, count in (("grams", "n"), ("heads", "n_heads")):
+            n = part[count] = v[count][used]
+            part[rows] = v[rows][np.repeat(ends[count][used] - n, n) + ragged(n)]
         x, keep = word_inputs(p, part), {}
         out = forward(p, x, idx, mask, keep)
         dlogit = ((_sigmoid(out) - y[pick]) / batch).astype(np.float32)
         g, dx = _back(p, x, idx, mask, keep, dlogit)
         dx = dx[:-1]
         lr = rate * min(1, step / 20) * (1 - 0.7 * step / steps)
-        per = dx / np.maximum(n, 1)[:, None]
-        for name, (rows, grad) in {"words": _rows_summed(part["word"], dx), "chars": _rows_summed(grams, np.repeat(per, n, 0)) if len(grams) else (np.zeros(0, int), np.zeros((0, INPUT), np.float32))}.items():
+        moved = {"words": (part["word"], dx)}
+        for rows, count in (("grams", "n"), ("heads", "n_heads")):
+            moved[rows] = part[rows], np.repeat(dx / np.maximum(part[count], 1)[:, None], part[count], 0)
+        for name, (rows, grad) in moved.items():
+            if not len(rows):
+                continue
+            rows, grad = _rows_summed(rows, grad)
             m, s = mean[name], var[name]
             m[rows] = 0.9 * m[rows] + 0.1 * grad
             s[rows] = 0.99 * s[rows] + 0.01 * grad**2

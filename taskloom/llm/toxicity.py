@@ -1,4 +1,4 @@
-"""Toxicity of documents: every overlapping window is scored by a recurrent network, and the worst one decides."""
+"""Toxicity of documents: a recurrent network scores every overlapping window, and the worst and the mean decide."""
 
 from __future__ import annotations
 
@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from ..sources.ship import ship
 from . import recurrent as net
 from .common import load
-from .words import text_slices
+from .words import give_back, text_slices
 
 #: Labelled rows of either class that the network is fitted on, and the longest text of these (bytes).
 SAMPLE, LONGEST = (1200, 1600), 16_000
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: Log-likelihood ratio from which an n-gram marks a window in the first round: more than chance gives any of them.
 TELLING = 22.0
+#: Ridge on the weights with which a document's windows are put together.
+RIDGE = 1.0
+#: What a toxic text weighs there against another one: a miss is worse than a false alarm.
+WEIGHT = 2.0
 #: Score from which a document counts as toxic.
 CUT = 0.7
 
@@ -45,27 +49,30 @@ def _texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _seeds(v: dict, y: np.ndarray) -> np.ndarray:
     """For each distinct word, the highest log-likelihood ratio for the positive class over its n-grams, by the texts
     that hold them."""
-    ends, hits = np.cumsum(v["n"]), np.zeros((2, net.TABLE))
-    for i in range(len(y)):  # a text's n-grams are many times its size, so they are counted text by text
-        word = np.unique(v["at"][v["rows"][i] : v["rows"][i + 1]])
-        n = v["n"][word]
-        hits[int(y[i]), np.unique(v["grams"][np.repeat(ends[word] - n, n) + net.ragged(n)])] += 1
-    b, a = hits
-    p1, p0 = a / max((y == 1).sum(), 1), b / max((y == 0).sum(), 1)
-    rate, xlog = (y == 1).mean(), lambda n, e: np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum(e, 1e-9)), 0)
-    odds = np.where(p1 > p0, 2.0, -2.0) * (xlog(a, (a + b) * rate) + xlog(b, (a + b) * (1 - rate)))
-    out, full = np.full(len(v["word"]), -9.0), np.flatnonzero(v["n"])
-    if len(full):
-        out[full] = np.maximum.reduceat(odds[v["grams"]], (ends - v["n"])[full])
+    out = np.full(len(v["word"]), -9.0)
+    for rows, count in (("grams", "n"), ("heads", "n_heads")):
+        ends, hits = np.cumsum(v[count]), np.zeros((2, net.TABLE))
+        for i in range(len(y)):  # a text's n-grams are many times its size, so they are counted text by text
+            word = np.unique(v["at"][v["rows"][i] : v["rows"][i + 1]])
+            n = v[count][word]
+            hits[int(y[i]), np.unique(v[rows][np.repeat(ends[word] - n, n) + net.ragged(n)])] += 1
+        b, a = hits
+        p1, p0 = a / max((y == 1).sum(), 1), b / max((y == 0).sum(), 1)
+        rate, xlog = (y == 1).mean(), lambda n, e: np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum(e, 1e-9)), 0)
+        odds = np.where(p1 > p0, 2.0, -2.0) * (xlog(a, (a + b) * rate) + xlog(b, (a + b) * (1 - rate)))
+        full = np.flatnonzero(v[count])
+        if len(full):
+            out[full] = np.maximum(out[full], np.maximum.reduceat(odds[v[rows]], (ends - v[count])[full]))
     return out
 
 
-def train(rows: list[tuple[str, int]], seed: int = 3, steps: tuple[int, ...] = (250, 200, 250, 250)) -> dict | None:
+def train(rows: list[tuple[str, int]], seed: int = 3, steps: tuple[int, ...] = (300,)) -> dict | None:
     """The network's weights and its scale; None unless both classes have rows.
 
-    Only texts are labelled, not windows: the first round takes from each toxic text the window with the most telling
-    n-grams, later rounds the windows that the network of the round before finds worst; from other texts come windows
-    at random and, later, the worst ones. A fifth of the texts is kept back, to scale the worst logit to a probability.
+    Only texts are labelled, not windows: the first round takes from each toxic text the windows with telling n-grams;
+    further rounds, if any, those that the network of the round before finds toxic. From other texts come windows at
+    random and the worst one of each. A fifth of the texts is kept back, to weigh the evidence of a text's windows.
+    More rounds and steps learn single words by heart, and rare ones are then found less often: one round is best.
     """
     y = np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:
@@ -91,43 +98,46 @@ def train(rows: list[tuple[str, int]], seed: int = 3, steps: tuple[int, ...] = (
         rank = np.empty(len(order), int)
         rank[order] = place
         train_side = ~back[text]
-        pos = np.flatnonzero(train_side & (y[text] == 1) & (rank < 3) & ((most > TELLING) if k == 0 else found > 0))
+        pos = np.flatnonzero(train_side & (y[text] == 1) & ((most > TELLING) if k == 0 else (found > 0)))
         if len(pos) < 10:
             pos = np.flatnonzero(train_side & (y[text] == 1) & (rank == 0))
-        chance = rng.random(len(text)) < 0.35
-        neg = np.flatnonzero(train_side & (y[text] == 0) & ((rank < 3) if k else (chance | (rank < 1))))
-        if k:
-            neg = np.union1d(neg, np.flatnonzero(train_side & (y[text] == 0) & (rng.random(len(text)) < 0.15)))
+        neg = np.flatnonzero(train_side & (y[text] == 0) & ((rng.random(len(text)) < 0.35) | (rank == 0)))
         if not len(pos) or not len(neg):
             break
         pick = np.concatenate([pos, neg])
         net.fit(p, v, first[pick], size[pick], y[text[pick]].astype(np.float32), (found[pick] > -4) & (k > 0), n, seed + k)
         found = net.logits(p, v, first, size)
-    worst = np.full(len(y), -20.0)
-    np.maximum.at(worst, text, found)
     held = back if (back & (y == 1)).any() and (back & (y == 0)).any() else np.ones(len(y), bool)
-    return p | {"scale": _scale(worst[held], y[held])}
-
-
-def _scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(a, b) of sigmoid(a x + b), by Newton's method on targets drawn in a little from 0 and 1."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    f = np.stack([np.clip(x, -20, 20), np.ones(len(x))], 1)
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
-    w = np.array([1.0, 0.0])
-    for _ in range(30):
+    return p | {"scale": _scale(evidence(found, text, len(y))[held], y[held])}
+
+
+def evidence(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """What the windows say of each of n texts: the worst window's logit, and the logit of the mean chance over all of
+    its windows; -20 for both without a window. text: the number of each window's text."""
+    x = np.clip(logits, -20, 20)
+    worst, total = np.full(n, -20.0), np.bincount(text, 1 / (1 + np.exp(-x)), n)
+    np.maximum.at(worst, text, x)
+    mean = np.clip(total / np.maximum(np.bincount(text, minlength=n), 1), 2e-9, 1 - 2e-9)
+    return np.stack([worst, np.log(mean / (1 - mean))], 1)
+
+
+def _scale(f: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the evidence and a constant, by logistic regression on kept-back texts: a chance of being toxic.
+    Targets are drawn in a little from 0 and 1; a ridge holds both weights near a quarter, and none is below 0."""
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    each = np.where(y == 1, WEIGHT, 1.0)
+    f = np.concatenate([f / 4, np.ones((len(f), 1))], 1)
+    prior, free = np.array([1.0, 1.0, 0.0]), np.ones(3, bool)
+    w = prior.copy()
+    for _ in range(60):
         q = 1 / (1 + np.exp(-f @ w))
-        grad = f.T @ (weight * (q - t)) + 1e-2 * (w - [1, 0])
-        hess = (f * (weight * q * (1 - q))[:, None]).T @ f + 1e-2 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(hess, grad), -2, 2)
-    w[0] = max(w[0], 1e-3)
-    # Where the classes stand apart, Newton's method has nothing to go by between them: the cut lies nearer to the toxic
-    # side then, as a document has many windows that are not toxic.
-    low, high = np.quantile(x[y == 1], 0.05), np.quantile(x[y == 0], 0.995)
-    if low > high:
-        w[1] = np.log(CUT / (1 - CUT)) - w[0] * (high + 0.6 * (low - high))
-    return w
+        grad = f.T @ (each * (q - t)) + RIDGE * (w - prior) * [1, 1, 0]
+        hess = (f * (each * q * (1 - q))[:, None]).T @ f + RIDGE * np.diag([1, 1, 1e-3])
+        w[free] -= np.clip(np.linalg.solve(hess[np.ix_(free, free)], grad[free]), -1, 1)
+        if (w[:2] < 0).any():
+            free[:2] &= w[:2] >= 0
+            w[:2] = np.maximum(w[:2], 0)
+    return w * [0.25, 0.25, 1]
 
 
 def _scored(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
@@ -138,18 +148,18 @@ def _scored(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]
             for i, j, data, offsets in text_slices(batch.column(batch.schema.get_field_index("_text")), SLICE):
                 v = net.vocabulary(data, offsets)
                 first, size, text = net.windows(v["rows"])
-                worst = np.full(j - i, -20.0)
-                np.maximum.at(worst, text, net.logits(p, v, first, size))
-                a, b = p["scale"]
-                score[i:j] = 1 / (1 + np.exp(-(a * worst + b)))
+                f = evidence(net.logits(p, v, first, size), text, j - i)
+                score[i:j] = 1 / (1 + np.exp(-(f @ p["scale"][:2] + p["scale"][2])))
+                give_back()
         names = [n for n in batch.schema.names if n != "_text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(score)], names=[*names, "_score"])
 
 
 def toxicity(docs: DataFrame, model: dict | None, text: str = "text", score: str = "score") -> DataFrame:
-    """The columns of docs and `score` (0 to 1; the name may be another): that of the worst window of the whole text.
+    """The columns of docs and `score` (0 to 1; the name may be another): the chance that the text is toxic.
 
-    Windows are net.WINDOW words, one every net.STRIDE, up to the end. Null and empty texts, and texts without a letter
+    Windows are net.WINDOW words, one every net.STRIDE, up to the end of the whole text; the worst one and the mean of
+    all are weighed together (evidence()). Null and empty texts, and texts without a letter
     or digit, score as a text in which nothing was found; without a model every score is 0. Equal texts score alike,
     whatever their other columns. A column `score` of docs is replaced. No shuffle; no rows give no rows.
     """

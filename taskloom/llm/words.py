@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,19 @@ _BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+@cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hands memory that is free again to the operating system: Spark keeps Python workers for later stages, and what
+    the allocators hold back in an idle one is missing there."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -346,7 +346,7 @@ def test_toxicity_held_out(spark):
             for _ in range(r.randrange(1, 4)):
                 w[r.randrange(len(w))] = r.choice(bad)
         docs.append((" ".join(w), int(i % 4 == 0)))
-    model = toxicity.train(docs[:500], steps=(120, 80))
+    model = toxicity.train(docs[:500], steps=(120,))
     rows = [(i, t, "en", "a", y) for i, (t, y) in enumerate(docs[500:])] + [(900, None, None, None, 0), (901, "", None, None, 0), (902, "!! ?", None, None, 0), (903, docs[0][0], None, None, 1), (904, "kada " * 20_000, None, None, 0)]
     got = {x.doc_id: x for x in toxicity.toxicity(frame(spark, rows).withColumn("score", F.lit("clash")), model).collect()}
     right = sum((got[i].score >= 0.7) == (y == 1) for i, _, _, _, y in rows)
@@ -356,6 +356,99 @@ def test_toxicity_held_out(spark):
     assert toxicity.train(docs[:0]) is None and toxicity.toxicity(frame(spark, []), model).count() == 0
 
 
+def test_toxicity_equals_one_window_after_another(spark):
+    """Scores against a plain version: each window by itself, word by word, gates one after another."""
+    import re as _re
+
+    from taskloom.llm import recurrent as net
+    from taskloom.llm.words import mix
+
+    r = random.Random(6)
+    pool = ["calm", "tree", "Grubbish", "zornful", "mukker", "öde", "x", "walking", "seventeen"]
+    data = [(" ".join(r.choice(pool) for _ in range(r.randrange(1, 150))), int(i % 3 == 0)) for i in range(60)]
+    p = toxicity.train(data, steps=(5,))
+
+    def rows_of(word, sizes, head):
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in word.encode())
+        out = []
+        for k in sizes:
+            for i in range(len(b) - k + 1 if not head else int(len(b) >= k)):
+                g = 2 * k + head
+                for c in b[i : i + k]:
+                    g = (g * 0x100000001B3 + c) % (1 << 64)
+                out.append(int(mix(np.array([g], np.uint64))[0] % np.uint64(net.TABLE)))
+        return out
+
+    def vector(word):
+        raw = word.encode()
+        v = net.vocabulary(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        x = p["words"][v["word"][0]].astype(float)
+        for name, sizes, head in (("grams", net.GRAMS, False), ("heads", net.BEGINNINGS, True)):
+            own = rows_of(word, sizes, head)
+            x = x + (np.mean([p[name][i] for i in own], 0) if own else 0)
+        return x
+
+    sig = lambda z: 1 / (1 + np.exp(-z))
+
+    def states(xs, d):
+        h, out, k = np.zeros(net.STATE), [], net.STATE
+        for x in xs:
+            g, u = x @ p[f"wx{d}"] + p[f"b{d}"], h @ p[f"wh{d}"]
+            reset, keep = sig(g[:k] + u[:k]), sig(g[k : 2 * k] + u[k : 2 * k])
+            n = np.tanh(g[2 * k :] + reset * u[2 * k :])
+            h = (1 - keep) * n + keep * h
+            out.append(h)
+        return out
+
+    def score(text):
+        words_ = [vector(w) for w in _re.findall(r"[^\W_]+", text or "")]
+        logits = []
+        for a in range(0, max(1, len(words_) - net.WINDOW + net.STRIDE), net.STRIDE) if words_ else []:
+            xs = words_[a : a + net.WINDOW]
+            s = np.concatenate([np.array(states(xs, "f")), np.array(states(xs[::-1], "b")[::-1])], 1)
+            e = np.exp(np.tanh(s @ p["wa"] + p["ba"]) @ p["va"])
+            logits.append(float((e / e.sum()) @ s @ p["wo"] + p["bo"][0]))
+        mean = np.mean([sig(z) for z in logits]) if logits else 2e-9
+        top = max(logits) if logits else -20.0
+        return sig(p["scale"] @ [top, np.log(mean / (1 - mean)) if logits else -20.03, 1.0])
+
+    texts = [t for t, _ in data[:12]] + ["", None, " ".join(pool * 9), " ".join(pool * 7)]
+    got = {x.doc_id: x.score for x in toxicity.toxicity(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), p).collect()}
+    assert all(abs(got[i] - score(t)) < 2e-3 for i, t in enumerate(texts))
+
+
+def test_toxicity_sample_leaves_held_out_rows(spark):
+    docs = frame(spark, [(i, f"text {i}", "en", "a", 6) for i in range(60)] + [(60, None, None, None, 0), (61, "x" * 20_000, None, None, 0), (None, "n", None, None, 0)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(4, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, "toxic", ~toxicity.held_out(), most=(9, 11))
+    ids = [int(t.split()[1]) for t, _ in got]
+    assert len(got) == 20 and sum(y for _, y in got) == 9 and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids)
+    held = {r.doc_id: r.h for r in docs.select("doc_id", toxicity.held_out().alias("h")).collect() if r.doc_id is not None}
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in held.items())
+
+
+def test_drop_toxic_and_chain(spark, tmp_path):
+    r, calm = random.Random(3), [f"{a}{b}" for a in "ka lo mi ren tu sol".split() for b in "da ve rin to pel".split()]
+    rows, marks = [], []
+    for i in range(240):
+        w = [r.choice(calm) for _ in range(60)]
+        if i % 3 == 0:
+            w[::12] = ["grubbish"] * 5
+        rows.append((i, " ".join(w), "en", "a", 9))
+        marks.append((i, 1, int(i % 3 == 0)))
+    rows += [(900, None, None, None, None), (901, "", None, None, 0)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = stages.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert {x.doc_id for x in kept.collect()} == {x[0] for x in rows if x[0] % 3 or x[0] >= 900}
+    seen = []
+    out = stages.chain(spark, [("a", lambda s, d, f: seen.append(d.count()) or d.limit(5)), ("b", lambda s, d, f: seen.append(d.count()) or d)], docs, str(tmp_path))
+    assert seen == [242, 5] and out.count() == 5
+    assert stages.drop_toxic(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 def test_words_of_texts_without_ascii_gaps():
     from taskloom.llm import recurrent as net
 
