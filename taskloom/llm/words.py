@@ -80,9 +80,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, size: np.ndarray, lower: bo
     table = _BYTE.copy()
     if lower:
         table[65:91] = table[97:123]
-    place = ragged(size)
-    values = table[data[np.repeat(starts, size) + place]] * powers(_BASE, int(size.max()))[place]
-    return mix(np.add.reduceat(values, np.cumsum(size) - size) + size.astype(np.uint64))
+    power, out = powers(_BASE, int(size.max())), np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), 1 << 16):  # what is made for each byte is many times the text
+        s, n = starts[i : i + (1 << 16)], size[i : i + (1 << 16)]
+        place = ragged(n)
+        out[i : i + len(n)] = np.add.reduceat(table[data[np.repeat(s, n) + place]] * power[place], np.cumsum(n) - n)
+    return mix(out + size.astype(np.uint64))
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -114,6 +114,41 @@ def test_remove_repeats(spark, size):
         assert r.text == (kept if gone else next(d[1] for d in docs if d[0] == r.doc_id))
 
 
+@pytest.mark.parametrize("often,held,piece", [(1, 50_000, 200_000), (3, 50, 30), (32, 20, 200_000), (10**9, 10**9, 25)])
+def test_remove_repeats_of_frequent_symbols(spark, often, held, piece):
+    """Frequent symbols, long texts in pieces: the same results whatever the bounds."""
+    r = random.Random(often)
+    phrase = " ".join(f"p{i}" for i in range(12))
+    docs = corpus(12, 40)
+    for i in range(60):  # a phrase shorter than a window, in other surroundings each time; some of them repeat
+        around = [f"a{r.randrange(3)}" for _ in range(14)]
+        docs.append((1000 + i, " ".join([*around[:7], phrase, *around[7:], phrase, "end"]), "en", "a", 0))
+    docs.append((2000, " ".join(d[1] or "" for d in docs[::3]), "en", "a", 0))
+    want = brute_repeats(docs, 20)
+    was = substrings.OFTEN, substrings.HELD, substrings.PIECE
+    try:
+        substrings.OFTEN, substrings.HELD, substrings.PIECE = often, held, piece
+        plain = [(d[0], 0, d[1]) for d in sorted(docs)]
+        import pyarrow as pa
+
+        def batch(rows, n):
+            t = pa.table({"doc": pa.array([x[0] for x in rows], pa.int64()), "mark": pa.array([x[1] for x in rows], pa.int64()), "text": pa.array([x[2] for x in rows], pa.string())})
+            return t.to_batches(max_chunksize=n)
+
+        sent = pa.Table.from_batches(substrings._sent(iter(batch(plain, 25)), 20)).sort_by([("key", "ascending"), ("kind", "ascending")])
+        judged = pa.Table.from_batches(substrings._judged(iter(sent.to_batches(max_chunksize=17))), sent.schema)
+        apart = judged.filter(pa.compute.equal(judged["kind"], substrings.APART)).sort_by([(c, "ascending") for c in ("key", "payload", "doc", "at")])
+        known = [judged.filter(pa.compute.equal(judged["kind"], substrings.KNOWN)), *([pa.Table.from_batches(substrings._later(iter(apart.to_batches(max_chunksize=5))), sent.schema)] if len(apart) else [])]
+        gone = defaultdict(set)
+        for t in known:
+            for d, p in zip(t["doc"].to_pylist(), t["payload"].to_pylist()):
+                for s in np.frombuffer(p, np.uint32):
+                    gone[d] |= set(range(s, s + 20))
+        assert {d: len(gone[d]) for d in want} == {d: x[1] for d, x in want.items()}
+    finally:
+        substrings.OFTEN, substrings.HELD, substrings.PIECE = was
+
+
 def test_parse_is_local(spark):
     """A window's symbols are the same wherever it stands."""
     rng = np.random.default_rng(0)
