@@ -261,6 +261,22 @@ def test_near_duplicates_edges(spark):
     assert got == [(-1, 2, -1, True), (5, 2, -1, False), (5, 2, -1, False), (6, 0, 6, True), (7, 0, 7, True), (8, 1, 8, True)]
 
 
+def test_near_duplicates_of_repeated_keys(spark):
+    """Rows of one key are one node, so their links count together."""
+    w, z, more = "one two three four five six seven eight nine ten", "red green blue black white grey pink brown teal gold", " x"
+    docs = [(5, w), (5, z), (1, w + more), (2, z + more), (5, ""), (9, None)]
+    got = minhash.near_duplicates(frame(spark, [(i, t, None, None, 0) for i, t in docs]), shingle=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (2, 1, False), (5, 1, False), (5, 1, False), (5, 1, False), (9, 9, True)]
+
+
+def test_near_duplicates_of_long_texts(spark):
+    r = random.Random(8)
+    long = [f"t{r.randrange(5000)}" for _ in range(30_000)]
+    docs = [(3, " ".join(long)), (4, " ".join(long[:28_000])), (5, " ".join(long[:15_000]))]
+    df = frame(spark, [(i, t, None, None, 0) for i, t in docs])
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(df).collect()} == {3: 3, 4: 3, 5: 5}
+
+
 def test_registers_estimate_jaccard():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 50, 2000, dtype=np.uint64)
