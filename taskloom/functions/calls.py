@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .jsonkit import json_facts
+from .jsonkit import json_facts, loads
+from .vectorised import vectorised
 
 CALL_BLOCK = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
 
 
-def first_call_text(content: Column) -> Column:
-    """The JSON text in the first <tool_call> block, or null."""
-    return F.nullif(F.regexp_extract(content, CALL_BLOCK, 1), F.lit(""))
+def all_calls(content: Column) -> Column:
+    """Every <tool_call> block that is JSON, as an agent reads them: a list gives its first element, and a tool of the
+    server's own name becomes a call_tool of it."""
+    first = lambda j: F.when(j.startswith("["), F.get_json_object(j, "$[0]")).otherwise(j)
+    blocks = F.transform(F.regexp_extract_all(content, F.lit(CALL_BLOCK), F.lit(1)), first)
+    blocks = F.filter(blocks, lambda j: F.get_json_object(j, "$.name").isNotNull())
+
+    def wrapped(j: Column) -> Column:
+        name, args = F.get_json_object(j, "$.name"), F.coalesce(F.get_json_object(j, "$.arguments"), F.lit("{}"))
+        inner = F.to_json(F.struct(name.alias("tool_name"), args.alias("arguments")))
+        return F.when(name.startswith("mcp_tool_"), F.concat(F.lit('{"name":"call_tool","arguments":'), inner, F.lit("}"))).otherwise(j)
+
+    return F.transform(blocks, wrapped)
+
+
+@vectorised("array<string>")
+def first_objects(s: pd.Series) -> pd.Series:
+    """For each text of an array the first <tool_call> block, if it is a JSON object, else null."""
+    block = re.compile(CALL_BLOCK)
+
+    def one(text: str | None) -> str | None:
+        found = block.search(text or "")
+        return found[1] if found and isinstance(loads(found[1])[1], dict) else None
+
+    return s.map(lambda texts: None if texts is None else [one(t) for t in texts])
 
 
-def all_call_texts(content: Column) -> Column:
-    return F.regexp_extract_all(content, F.lit(CALL_BLOCK), F.lit(1))
+def steps_with_calls(steps: Column) -> Column:
+    """steps (structs: role, content, calls, response) with their calls: structured calls (JSON texts) win; a step
+    without any has the one in its text. No shuffle."""
+    none = F.array().cast("array<string>")
+    texts = first_objects(F.transform(steps, lambda s: s["content"]))
 
+    def filled(s: Column, said: Column) -> Column:
+        own = F.coalesce(s["calls"], none)
+        calls = F.when(F.size(own) > 0, own).when(said.isNotNull(), F.array(said)).otherwise(none)
+        return F.struct(s["role"].alias("role"), s["content"].alias("content"), calls.alias("calls"), s["response"].alias("response"))
 
-def calls_of(calls: Column, content: Column) -> Column:
-    """Structured calls (JSON texts) win; without any, the first block of the content if it is a JSON object."""
-    block = first_call_text(content)
-    own = F.when(json_facts(block)["kind"] == "object", F.array(block)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(F.coalesce(calls, F.array().cast("array<string>"))) > 0, calls).otherwise(own)
+    return F.zip_with(steps, texts, filled)
 
 
 def normalized_call(call: Column) -> Column:
@@ -34,7 +63,8 @@ def normalized_call(call: Column) -> Column:
     outer_ok = args.startswith("{")
     made = lambda tool, a, ok: F.struct(tool.alias("tool"), a.alias("args"), ok.alias("args_parse_ok"))
     none = F.lit(None).cast("string")
-    wrapped = F.when(F.coalesce(outer_ok, F.lit(False)), made(F.get_json_object(args, "$.tool_name"), inner, F.coalesce(json_facts(inner)["ok"], F.lit(False)))).otherwise(made(none, args, F.lit(False)))
+    facts = json_facts(inner)
+    wrapped = F.when(F.coalesce(outer_ok, F.lit(False)), made(F.get_json_object(args, "$.tool_name"), F.coalesce(facts["text"], inner), F.coalesce(facts["ok"], F.lit(False)))).otherwise(made(none, args, F.lit(False)))
     other = made(name, args, F.coalesce(args.startswith("{") | args.startswith("["), args.isNull()))
     return F.when(name == "list_tools", None).when(name == "call_tool", wrapped).otherwise(other)
 

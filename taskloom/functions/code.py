@@ -5,12 +5,14 @@ from __future__ import annotations
 import ast
 import json
 import re
+import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import IMPORTANT_COLUMN, compact_space
 from .vectorised import vectorised
 
 FIRST_CONSTRAINTS, FIRST_INDEXES = 6, 4
@@ -72,43 +74,76 @@ def ddl_columns(s: pd.Series) -> pd.Series:
 
 
 def table_summary(name: Column, parts: Column, indexes: Column, most: int = 24) -> Column:
-    """One line for a table: its columns with marks, then its first constraints and indexes."""
+    """A table in up to three lines: its first columns with marks, its first constraints and its first indexes."""
     cols = F.filter(parts, lambda p: ~p["is_constraint"])
-    mark = lambda p: F.concat_ws(",", F.when(p["primary_key"], "pk"), F.when(p["required"], "required"), F.when(p["is_unique"], "unique"), F.when(p["has_default"], "default"))
-    text = F.transform(F.slice(cols, 1, most), lambda p: F.concat(p["name"], F.when(mark(p) != "", F.concat(F.lit("["), mark(p), F.lit("]"))).otherwise("")))
-    more = F.size(cols) - most
-    rules = F.transform(F.filter(parts, lambda p: p["is_constraint"]), lambda p: p["text"])
-    return F.concat_ws("; ", F.concat(name, F.lit(": "), F.array_join(text, ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise("")), F.nullif(F.array_join(F.slice(rules, 1, FIRST_CONSTRAINTS), "; "), F.lit("")), F.nullif(F.array_join(F.slice(indexes, 1, FIRST_INDEXES), "; "), F.lit("")))
-
-
-_ROUTE = re.compile(r"@\w+\.(get|post|put|patch|delete)\(\s*[\"']([^\"']+)[\"'](.*?)\)\s*\n\s*(?:async\s+)?def\s+(\w+)\s*\((.*?)\)", re.S)
-ENDPOINTS = "scenario string, no int, method string, path string, summary string, function string, parameters string, parsed boolean"
-
+    marks = lambda p: F.concat_ws(" ", p["name"], F.when(p["primary_key"], "pk"), F.when(p["required"], "required"), F.when(p["is_unique"], "unique"), F.when(p["has_default"], "default"), F.when(p["name"].rlike(f"(?i){IMPORTANT_COLUMN}"), "important"))
+    text = F.coalesce(F.nullif(F.array_join(F.transform(F.slice(cols, 1, most), marks), ", "), F.lit("")), F.lit("(unparsed)"))
+    rules = F.transform(F.slice(F.filter(parts, lambda p: p["is_constraint"]), 1, FIRST_CONSTRAINTS), lambda p: compact_space(p["text"]))
+    found = F.transform(F.slice(F.coalesce(indexes, F.array().cast("array<string>")), 1, FIRST_INDEXES), compact_space)
+    tail = lambda what, x: F.when(F.size(x) > 0, F.concat(F.lit(f"  {what}: "), F.array_join(x, "; ")))
+    return F.concat_ws("\n", F.concat(F.lit("- `"), F.coalesce(name, F.lit("unknown_table")), F.lit("` columns: "), text), tail("constraints", rules), tail("indexes", found))
+
+
+ENDPOINTS = "scenario string, no int, method string, path string, summary string, description string, function string, parameters array<string>, kinds array<string>, parsed boolean"
+_METHODS = ("get", "post", "put", "patch", "delete")
+#: Arguments that a server hands in by itself.
+_GIVEN = ("request", "response")
+
+
+def _said(call: ast.Call, name: str) -> str | None:
+    return next((str(k.value.value) for k in call.keywords if k.arg == name and isinstance(k.value, ast.Constant)), None)
+
+
+def _decorated(f: ast.AST, d: ast.AST) -> tuple | None:
+    """The endpoint that a decorator of the object `app` makes of a function."""
+    if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and isinstance(d.func.value, ast.Name) and d.func.value.id == "app" and d.func.attr in _METHODS and d.args and isinstance(d.args[0], ast.Constant)):
+        return None
+    own = [a for a in [*f.args.args, *f.args.kwonlyargs] if a.arg not in _GIVEN]
+    return d.func.attr.upper(), str(d.args[0].value), _said(d, "summary"), _said(d, "description"), f.name, [a.arg for a in own], [ast.unparse(a.annotation) if a.annotation else "" for a in own]
+
+
+def _pieces(code: str) -> Iterator[str]:
+    """Sources of the decorated functions of a text that does not parse as a whole: from a line with @app. to the
+    function's head, each with an empty body."""
+    lines, i = code.split("\n"), 0
+    while i < len(lines):
+        if lines[i].lstrip().startswith("@app."):
+            for j in range(i + 1, min(i + 60, len(lines))):
+                if re.match(r"\s*(async\s+)?def\s", lines[j]):
+                    for k in range(j, min(j + 60, len(lines))):
+                        if lines[k].rstrip().endswith(":"):
+                            yield textwrap.dedent("\n".join(lines[i : k + 1])) + "\n    pass"
+                            i = k
+                            break
+                    break
+        i += 1
+
+
+def _endpoints(code: str) -> tuple[bool, list[tuple]]:
+    def of(source: str) -> list[tuple] | None:
+        try:
+            tree = ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return None
+        functions = sorted((f for f in ast.walk(tree) if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef))), key=lambda f: f.lineno)
+        return [e for f in functions for d in f.decorator_list if (e := _decorated(f, d))]
 
-def _endpoints(code: str) -> tuple[bool, list[tuple[str, str, str | None, str, str]]]:
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False, [(m[1].upper(), m[2], (re.search(r"summary\s*=\s*[\"']([^\"']*)", m[3]) or [None, None])[1], m[4], ",".join(p.split(":")[0].split("=")[0].strip() for p in m[5].split(",") if p.strip())) for m in _ROUTE.finditer(code)]
-    out = []
-    for f in ast.walk(tree):
-        if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            for d in f.decorator_list:
-                if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in ("get", "post", "put", "patch", "delete") and d.args and isinstance(d.args[0], ast.Constant):
-                    said = next((k.value.value for k in d.keywords if k.arg == "summary" and isinstance(k.value, ast.Constant)), None)
-                    out.append((f.lineno, (d.func.attr.upper(), str(d.args[0].value), said, f.name, ",".join(a.arg for a in f.args.args))))
-    return True, [x for _, x in sorted(out, key=lambda x: x[0])]
+    whole = of(code)
+    return (True, whole) if whole is not None else (False, [e for part in _pieces(code) for e in of(part) or []])
 
 
 def endpoint_table(envs: DataFrame, most: int = 100) -> DataFrame:
-    """Endpoints of server sources (scenario, full_code): by syntax tree, or by pattern where the source does not parse."""
+    """Endpoints of server sources (scenario, full_code), in order; kinds are the parameters' annotations. A source that
+    does not parse is read function by function (parsed is false)."""
+    names = [c.split()[0] for c in ENDPOINTS.split(", ")]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for scenario, code in zip(b["scenario"], b["full_code"]):
                 ok, found = _endpoints(code or "")
                 rows += [(scenario, i, *x, ok) for i, x in enumerate(found[:most])]
-            yield pd.DataFrame(rows, columns=["scenario", "no", "method", "path", "summary", "function", "parameters", "parsed"])
+            yield pd.DataFrame(rows, columns=names)
 
     return envs.select("scenario", "full_code").mapInPandas(read, ENDPOINTS)
 

@@ -24,13 +24,18 @@ def dumps(value: object) -> str:
 
 
 def outermost(text: str | None) -> tuple[bool, object]:
-    """Strict JSON; else what stands between the first opening and the last closing brace; an empty text is {}."""
+    """Strict JSON; else without control characters; else what stands between the outer braces, or brackets, then; an
+    empty text is {}."""
     if text is None or not text.strip():
         return True, {}
     ok, value = loads(text)
-    if not ok:
-        a, b = text.find("{"), text.rfind("}")
-        ok, value = loads(text[a : b + 1]) if 0 <= a < b else (False, None)
+    if not ok:  # bytes that JSON does not allow inside, then what stands around
+        clean = "".join(c for c in text if c in "\t\n\r" or ord(c) >= 32)
+        ok, value = loads(clean)
+        for left, right in ("{}", "[]"):
+            a, b = clean.find(left), clean.rfind(right)
+            if not ok and 0 <= a < b:
+                ok, value = loads(clean[a : b + 1])
     return ok, value
 
 
@@ -90,48 +95,64 @@ def payload_flags(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in s], columns=["json_like", "non_empty", "empty_signal"])
 
 
-def squeezed(value: object, items: int, chars: int, cuts: list[dict], path: str = "$") -> object:
-    """value with long lists and strings cut; each cut is logged under its path."""
-    if isinstance(value, dict):
-        return {k: squeezed(v, items, chars, cuts, f"{path}.{k}") for k, v in value.items()}
-    if isinstance(value, list):
-        if len(value) > items:
-            cuts.append({"path": path, "type": "list", "omitted_count": len(value) - items})
-        return [squeezed(v, items, chars, cuts, f"{path}[{i}]") for i, v in enumerate(value[:items])]
-    if isinstance(value, str) and len(value) > chars:
-        cuts.append({"path": path, "type": "string", "original_chars": len(value), "kept_chars": chars})
-        return f"{value[:chars]}...[truncated {len(value) - chars} chars]"
-    return value
+CUTS = "array<struct<path string, type string, omitted_count long, original_chars long, kept_chars long>>"
 
 
-CUTS = "array<struct<path string, type string, omitted_count long, original_chars long, kept_chars long>>"
+def _cut(path: str, kind: str, **sizes: int) -> dict:
+    return {"path": path, "type": kind, "omitted_count": None, "original_chars": None, "kept_chars": None} | sizes
+
+
+def _shown(text: str, most: int) -> str:
+    return text if len(text) <= most else f"{text[:most]}...[truncated {len(text) - most} chars]"
+
+
+def shortened(value: object, items: int, chars: int) -> tuple[object, list[dict]]:
+    """(value with long lists and strings cut, the cuts with their paths). Places wait on a stack, so depth costs no
+    recursion; each place is a container of the new value and a key in it."""
+    root, cuts = [value], []
+    places = [(root, 0, "$")]
+    while places:
+        holder, key, path = places.pop()
+        old = holder[key]
+        if isinstance(old, str):
+            holder[key] = _shown(old, chars)
+            if len(old) > chars:
+                cuts.append(_cut(path, "string", original_chars=len(old), kept_chars=chars))
+        elif isinstance(old, (list, dict)):
+            holder[key] = new = dict(old) if isinstance(old, dict) else old[:items]
+            if len(new) < len(old):
+                cuts.append(_cut(path, "list", omitted_count=len(old) - len(new)))
+            inner = [(new, k, f"{path}.{k}") for k in new] if isinstance(new, dict) else [(new, k, f"{path}[{k}]") for k in range(len(new))]
+            places += reversed(inner)
+    return root[0], cuts
 
 
 def observation(items: int = 10, chars: int = 300, json_chars: int = 2000, text_chars: int = 800):
-    """A function of a response column: struct(type, content, truncated, parse_ok, truncations)."""
-    names = ["type", "content", "truncated", "parse_ok", "truncations"]
+    """A function of a response column: struct(type, content, truncated, parse_ok, truncations).
+
+    type: none for null; json for objects and arrays, shortened and then cut as text if they are long still; else text,
+    with its white space compacted. parse_ok is whether the text is JSON at all.
+    """
+
+    def of_json(value: object) -> tuple:
+        small, cuts = shortened(value, items, chars)
+        compact = dumps(small)
+        if len(compact) > json_chars:
+            cuts.append(_cut("$", "json_chars", original_chars=len(compact), kept_chars=json_chars))
+        return "json", _shown(compact, json_chars), len(cuts) > 0, True, cuts
+
+    def of_text(text: str, is_json: bool) -> tuple:
+        plain = " ".join(text.split())
+        return "text", _shown(plain, text_chars), len(plain) > text_chars, is_json, None
+
+    def one(text: str | None) -> tuple:
+        if text is None:
+            return "none", None, False, None, None
+        ok, value = loads(text)
+        return of_json(value) if isinstance(value, (dict, list)) else of_text(text, ok)
 
     @vectorised(f"type string, content string, truncated boolean, parse_ok boolean, truncations {CUTS}")
     def summed(s: pd.Series) -> pd.DataFrame:
-        def full(cut: dict) -> dict:
-            return {k: cut.get(k) for k in ("path", "type", "omitted_count", "original_chars", "kept_chars")}
-
-        def cut_text(text: str, most: int) -> str:
-            return text if len(text) <= most else f"{text[:most]}...[truncated {len(text) - most} chars]"
-
-        def one(text: str | None) -> tuple:
-            if text is None:
-                return "none", None, False, None, None
-            ok, v = loads(text)
-            if not isinstance(v, (dict, list)):
-                plain = " ".join(text.split())
-                return "text", cut_text(plain, text_chars), len(plain) > text_chars, ok, None
-            cuts: list[dict] = []
-            compact = dumps(squeezed(v, items, chars, cuts))
-            if len(compact) > json_chars:
-                cuts.append({"path": "$", "type": "json_chars", "original_chars": len(compact), "kept_chars": json_chars})
-            return "json", cut_text(compact, json_chars), bool(cuts), True, [full(c) for c in cuts]
-
-        return pd.DataFrame([one(x) for x in s], columns=names)
+        return pd.DataFrame([one(x) for x in s], columns=["type", "content", "truncated", "parse_ok", "truncations"])
 
     return summed

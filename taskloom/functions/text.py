@@ -22,6 +22,10 @@ MUTATING_PATTERN = r"(^|_)(create|update|delete|cancel|book|reserve|add|remove|a
 SKILL_SECTIONS = ("## Use When", "## Planning Hints", "## Tool Guardrails", "## State Checks", "## Avoid", "## Evidence")
 SKILL_BANNED = (r"\bdatasets?\b", r"\btrajector(?:y|ies)\b", r"\btraining\b", r"\bthinking process\b", r"\banalyze the request\b", r"\bdrafting the content\b")
 SKILL_WILDCARD = r"mcp_tool_[a-zA-Z0-9_]+\*|mcp_tool_[a-zA-Z0-9_]+_\b|\b(?:list|get|create|update|delete)_\*"
+DESCRIPTION_STOPS = ("### Responses", "## Responses", "**200**", "**201**", "**400**", "**401**", "**403**", "**404**", "**422**", "Content-Type:", "**Example Response:**", "Example Response:", "Example:", "```")
+SCHEMA_HEADER = "Database Schema (SQLite3):"
+IMPORTANT_COLUMN = r"(status|state|type|role|priority|category|method|mode|frequency|interval|currency|amount|total|balance|price|cost|quantity|qty|count|is_|has_|default|primary|active|created_at|updated_at|date|time|id$)"
+TOOL_PREFIX = "mcp_tool_mcp_server_"
 REWARD_VALUES = (("complete", 1.0), ("incomplete", 0.1), ("agent_error", 0.0), ("server_error", 0.0), ("judge_error", 0.0), ("others", 0.0), ("format_error", -1.0))
 
 
@@ -73,22 +77,31 @@ def is_mutating(tool: Column) -> Column:
 
 
 def scenario_text(name: str = "name", description: str = "description", categories: str = "categories", features: str = "simulatable_features") -> Column:
-    """What a scenario is embedded by: its name, 500 characters of description, categories and five features."""
-    return F.concat_ws("\n", F.col(name), F.substring(F.col(description), 1, 500), F.concat(F.lit("Categories: "), F.array_join(categories, ", ")), F.concat(F.lit("Features: "), F.array_join(F.slice(F.col(features), 1, 5), ", ")))
+    """What a scenario is embedded by: its name, 500 characters of description, categories and five features, in one
+    line; missing parts are empty."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(part(F.col(name)), F.lit(": "), part(F.substring(F.col(description), 1, 500)), F.lit(" Categories: "), part(F.array_join(categories, ", ")), F.lit(". Features: "), part(F.array_join(F.slice(F.col(features), 1, 5), ", ")))
+
+
+def quoted(c: Column) -> Column:
+    """A text as a JSON string; null as null."""
+    both = F.to_json(F.array(c))
+    return F.when(c.isNull(), "null").otherwise(F.substr(both, F.lit(2), F.char_length(both) - 2))
 
 
 def trace_text(task: Column, steps: Column, final: Column) -> Column:
-    """Numbered steps (structs with tool, args, obs) and the final answer as one text."""
-    lines = F.transform(steps, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(s["tool"], F.lit("null")), F.lit("("), F.coalesce(s["args"], F.lit("{}")), F.lit(") -> "), F.coalesce(s["obs"], F.lit("null"))))
-    return F.concat_ws("\n", F.concat(F.lit("Task: "), task), F.array_join(lines, "\n"), F.concat(F.lit("Final: "), F.coalesce(final, F.lit(""))))
+    """Numbered steps (structs with step, tool, and args and obs as JSON texts) and the final answer as one text."""
+    lines = F.transform(steps, lambda s: F.concat(s["step"].cast("string"), F.lit(". Call "), s["tool"], F.lit(" with "), F.coalesce(s["args"], F.lit("null")), F.lit("; observe "), F.coalesce(s["obs"], F.lit("null")), F.lit(".")))
+    return F.concat(F.lit("Task: "), F.coalesce(task, F.lit("")), F.lit("\nSteps:\n"), F.array_join(lines, "\n"), F.lit("\nFinal: "), F.coalesce(final, F.lit("")))
 
 
-def tool_description(c: Column, stops: tuple[str, ...] = ("Args:", "Parameters:", "Returns:", "Responses:")) -> Column:
+def tool_description(c: Column, stops: tuple[str, ...] = DESCRIPTION_STOPS) -> Column:
     """The non-empty lines before the first one that begins with a stop."""
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = F.transform(F.split(c, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda x: F.regexp_replace(x, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", ""))
+    lines = F.filter(lines, lambda x: x != "")
     is_stop = F.transform(lines, lambda x: reduce(lambda a, b: a | b, [x.startswith(s) for s in stops]))
     at = F.array_position(is_stop, F.lit(True))
-    return F.array_join(F.when(at > 0, F.slice(lines, F.lit(1), at.cast("int") - 1)).otherwise(lines), " ")
+    return F.array_join(F.when(at > 0, F.slice(lines, F.lit(1), at.cast("int") - 1)).otherwise(lines), "\n")
 
 
 def word_total(c: Column) -> Column:
@@ -121,11 +134,29 @@ def is_valid_result(mode: str, mode_c: Column, reward: Column, verdict: Column)
 
 
 def schema_text(tables: Column) -> Column:
-    """DDL and index statements of all tables (structs of name, ddl, indexes), tables apart by a blank line."""
-    return F.array_join(F.transform(tables, lambda t: F.concat_ws("\n", t["ddl"], F.nullif(F.array_join(t["indexes"], "\n"), F.lit("")))), "\n\n")
+    """DDL and index statements of all tables (structs of name, ddl, indexes) under a header; a blank line follows each
+    DDL and each table's indexes, and none ends the text."""
+    def lines(t: Column) -> Column:
+        ddl, indexes = F.btrim(F.coalesce(t["ddl"], F.lit("")), F.lit(" \t\n\r")), F.coalesce(t["indexes"], F.array().cast("array<string>"))
+        plain = F.filter(F.transform(indexes, lambda x: F.btrim(x, F.lit(" \t\n\r"))), lambda x: x != "")
+        none = F.array().cast("array<string>")
+        return F.concat(F.when(ddl != "", F.array(ddl, F.lit(""))).otherwise(none), plain, F.when(F.size(indexes) > 0, F.array(F.lit(""))).otherwise(none))
+
+    whole = F.concat(F.array(F.lit(SCHEMA_HEADER), F.lit("")), F.flatten(F.transform(tables, lines)))
+    return F.regexp_replace(F.array_join(whole, "\n"), r"\n+$", "")
+
+
+def tool_summary(endpoints: Column) -> Column:
+    """One line for each endpoint (structs of method, path, summary, description, function, parameters: names)."""
+    def line(e: Column) -> Column:
+        said = compact_space(F.coalesce(F.nullif(e["summary"], F.lit("")), e["description"], F.lit("")))
+        args = F.array_join(F.slice(e["parameters"], 1, 12), ", ")
+        return F.concat(F.lit(f"- `{TOOL_PREFIX}"), F.coalesce(e["function"], F.lit("")), F.lit("`: "), e["method"], F.lit(" "), e["path"], F.when(args != "", F.concat(F.lit("; args: "), args)).otherwise(""), F.when(said != "", F.concat(F.lit("; "), F.substring(said, 1, 180))).otherwise(""))
+
+    return F.when(F.size(endpoints) > 0, F.array_join(F.transform(endpoints, line), "\n")).otherwise("(tool summary unavailable)")
 
 
-def summary_text(lines: Column, most: int, what: str) -> Column:
-    """The first `most` lines, and how many more there are."""
+def database_summary(lines: Column, most: int) -> Column:
+    """The summaries of the first `most` tables, and how many more there are."""
     more = F.size(lines) - most
-    return F.concat_ws("\n", F.array_join(F.slice(lines, 1, most), "\n"), F.when(more > 0, F.concat(F.lit("... "), more.cast("string"), F.lit(f" more {what} omitted"))))
+    return F.when(F.size(lines) > 0, F.concat_ws("\n", F.array_join(F.slice(lines, 1, most), "\n"), F.when(more > 0, F.concat(F.lit("- ... "), more.cast("string"), F.lit(" more tables omitted"))))).otherwise("(database summary unavailable)")

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calls import normalized_call, response_after
+from ..functions.calls import normalized_call, response_after, steps_with_calls
 from ..functions.jsonkit import observation
-from ..functions.text import has_error_phrase, trace_text
+from ..functions.text import has_error_phrase, quoted, trace_text
 
 KEY = ["run", "scenario", "task_id"]
 REASONS = ("parse_error", "not_complete", "all_tool_calls_unparseable", "no_call_tool", "tool_error", "no_final_answer")
 
 
+def with_calls(trajectories: DataFrame) -> DataFrame:
+    """trajectories whose steps hold their calls: the structured ones, or, where there are none, the one in the text."""
+    return trajectories.withColumn("steps", steps_with_calls(F.col("steps")))
+
+
 def final_answer(steps: Column) -> Column:
-    """The last assistant message with text and without calls."""
+    """The last assistant message with text and without calls (steps as with_calls() gives them)."""
     said = F.filter(steps, lambda s: (s["role"] == "assistant") & (F.trim(s["content"]) != "") & (F.size(s["calls"]) == 0))
     return F.trim(F.get(said, F.size(said) - 1)["content"])
 
@@ -25,36 +30,46 @@ def last_message(steps: Column) -> Column:
     return F.get(said, F.size(said) - 1)["content"]
 
 
-def kept_calls(trajectories: DataFrame) -> DataFrame:
-    """One row for each call that has a tool, numbered from 1 in order, with its response.
+def listed_calls(trajectories: DataFrame) -> DataFrame:
+    """One row for each assistant call but list_tools, with its response; tool is null or empty where it has none.
 
     trajectories: KEY and steps, an array of structs (role, content, calls: array of JSON texts, response). The response
-    is found inside the array, so nothing is shuffled until steps are numbered.
+    is found inside the array.
     """
     rows = trajectories.select(*KEY, "steps", F.posexplode("steps").alias("entry_pos", "step")).where(F.col("step.role") == "assistant")
     rows = rows.select(*KEY, "entry_pos", response_after(F.col("steps"), F.col("entry_pos")).alias("response"), F.posexplode("step.calls").alias("call_pos", "call"))
     rows = rows.withColumn("c", normalized_call(F.col("call"))).where("c is not null")
+    return rows.select(*KEY, "entry_pos", "call_pos", "response", "c.tool", "c.args", "c.args_parse_ok")
+
+
+def kept_calls(listed: DataFrame) -> DataFrame:
+    """The calls that have a tool, numbered from 1 in order."""
     number = F.row_number().over(Window.partitionBy(*KEY).orderBy("entry_pos", "call_pos"))
-    listed = rows.select(*KEY, "entry_pos", "call_pos", "response", "c.tool", "c.args", "c.args_parse_ok")
     return listed.where("tool is not null and tool <> ''").withColumn("step", number)
 
 
 def cleaned(trajectories: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One row for each trajectory: reason (null: kept), calls, tools, trace and final answer.
+    """One row for each trajectory: reason (null: kept), calls, tools in the order of the calls, trace and final answer.
 
-    Reasons in order: no list of steps, not complete, calls listed but none usable, no call at all, an error phrase in
-    a response, no final answer.
+    Reasons in order: not complete, no list of steps, calls without a tool only, no call at all, an error phrase in a
+    response, no final answer. Calls in texts count where a step has no structured ones. A trajectory's calls meet in
+    one row: they are bounded by the length of a run.
     """
-    calls = kept_calls(trajectories).withColumn("obs", observation()("response")).withColumn("obs_error", has_error_phrase(F.col("response")))
-    step = F.struct("step", "tool", "args", F.col("obs.content").alias("obs"), "args_parse_ok", "obs_error")
+    t = with_calls(trajectories)
+    listed = listed_calls(t)
+    lost = listed.where("coalesce(tool, '') = ''").groupBy(*KEY).agg(F.count("*").alias("lost"))
+    calls = kept_calls(listed).withColumn("o", observation()("response")).withColumn("obs_error", has_error_phrase(F.col("response")))
+    whole = (F.col("o.type") == "json") & ~F.exists("o.truncations", lambda x: x["type"] == "json_chars")
+    obs = F.when(whole, F.col("o.content")).otherwise(quoted(F.col("o.content")))
+    args = F.when(F.col("args_parse_ok"), F.col("args")).otherwise(quoted(F.col("args")))
+    step = F.struct("step", "tool", args.alias("args"), obs.alias("obs"), "args_parse_ok", "obs_error")
     per = calls.groupBy(*KEY).agg(F.array_sort(F.collect_list(step)).alias("calls"), F.bool_or("obs_error").alias("failed"))
-    listed = F.aggregate(F.transform("steps", lambda s: F.size(s["calls"])), F.lit(0), lambda a, b: a + b)
-    base = trajectories.select(*KEY, "task", F.col("steps").isNull().alias("bad"), listed.alias("listed"), final_answer(F.col("steps")).alias("final"), F.length(F.to_json("steps")).alias("raw_chars"))
-    rows = base.join(verdicts.select(*KEY, "reward_type"), KEY, "left").join(per, KEY, "left")
+    base = t.select(*KEY, "task", F.col("steps").isNull().alias("bad"), final_answer(F.col("steps")).alias("final"), F.length(F.to_json("steps")).alias("raw_chars"))
+    rows = base.join(verdicts.select(*KEY, "reward_type"), KEY, "left").join(per, KEY, "left").join(lost, KEY, "left")
     none = F.col("calls").isNull()
-    reason = F.when(F.col("bad"), "parse_error").when(F.coalesce(F.col("reward_type") != "complete", F.lit(True)), "not_complete").when(none & (F.col("listed") > 0), "all_tool_calls_unparseable").when(none, "no_call_tool").when(F.col("failed"), "tool_error").when(F.col("final").isNull(), "no_final_answer")
+    reason = F.when(F.coalesce(F.col("reward_type") != "complete", F.lit(True)), "not_complete").when(F.col("bad"), "parse_error").when(none & (F.col("lost") > 0), "all_tool_calls_unparseable").when(none, "no_call_tool").when(F.col("failed"), "tool_error").when(F.col("final").isNull(), "no_final_answer")
     trace = trace_text(F.col("task"), F.col("calls"), F.col("final"))
-    return rows.select(*KEY, reason.alias("reason"), F.coalesce(F.size("calls"), F.lit(0)).alias("num_tool_calls"), F.array_sort(F.array_distinct(F.transform("calls", lambda c: c["tool"]))).alias("tools_used"), "calls", "final", trace.alias("trace"), "raw_chars")
+    return rows.select(*KEY, reason.alias("reason"), F.coalesce(F.size("calls"), F.lit(0)).alias("num_tool_calls"), F.transform("calls", lambda c: c["tool"]).alias("tools_used"), "calls", "final", trace.alias("trace"), "raw_chars")
 
 
 def cleaning_stats(rows: DataFrame) -> DataFrame:
@@ -62,9 +77,11 @@ def cleaning_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("n"), F.avg("num_tool_calls").alias("avg_calls"), F.avg("raw_chars").alias("avg_raw_chars"), F.avg(F.length("trace")).alias("avg_clean_chars"))
 
 
-def compression_ratio(rows: DataFrame) -> DataFrame:
-    """Average clean characters of kept rows over average raw characters of all."""
-    return rows.agg((F.avg(F.when(F.col("reason").isNull(), F.length("trace"))) / F.avg("raw_chars")).alias("ratio"))
+def cleaning_totals(rows: DataFrame) -> DataFrame:
+    """One row: matched, kept and rejected trajectories, average calls of the kept, and characters before and after."""
+    kept = F.col("reason").isNull()
+    clean = F.avg(F.when(kept, F.length("trace")))
+    return rows.agg(F.count("*").alias("matched"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("rejected"), F.avg(F.when(kept, F.col("num_tool_calls"))).alias("avg_calls"), F.avg("raw_chars").alias("avg_raw_chars"), clean.alias("avg_clean_chars"), (clean / F.avg("raw_chars")).alias("ratio"))
 
 
 def top_tools(rows: DataFrame, most: int = 50) -> DataFrame:

@@ -48,16 +48,13 @@ def run_counters(classified: DataFrame) -> DataFrame:
 
 
 def error_signatures(classified: DataFrame, top: int = TOP) -> DataFrame:
-    """The `top` most frequent signatures of each run of a task (ties: the one seen first), with their counts.
-
-    The shuffle key is the signature's hash; its text of up to 160 characters travels with the partial counts.
-    """
+    """The `top` most frequent signatures of each run of a task (ties: the one seen first), with their counts."""
     bad = classified.where("label is not null")
     tool = F.coalesce(F.nullif(F.col("tool"), F.lit("")), F.lit("<unknown>"))
     sig = F.concat(tool, F.lit(":"), F.col("label"), F.lit(":"), F.substring("response", 1, 160))
-    counts = bad.withColumn("signature", sig).groupBy(*KEY, F.xxhash64("signature").alias("_hash")).agg(F.first("signature").alias("signature"), F.count("*").alias("n"), F.min(F.struct("iteration", "call_pos")).alias("_first"))
+    counts = bad.withColumn("signature", sig).groupBy(*KEY, "signature").agg(F.count("*").alias("n"), F.min(F.struct("iteration", "call_pos")).alias("_first"))
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("n").desc(), "_first"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= top).drop("_hash", "_first")
+    return counts.withColumn("rank", rank).where(F.col("rank") <= top).drop("_first")
 
 
 def tools_in_error(classified: DataFrame, top: int = TOP) -> DataFrame:
@@ -116,13 +113,13 @@ def lenient_decisions(rows: DataFrame, signatures: DataFrame, rate: float = 0.30
     return t.withColumn("rate_text", two_digits("error_rate")).select(*TASK, decision.alias("decision"), reasons.alias("reasons"), "error_rate")
 
 
-def strict_decisions(rows: DataFrame, signatures: DataFrame, expected_runs: int, rate: float = 0.30, repeats: int = 2) -> DataFrame:
+def strict_decisions(rows: DataFrame, signatures: DataFrame, expected_runs: int, rate: float = 0.30, repeats: int = 2, require_complete: bool = False) -> DataFrame:
     """(scenario, task_id, decision, reasons): complete once keeps; fewer runs than expected, or a run without a hard
     reason, is for review; else rejected with the counts of the reasons."""
     errors = sum(F.col(f"n_{x}") for x in ("http_500", "timeout", "validation", "route_or_schema", "tool_error"))
     r = rows.join(repeated_errors(signatures, KEY, repeats), KEY, "left").withColumn("repeated", F.coalesce("repeated", F.lit(0))).withColumn("errors", errors)
     high = (_rate(F.col("errors"), F.col("call_tools")) >= rate) & (F.col("errors") > 0)
-    names = F.array_compact(F.array(F.when(F.col("call_tools") == 0, "no_call_tool_path"), F.when(high, "high_tool_error_rate"), F.when(F.col("n_http_500") > 0, "http_500"), F.when(F.col("n_timeout") > 0, "timeout"), F.when(F.col("repeated") > 0, "repeated_schema_or_route_error"), F.when((F.col("call_tools") > 0) & (F.col("empty") > 0) & (F.col("non_empty") == 0), "only_empty_or_not_found_tool_responses")))
+    names = F.array_compact(F.array(F.when(F.col("call_tools") == 0, "no_call_tool_path"), F.when(high, "high_tool_error_rate"), F.when(F.col("n_http_500") > 0, "http_500"), F.when(F.col("n_timeout") > 0, "timeout"), F.when(F.col("repeated") > 0, "repeated_schema_or_route_error"), F.when((F.col("call_tools") > 0) & (F.col("empty") > 0) & (F.col("non_empty") == 0), "only_empty_or_not_found_tool_responses"), F.when(F.lit(require_complete), "never_completed")))
     done = F.coalesce(F.col("reward_type") == "complete", F.lit(False))
     hard = F.when(done, F.array().cast("array<string>")).when(~F.col("readable"), F.array(F.lit("missing_or_bad_trajectory"))).otherwise(names)
     r = r.withColumn("hard", hard).withColumn("done", done)

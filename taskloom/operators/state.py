@@ -11,25 +11,34 @@ from pyspark.sql import functions as F
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, change, columns): rows inserted, deleted or updated, with the columns that differ (null-safe).
 
-    Rows are compared by a 128-bit hash of their other columns; only those that differ are looked at by column.
+    Values are compared themselves, null-safely: a null that moves to another column is a change.
     """
     rest = [c for c in before.columns if c not in keys]
-    marked = lambda df, s: df.select(*keys, F.struct(*rest).alias(s), F.struct(F.xxhash64(*rest), F.hash(*rest)).alias(f"{s}_mark"))
-    both = marked(before, "old").join(marked(after, "new"), keys, "full").where(~F.col("old_mark").eqNullSafe(F.col("new_mark")))
-    change = F.when(F.col("old_mark").isNull(), "inserted").when(F.col("new_mark").isNull(), "deleted").otherwise("updated")
+    side = lambda df, s: df.select(*keys, F.struct(*rest).alias(s))
+    both = side(before, "old").join(side(after, "new"), keys, "full").where(~F.col("old").eqNullSafe(F.col("new")))
+    change = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "deleted").otherwise("updated")
     differs = F.array_compact(F.array(*[F.when(~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")), F.lit(c)) for c in rest]))
     return both.select(*keys, change.alias("change"), F.when(change == "updated", differs).otherwise(F.array().cast("array<string>")).alias("columns"), *[F.col(f"new.{c}").cast("string").alias(f"new_{c}") for c in rest])
 
 
-def constraint_failures(child: DataFrame, key: list[str], required: list[str], foreign: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """(check, n_failed, ratio) for a table: duplicate keys (rows past the first), nulls, and keys without a parent."""
-    n = child.count()
-    dup = child.groupBy(*key).agg((F.count("*") - 1).alias("extra")).agg(F.lit("duplicate:" + ",".join(key)).alias("check"), F.coalesce(F.sum("extra"), F.lit(0)).alias("n_failed"))
-    parts = [dup, *[child.agg(F.lit(f"not_null:{c}").alias("check"), F.count_if(F.col(c).isNull()).alias("n_failed")) for c in required]]
+def constraint_failures(child: DataFrame, key: list[str], required: list[str], foreign: dict[str, tuple[DataFrame, str]], threshold: float = 0.1) -> DataFrame:
+    """(check, n_failed, ratio, ok) for a table: duplicate keys (rows past the first), nulls, and keys without a parent.
+
+    ok is whether the share of rows that fail is at most the threshold. Nulls of all columns are counted in one pass.
+    """
+    n = F.count("*").alias("n")
+    dup = child.groupBy(*key).agg(n).agg(F.lit("duplicate:" + ",".join(key)).alias("check"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    parts = [dup]
+    if required:
+        counts = child.agg(n, *[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(required)])
+        each = F.array(*[F.struct(F.lit(f"not_null:{c}").alias("check"), F.col(f"_{i}").alias("n_failed")) for i, c in enumerate(required)])
+        parts.append(counts.select(F.explode(each).alias("x"), "n").select("x.check", "x.n_failed", "n"))
     for c, (parent, p) in foreign.items():
-        lost = child.where(F.col(c).isNotNull()).join(parent.select(F.col(p).alias(c)).distinct(), c, "left_anti")
-        parts.append(lost.agg(F.lit(f"foreign_key:{c}").alias("check"), F.count("*").alias("n_failed")))
-    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("ratio", F.col("n_failed") / F.lit(max(n, 1)))
+        known = parent.select(F.col(p).alias(c)).distinct().withColumn("_known", F.lit(True))
+        met = child.select(c).join(known, c, "left")
+        parts.append(met.agg(F.lit(f"foreign_key:{c}").alias("check"), F.count_if(F.col(c).isNotNull() & F.col("_known").isNull()).alias("n_failed"), n))
+    ratio = F.col("n_failed") / F.greatest("n", F.lit(1))
+    return reduce(lambda a, b: a.unionByName(b), parts).select("check", "n_failed", ratio.alias("ratio"), (ratio <= threshold).alias("ok"))
 
 
 def unmet_expectations(diff: DataFrame, expectations: DataFrame, keys: list[str]) -> DataFrame:

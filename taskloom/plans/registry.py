@@ -93,11 +93,14 @@ def _(s, d):
     return table(s, d, "events").select("event_id", J.judge_class(said).alias("class"))
 
 
-@query("p6_p8_calls_in_text", """SELECT conv_id, turn, 'get_item' AS tool, '{"id":' || CAST(turn AS VARCHAR) || '}' AS args, true AS args_parse_ok FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 3 <> 0""")
+@query("p6_p8_calls_in_text", """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'get_item' ELSE 'find' END AS tool, '{"id":' || CAST(turn AS VARCHAR) || '}' AS args, true AS args_parse_ok FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 3 <> 0""")
 def _(s, d):
     inner = F.concat(F.lit('{\\"id\\":'), F.col("turn").cast("string"), F.lit("}"))
-    text = F.when(((F.col("conv_id") + F.col("turn")) % 3 != 0), F.concat("text", F.lit('<tool_call> {"name": "call_tool", "arguments": {"tool_name": "get_item", "arguments": "'), inner, F.lit('"}} </tool_call>'))).otherwise(F.col("text"))
-    m = table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(C.calls_of(F.lit(None).cast("array<string>"), text)).alias("call"))
+    call = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('{"name": "call_tool", "arguments": {"tool_name": "get_item", "arguments": "'), inner, F.lit('"}}'))).otherwise(F.concat(F.lit('{"name": "find", "arguments": {"id":'), F.col("turn").cast("string"), F.lit("}}")))
+    text = F.when(((F.col("conv_id") + F.col("turn")) % 3 != 0), F.concat("text", F.lit("<tool_call> "), call, F.lit(" </tool_call><tool_call>{}</tool_call>"))).otherwise(F.concat("text", F.lit("<tool_call>[1]</tool_call>")))
+    none = F.lit(None).cast("array<string>")
+    step = F.array(F.struct(F.col("role"), text.alias("content"), none.alias("calls"), F.lit("").alias("response")))
+    m = table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(C.steps_with_calls(step)[0]["calls"]).alias("call"))
     return m.withColumn("c", C.normalized_call(F.col("call"))).select("conv_id", "turn", "c.*")
 
 
@@ -107,16 +110,22 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", K.verifier_check(code).alias("v"), K.verifier_name(code, "verify_task").alias("function")).select("p_partkey", "v.*", "function")
 
 
-@query("p19_p21_ddl_summary", """SELECT p_partkey, 'part' || CAST(p_partkey AS VARCHAR) || ': id[pk], name[required], size; CHECK (size > ' || CAST(p_size AS VARCHAR) || ')' AS summary FROM part""")
+@query("p19_p21_ddl_summary", """SELECT p_partkey, '- `part' || CAST(p_partkey AS VARCHAR) || '` columns: id pk important, name required, ' || CASE WHEN p_partkey % 3 = 0 THEN 'status unique default important, ' ELSE '' END || 'size' || chr(10) || '  constraints: CHECK (size > ' || CAST(p_size AS VARCHAR) || ')'
+  || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '  indexes: CREATE INDEX i ON part (name)' ELSE '' END AS summary FROM part""")
 def _(s, d):
-    ddl = F.expr("'CREATE TABLE part (id INTEGER PRIMARY KEY, name TEXT NOT NULL, size NUMERIC(10, 2), CHECK (size > ' || p_size || '))'")
-    return table(s, d, "part").select("p_partkey", K.table_summary(F.concat(F.lit("part"), F.col("p_partkey").cast("string")), K.ddl_columns(ddl), F.array().cast("array<string>")).alias("summary"))
+    ddl = F.expr("'CREATE TABLE part (id INTEGER PRIMARY KEY, name TEXT NOT NULL, ' || CASE WHEN p_partkey % 3 = 0 THEN 'status TEXT UNIQUE DEFAULT (1), ' ELSE '' END || 'size NUMERIC(10, 2), CHECK  (size > ' || p_size || '))'")
+    indexes = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("CREATE  INDEX i ON part (name)"))).otherwise(F.array().cast("array<string>"))
+    return table(s, d, "part").select("p_partkey", K.table_summary(F.concat(F.lit("part"), F.col("p_partkey").cast("string")), K.ddl_columns(ddl), indexes).alias("summary"))
 
 
-@query("p20_endpoints", """SELECT 's' || CAST(p_partkey AS VARCHAR) AS scenario, 0 AS no, 'GET' AS method, '/parts/' || CAST(p_size AS VARCHAR) AS path, p_brand AS summary, 'read' AS function, 'part_id' AS parameters, p_partkey % 5 <> 0 AS parsed FROM part""")
+@query("p20_endpoints", """WITH e AS (SELECT p_partkey AS k, p_size, p_brand, unnest(range(2)) AS no FROM part)
+  SELECT 's' || CAST(k AS VARCHAR) AS scenario, CAST(no AS INT) AS no, CASE no WHEN 0 THEN 'GET' ELSE 'POST' END AS method, CASE no WHEN 0 THEN '/parts/' || CAST(p_size AS VARCHAR) ELSE '/parts' END AS path, CASE no WHEN 0 THEN p_brand END AS summary, CASE no WHEN 1 THEN 'Adds' END AS description,
+  CASE no WHEN 0 THEN 'read' ELSE 'add' END AS function, CASE no WHEN 0 THEN 'part_id' ELSE 'body,dry' END AS parameters, CASE no WHEN 0 THEN 'int' ELSE 'Part,bool' END AS kinds, k % 5 <> 0 AS parsed FROM e""")
 def _(s, d):
-    code = F.expr("""'@app.get("/parts/' || p_size || '", summary="' || p_brand || '")\\nasync def read(part_id: int):\\n    return 1\\n' || CASE WHEN p_partkey % 5 = 0 THEN 'def broken(:' ELSE '' END""")
-    return K.endpoint_table(table(s, d, "part").select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("scenario"), code.alias("full_code")))
+    code = F.expr("""'@app.get("/parts/' || p_size || '", summary="' || p_brand || '")\\nasync def read(part_id: int):\\n    return 1\\n@mock.patch("x")\\ndef test(a):\\n    pass\\n' ||
+      '@app.post(\\n    "/parts",\\n    description="Adds")\\ndef add(request, body: Part, *, dry: bool = False):\\n    return 2\\n' || CASE WHEN p_partkey % 5 = 0 THEN 'def broken(:' ELSE '' END""")
+    t = K.endpoint_table(table(s, d, "part").select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("scenario"), code.alias("full_code")))
+    return t.withColumn("parameters", F.array_join("parameters", ",")).withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query("p27_input_schema", """SELECT 't' || CAST(p_partkey AS VARCHAR) AS tool, path, type, path = 'id' AS required, CASE WHEN path = 'id' THEN CAST(p_size AS VARCHAR) END AS "default" FROM part, (VALUES ('id', 'integer'), ('box', 'object'), ('box.w', 'number')) v(path, type)""")
@@ -130,13 +139,21 @@ def _(s, d):
     return selection.skill_stats(selection.validated_skills(table(s, d, "documents").select("doc_id", F.col("text").alias("skill")), 400))
 
 
-@query("p21_schema_text", """SELECT n_regionkey, string_agg('CREATE TABLE ' || n_name || ' (id)' || chr(10) || 'CREATE INDEX i' || CAST(n_nationkey AS VARCHAR), chr(10) || chr(10) ORDER BY n_name) AS text FROM nation GROUP BY 1""")
+@query("p21_schema_text", """SELECT n_regionkey, 'Database Schema (SQLite3):' || chr(10) || chr(10) || string_agg('CREATE TABLE ' || n_name || ' (id)' || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || chr(10) || 'CREATE INDEX i' || CAST(n_nationkey AS VARCHAR) ELSE '' END, chr(10) || chr(10) ORDER BY n_name) AS text FROM nation GROUP BY 1""")
 def _(s, d):
-    t = F.struct(F.col("n_name").alias("name"), F.concat(F.lit("CREATE TABLE "), "n_name", F.lit(" (id)")).alias("ddl"), F.array(F.concat(F.lit("CREATE INDEX i"), F.col("n_nationkey").cast("string"))).alias("indexes"))
+    indexes = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.concat(F.lit(" CREATE INDEX i"), F.col("n_nationkey").cast("string")))).otherwise(F.array().cast("array<string>"))
+    t = F.struct(F.col("n_name").alias("name"), F.concat(F.lit("CREATE TABLE "), "n_name", F.lit(" (id)\n")).alias("ddl"), indexes.alias("indexes"))
     return table(s, d, "nation").groupBy("n_regionkey").agg(T.schema_text(F.array_sort(F.collect_list(t))).alias("text"))
 
 
-@query("p23_scenario_text", """SELECT doc_id, source || chr(10) || substr(text, 1, 500) || chr(10) || 'Categories: ' || lang || ', ' || source || chr(10) || 'Features: ' || lang AS text FROM documents""")
+@query("p21_tool_summary", """SELECT p_partkey, '- `mcp_tool_mcp_server_read`: GET /p/' || CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN '; args: id, ' || p_brand ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '; ' || p_name ELSE '' END AS text FROM part""")
+def _(s, d):
+    names = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("id"), F.col("p_brand"))).otherwise(F.array().cast("array<string>"))
+    e = F.struct(F.lit("GET").alias("method"), F.concat(F.lit("/p/"), F.col("p_size").cast("string")).alias("path"), F.lit("").alias("summary"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).alias("description"), F.lit("read").alias("function"), names.alias("parameters"))
+    return table(s, d, "part").select("p_partkey", T.tool_summary(F.array(e)).alias("text"))
+
+
+@query("p23_scenario_text", """SELECT doc_id, coalesce(source, '') || ': ' || coalesce(substr(text, 1, 500), '') || ' Categories: ' || concat_ws(', ', lang, source) || '. Features: ' || coalesce(lang, '') AS text FROM documents""")
 def _(s, d):
     r = table(s, d, "documents").select("doc_id", F.col("source").alias("name"), F.col("text").alias("description"), F.array("lang", "source").alias("categories"), F.array("lang").alias("simulatable_features"))
     return r.select("doc_id", T.scenario_text().alias("text"))
@@ -159,9 +176,10 @@ def _(s, d):
     return rows.missing_sources(bundle(s, d)).select("scenario", "task_id", "missing")
 
 
-@query("p26_tool_description", """SELECT doc_id, array_to_string([trim(x, ' ') for x in string_split(text, chr(10)) if trim(x, ' ') <> ''], ' ') AS short FROM documents""")
+@query("p26_tool_description", """SELECT doc_id, array_to_string([trim(x, ' ') for x in string_split(text, chr(10)) if trim(x, ' ') <> ''], chr(10)) AS short FROM documents""")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", T.tool_description(F.concat("text", F.lit("\nArgs: x"))).alias("short"))
+    stop = F.element_at(F.array(*map(F.lit, T.DESCRIPTION_STOPS)), (F.col("doc_id") % len(T.DESCRIPTION_STOPS) + 1).cast("int"))
+    return table(s, d, "documents").select("doc_id", T.tool_description(F.concat("text", F.lit("\r\n  "), stop, F.lit(" x\nmore"))).alias("short"))
 
 
 @query("p28_rewards", f"""SELECT run, reward_type, CASE reward_type WHEN 'complete' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value, count(*) AS n FROM ({VERDICTS}) v GROUP BY ALL""")
@@ -210,9 +228,15 @@ def _(s, d):
     return runtime.lenient_decisions(r, sig).select("scenario", "task_id", "decision", F.round("error_rate", 9).alias("error_rate"))
 
 
-@query("a5_lenient_reasons")
+REASONS = f"""SELECT q.scenario, q.task_id, decision, error_rate, list_concat(list_concat([CASE WHEN q.call_tools = 0 THEN 'no_call_tool_path' END, CASE WHEN e.ap > 0 THEN 'agent_argument_parse_error:' || CAST(e.ap AS VARCHAR) END, CASE WHEN e.errors > 0 AND error_rate >= 0.3 THEN 'high_tool_error_rate:' || printf('%.2f', error_rate) END],
+  [CASE WHEN h > 0 THEN 'http_500:' || CAST(h AS VARCHAR) END, CASE WHEN t > 0 THEN 'timeout:' || CAST(t AS VARCHAR) END, CASE WHEN repeated > 0 THEN 'repeated_schema_or_route_error:' || CAST(repeated AS VARCHAR) END]), [CASE WHEN e.er = e.runs AND e.fr = 0 THEN 'only_empty_or_not_found_tool_responses' END, CASE WHEN NOT e.completed AND e.mr = 0 AND q.call_tools > 0 THEN 'no_successful_mutating_path_observed' END]) AS all_, bad
+  FROM ({LENIENT}) q JOIN (SELECT scenario, task_id, count(*) AS runs, bool_or(reward_type = 'complete') AS completed, coalesce(sum(n_agent_argument_parse_error) FILTER (readable), 0) AS ap, coalesce(sum(errors) FILTER (readable), 0) AS errors, count(*) FILTER (readable AND "empty" > 0) AS er, count(*) FILTER (readable AND non_empty > 0) AS fr, count(*) FILTER (readable AND mutating_calls > 0) AS mr FROM ({RUNS}) r GROUP BY ALL) e USING (scenario, task_id)"""
+REASONS = f"SELECT scenario, task_id, decision, error_rate, list_concat([CASE WHEN i < bad THEN 'missing_or_bad_trajectory' END for i in range(bad)], [x for x in all_ if x IS NOT NULL]) AS reasons FROM ({REASONS}) z"
+
+
+@query("a5_lenient_reasons", f"SELECT scenario, task_id, decision, array_to_string(reasons, ' ') AS reasons, round(error_rate, 9) AS error_rate FROM ({REASONS}) w")
 def _(s, d):
-    return runtime.lenient_decisions(*run_rows(s, d))
+    return runtime.lenient_decisions(*run_rows(s, d)).withColumn("reasons", F.array_join("reasons", " ")).withColumn("error_rate", F.round("error_rate", 9))
 
 
 STRICT_HARD = f"""SELECT r.*, CASE WHEN reward_type = 'complete' THEN 0 WHEN NOT readable THEN 1 WHEN call_tools = 0 OR (errors > 0 AND errors / call_tools >= 0.3) OR n_http_500 > 0 OR n_timeout > 0 OR coalesce(repeated, 0) > 0 OR (call_tools > 0 AND "empty" > 0 AND non_empty = 0) THEN 1 ELSE 0 END AS hard FROM ({RUNS}) r
@@ -224,7 +248,7 @@ def _(s, d):
     return runtime.strict_decisions(*run_rows(s, d), expected_runs=3).select("scenario", "task_id", "decision")
 
 
-@query("a7_reason_families")
+@query("a7_reason_families", f"SELECT decision, split_part(r, ':', 1) AS reason, count(*) AS n FROM (SELECT decision, unnest(reasons) AS r FROM ({REASONS}) w) u GROUP BY ALL")
 def _(s, d):
     return runtime.reason_families(runtime.lenient_decisions(*run_rows(s, d)))
 
@@ -426,7 +450,9 @@ def trajectories(s, d):
     call = F.concat(F.lit('{"name":"call_tool","arguments":{"tool_name":"tool_'), (F.col("turn") % 4).cast("string"), F.lit('","arguments":"{\\"t\\":'), F.col("turn").cast("string"), F.lit('}"}}'))
     none = F.array().cast("array<string>")
     response = F.when(calls, F.when(F.col("conv_id") % 7 == 0, "500 Internal Server Error").otherwise(F.concat(F.lit('{"ok": '), F.col("turn").cast("string"), F.lit("}"))))
-    step = F.struct("turn", "role", F.col("text").alias("content"), F.when(calls, F.array(call)).otherwise(none).alias("calls"), response.alias("response"))
+    in_text = calls & (F.col("conv_id") % 4 == 1)  # in a quarter of the runs, calls stand in the text
+    said = F.when(in_text, F.concat("text", F.lit("<tool_call>"), call, F.lit("</tool_call>"))).otherwise(F.col("text"))
+    step = F.struct("turn", "role", said.alias("content"), F.when(calls & ~in_text, F.array(call)).otherwise(none).alias("calls"), response.alias("response"))
     steps = F.transform(F.array_sort(F.collect_list(step)), lambda x: x.dropFields("turn"))
     return m.groupBy("conv_id").agg(steps.alias("steps")).select((F.col("conv_id") % 3).cast("string").alias("run"), F.concat(F.lit("s"), (F.col("conv_id") % 20).cast("string")).alias("scenario"), F.col("conv_id").alias("task_id"), F.lit("do it").alias("task"), "steps")
 
@@ -438,9 +464,17 @@ def trajectory_verdicts(s, d):
 TRAJ = """SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'not_complete' WHEN n = 0 THEN 'no_call_tool' WHEN conv_id % 7 = 0 THEN 'tool_error' WHEN NOT said THEN 'no_final_answer' END AS reason, n FROM (SELECT conv_id, count(*) FILTER (role = 'assistant' AND (conv_id + turn) % 3 <> 0) AS n, bool_or(role = 'assistant' AND (conv_id + turn) % 3 = 0 AND trim(text) <> '') AS said FROM conversations GROUP BY 1) x"""
 
 
-@query("c1_cleaned", f"SELECT conv_id AS task_id, reason, CAST(n AS INT) AS num_tool_calls FROM ({TRAJ}) t")
+TOOLS = "SELECT conv_id, string_agg('tool_' || CAST(turn % 4 AS VARCHAR), ',' ORDER BY turn) AS tools, string_agg(CAST(no AS VARCHAR) || '. Call tool_' || CAST(turn % 4 AS VARCHAR) || ' with {\"t\":' || CAST(turn AS VARCHAR) || '}; observe {\"ok\":' || CAST(turn AS VARCHAR) || '}.', chr(10) ORDER BY turn) AS steps FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 3 <> 0) c GROUP BY 1"
+
+
+@query("c1_cleaned", f"SELECT t.conv_id AS task_id, reason, CAST(n AS INT) AS num_tool_calls, coalesce(tools, '') AS tools_used FROM ({TRAJ}) t LEFT JOIN ({TOOLS}) u USING (conv_id)")
+def _(s, d):
+    return cleaning.cleaned(trajectories(s, d), trajectory_verdicts(s, d)).select("task_id", "reason", "num_tool_calls", F.coalesce(F.array_join("tools_used", ","), F.lit("")).alias("tools_used"))
+
+
+@query("a3_cleaning_totals", f"SELECT count(*) AS matched, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS rejected, round(avg(t.n) FILTER (reason IS NULL), 9) AS avg_calls FROM ({TRAJ}) t")
 def _(s, d):
-    return cleaning.cleaned(trajectories(s, d), trajectory_verdicts(s, d)).select("task_id", "reason", "num_tool_calls")
+    return cleaning.cleaning_totals(cleaning.cleaned(trajectories(s, d), trajectory_verdicts(s, d))).select("matched", "kept", "rejected", F.round("avg_calls", 9).alias("avg_calls"))
 
 
 @query("a3_cleaning_stats", f"SELECT reason, count(*) AS n, round(avg(n), 9) AS avg_calls FROM ({TRAJ}) t GROUP BY reason".replace("avg(n)", "avg(t.n)"))
@@ -453,14 +487,17 @@ def _(s, d):
     return cleaning.top_tools(cleaning.cleaned(trajectories(s, d), trajectory_verdicts(s, d)))
 
 
-@query("w1_p24_traces")
+FINAL = "SELECT conv_id, trim(max_by(text, turn)) AS final FROM conversations WHERE role = 'assistant' AND trim(text) <> '' AND (conv_id + turn) % 3 = 0 GROUP BY 1"
+
+
+@query("w1_p24_traces", f"SELECT CAST(conv_id % 3 AS VARCHAR) AS run, 's' || CAST(conv_id % 20 AS VARCHAR) AS scenario, conv_id AS task_id, tools AS tools_used, 'Task: do it' || chr(10) || 'Steps:' || chr(10) || steps || chr(10) || 'Final: ' || final AS trace, final FROM ({TRAJ}) t JOIN ({TOOLS}) u USING (conv_id) JOIN ({FINAL}) f USING (conv_id) WHERE reason IS NULL")
 def _(s, d):
-    return cleaning.cleaned(trajectories(s, d), trajectory_verdicts(s, d)).where("reason is null").select("run", "scenario", "task_id", "tools_used", "trace", "final")
+    return cleaning.cleaned(trajectories(s, d), trajectory_verdicts(s, d)).where("reason is null").select("run", "scenario", "task_id", F.array_join("tools_used", ",").alias("tools_used"), "trace", "final")
 
 
-@query("j8_w5_answers", "SELECT conv_id AS task_id, trim(max_by(text, turn) FILTER (role = 'assistant' AND trim(text) <> '' AND (conv_id + turn) % 3 = 0)) AS final, max_by(text, turn) FILTER (role = 'assistant') AS last FROM conversations GROUP BY 1")
+@query("j8_w5_answers", "SELECT conv_id AS task_id, trim(max_by(text, turn) FILTER (role = 'assistant' AND trim(text) <> '' AND (conv_id + turn) % 3 = 0)) AS final, max_by(text || CASE WHEN (conv_id + turn) % 3 <> 0 AND conv_id % 4 = 1 THEN '<tool_call>{\"name\":\"call_tool\",\"arguments\":{\"tool_name\":\"tool_' || CAST(turn % 4 AS VARCHAR) || '\",\"arguments\":\"{\\\"t\\\":' || CAST(turn AS VARCHAR) || '}\"}}</tool_call>' ELSE '' END, turn) FILTER (role = 'assistant') AS last FROM conversations GROUP BY 1")
 def _(s, d):
-    return trajectories(s, d).select("task_id", cleaning.final_answer(F.col("steps")).alias("final"), cleaning.last_message(F.col("steps")).alias("last"))
+    return cleaning.with_calls(trajectories(s, d)).select("task_id", cleaning.final_answer(F.col("steps")).alias("final"), cleaning.last_message(F.col("steps")).alias("last"))
 
 
 @query("w8_history_rows", "SELECT conv_id, turn, min(CASE WHEN role = 'user' THEN turn END) OVER w IS NOT NULL AS has_user, least(3, count(*) OVER w) AS n_history, text AS target FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY role = 'assistant'")
@@ -477,12 +514,13 @@ def _(s, d):
 
 # --- examples, attempts, requests -------------------------------------------------------------------------------
 
-EX = f"SELECT scenario, task_id, reward_type, tool_calls AS num_tool_calls FROM ({COUNTERS}) c JOIN ({VERDICTS}) v USING (run, scenario, task_id) WHERE run = 'run_0'"
+EX = f"SELECT run || '/' || scenario AS scenario, task_id, reward_type, tool_calls AS num_tool_calls FROM ({COUNTERS}) c JOIN ({VERDICTS}) v USING (run, scenario, task_id)"
 
 
 def examples(s, d):
-    c = runtime.run_counters(classified(s, d)).where("run = 'run_0'")
-    return c.select("run", "scenario", "task_id", F.col("tool_calls").alias("num_tool_calls")).join(view(s, d, "verdicts"), ["run", "scenario", "task_id"]).select("scenario", "task_id", "reward_type", "num_tool_calls")
+    c = runtime.run_counters(classified(s, d))
+    met = c.select("run", "scenario", "task_id", F.col("tool_calls").alias("num_tool_calls")).join(view(s, d, "verdicts"), ["run", "scenario", "task_id"])
+    return met.select(F.concat("run", F.lit("/"), "scenario").alias("scenario"), "task_id", "reward_type", "num_tool_calls")
 
 
 @query("t1_shortest_examples", f"""WITH e AS ({EX}), g AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY num_tool_calls, task_id) AS rank FROM e WHERE reward_type = 'complete' QUALIFY rank <= 2)
@@ -493,7 +531,7 @@ def _(s, d):
 
 @query("t2_covering_examples")
 def _(s, d):
-    tools = view(s, d, "calls").where("run = 'run_0'").groupBy("scenario", "task_id").agg(F.array_sort(F.collect_set("full_tool")).alias("tools_used"))
+    tools = view(s, d, "calls").withColumn("scenario", F.concat("run", F.lit("/"), "scenario")).groupBy("scenario", "task_id").agg(F.array_sort(F.collect_set("full_tool")).alias("tools_used"))
     return selection.covering_examples(examples(s, d).join(tools, ["scenario", "task_id"]), 2, 2)
 
 
@@ -521,7 +559,7 @@ def _(s, d):
     return selection.error_digest(attempts(s, d), ["scenario"])
 
 
-@query("w6_balanced_limit")
+@query("w6_balanced_limit", f"SELECT scenario, pos, tasks FROM (SELECT *, coalesce(sum(len(tasks)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT {SUPP} AS scenario, s_suppkey AS pos, list_slice([s_name, s_name || '-b', 'same', 'same'], 1, least(2, s_suppkey % 4 + 1)) AS tasks FROM supplier ORDER BY s_suppkey LIMIT 40) x) y WHERE b < 40")
 def _(s, d):
     return selection.balanced_limit(supplier_tasks(s, d), 40, 20).select("scenario", "pos", "tasks")
 
@@ -622,9 +660,10 @@ def _(s, d):
     return state.unmet_expectations(diff, wanted, ["o_orderkey"]).select("o_orderkey", "change", "column")
 
 
-@query("j19_constraints", """SELECT 'duplicate:l_orderkey' AS "check", CAST(count(*) - count(DISTINCT l_orderkey) AS BIGINT) AS n_failed FROM lineitem UNION ALL SELECT 'not_null:l_partkey', count(*) FILTER (l_partkey IS NULL) FROM lineitem UNION ALL SELECT 'foreign_key:l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0)""")
+@query("j19_constraints", """SELECT "check", n_failed, round(n_failed / n, 9) AS ratio, n_failed / n <= 0.1 AS ok FROM (SELECT 'duplicate:l_orderkey' AS "check", CAST(count(*) - count(DISTINCT l_orderkey) AS BIGINT) AS n_failed, count(*) AS n FROM lineitem UNION ALL SELECT 'not_null:l_partkey', count(*) FILTER (l_partkey IS NULL), count(*) FROM lineitem
+  UNION ALL SELECT 'foreign_key:l_orderkey', count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0)), count(*) FROM lineitem) x""")
 def _(s, d):
-    return state.constraint_failures(table(s, d, "lineitem"), ["l_orderkey"], ["l_partkey"], {"l_orderkey": (table(s, d, "orders").where("o_orderkey % 10 <> 0"), "o_orderkey")}).select("check", "n_failed")
+    return state.constraint_failures(table(s, d, "lineitem"), ["l_orderkey"], ["l_partkey"], {"l_orderkey": (table(s, d, "orders").where("o_orderkey % 10 <> 0"), "o_orderkey")}).select("check", "n_failed", F.round("ratio", 9).alias("ratio"), "ok")
 
 
 # --- watched runs (the batch form of the stream's transformations; tests run the streams) -------------------------

@@ -150,6 +150,51 @@ def test_diff_is_null_safe(spark):
     assert sorted((r.k, r.change, r["columns"]) for r in state.snapshot_diff(a, b, ["k"]).collect()) == [(1, "updated", ["v"]), (3, "inserted", [])]
 
 
+def test_diff_sees_nulls_that_move(spark):
+    a = spark.createDataFrame([(1, 5, None), (2, None, None)], "k int, v int, w int")
+    b = spark.createDataFrame([(1, None, 5), (2, None, None)], "k int, v int, w int")
+    assert [(r.k, r.change, r["columns"]) for r in state.snapshot_diff(a, b, ["k"]).collect()] == [(1, "updated", ["v", "w"])]
+    assert state.snapshot_diff(a.where("false"), b.where("false"), ["k"]).count() == 0
+
+
+def test_cleaning_reasons(spark):
+    from taskloom.operators import cleaning
+
+    call = lambda tool, args="{}": json.dumps({"name": "call_tool", "arguments": {"tool_name": tool, "arguments": args}})
+    said = lambda text, calls=(), response=None: ("assistant", text, list(calls), response)
+    listed = json.dumps({"name": "list_tools", "arguments": {}})
+    runs = {
+        "kept": [said("", [call("b", '{"x": 1}')], '{"ok": [1, 2]}'), said("", [call("a", "oops")], "plain  text"), said("", [call("b")], None), ("tool", "late", [], None), said(" done ")],
+        "text": [said(f"go <tool_call>{call('t')}</tool_call>", [], "fine"), said("end")],
+        "list_only": [said("", [listed], "tools"), said("end")],
+        "unparseable": [said("", [json.dumps({"name": "call_tool", "arguments": "x"})], "r"), said("end")],
+        "user_only": [("user", "u", [call("t")], "r"), said("end")],
+        "error": [said("", [call("t")], "a Timeout here"), said("end")],
+        "no_final": [said("", [call("t")], "r")],
+        "no_list": None,
+    }
+    schema = "run string, scenario string, task_id long, task string, steps array<struct<role string, content string, calls array<string>, response string>>"
+    t = spark.createDataFrame([("r", k, 1, "do", v) for k, v in runs.items()] + [("r", "undone", 1, "do", None)], schema)
+    v = spark.createDataFrame([("r", k, 1, "complete") for k in runs] + [("r", "undone", 1, "others")], "run string, scenario string, task_id long, reward_type string")
+    got = {r.scenario: r for r in cleaning.cleaned(t, v).collect()}
+    want = {"kept": None, "text": None, "list_only": "no_call_tool", "unparseable": "all_tool_calls_unparseable", "user_only": "no_call_tool", "error": "tool_error", "no_final": "no_final_answer", "no_list": "parse_error", "undone": "not_complete"}
+    assert {k: r.reason for k, r in got.items()} == want
+    assert got["kept"].tools_used == ["b", "a", "b"]
+    assert got["kept"].trace == 'Task: do\nSteps:\n1. Call b with {"x":1}; observe {"ok":[1,2]}.\n2. Call a with "oops"; observe "plain text".\n3. Call b with {}; observe "late".\nFinal: done'
+
+
+def test_all_calls_of_a_text(spark):
+    text = 'x <tool_call>{"name": "mcp_tool_get", "arguments": {"a": 1}}</tool_call> y <tool_call>[{"name": "z"}]</tool_call><tool_call>no</tool_call>'
+    got = spark.createDataFrame([(text,)], "t string").select(calls.all_calls(F.col("t")).alias("c")).first().c
+    assert json.loads(got[0]) == {"name": "call_tool", "arguments": {"tool_name": "mcp_tool_get", "arguments": '{"a":1}'}} and json.loads(got[1]) == {"name": "z"} and len(got) == 2
+
+
+def test_endpoints_of_broken_sources():
+    source = '@app.get("/a", summary="S")\nasync def a(x: int, request: Request, *, y: str = "d"):\n    return 1\n\n@other.get("/b")\ndef b(): pass\n'
+    found = ("GET", "/a", "S", None, "a", ["x", "y"], ["int", "str"])
+    assert code._endpoints(source) == (True, [found]) and code._endpoints(source + "def (") == (False, [found])
+
+
 def write_verdict(root, run, task, reward, mode="code"):
     p = root / run / "scn" / f"task_{task}"
     p.mkdir(parents=True, exist_ok=True)
