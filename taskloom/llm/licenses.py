@@ -1,4 +1,4 @@
-"""Licence notices in documents: Dice coefficient over word bigrams against templates."""
+"""Licence texts and notices in documents: Dice coefficient over word bigrams against templates."""
 
 from __future__ import annotations
 
@@ -7,6 +7,71 @@ from pyspark.sql import functions as F
 
 from .common import load
 
+_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+
+
+def _gnu(kind: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the "
+        f"Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        f"GNU {kind}General Public License for more details."
+    )
+
+
+#: (licence, text): public licence texts and the headers that stand in files.
+TEXTS = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+     "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+     "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all "
+     "copies or substantial portions of the Software. " + _WARRANTY),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+     "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+     "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+     "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", _BSD + _DISCLAIMER),
+    ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+     "specific prior written permission. " + _DISCLAIMER),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-2.0-or-later", _gnu("", "2")),
+    ("GPL-3.0-or-later", _gnu("", "3")),
+    ("LGPL-2.1-or-later", _gnu("Lesser ", "2.1")),
+    ("AGPL-3.0-or-later", _gnu("Affero ", "3")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+     "http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+     "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of "
+     "this software dedicate any and all copyright interest in the software to the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+     "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+     "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+     "product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+     "3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "
+     "\"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+     "Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and "
+     "the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are "
+     "solely in the form of machine-executable object code generated by a source language processor."),
+]
 #: (licence, notice): short public notices; a caller gives others.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -27,56 +92,56 @@ NOTICES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 ]
-#: A line is a notice from this likeness on.
+#: A passage is a licence from this likeness on.
 LEAST = 0.8
-_BETWEEN = r"[^\p{L}\p{N}\n]+"
+_BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 def _grams(text: str) -> list[str]:
     import regex
 
     words = regex.sub(_BETWEEN, " ", text.lower()).split()
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
-def _templates(notices: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    return [(name, g) for name, notice in notices if (g := _grams(notice))]
+def _templates(texts: list[tuple[str, str]], least: float) -> list[tuple[str, list[str], int, int]]:
+    """(name, distinct bigrams, bigrams, bigrams that a passage must share): of m bigrams a passage of Dice `least`
+    shares c with 2 c >= least * (m + |passage|) and |passage| >= c, so c >= least * m / (2 - least)."""
+    found = [(name, g) for name, text in texts if (g := _grams(text))]
+    return [(name, d, len(g), -int(-least * len(d) / (2 - least) // 1)) for name, g in found for d in [list(dict.fromkeys(g))]]
 
 
-def _bounds(n: int, least: float) -> tuple[int, int]:
-    """Set sizes m for which 2 min(n, m) / (n + m) can reach `least`."""
-    sizes = [m for m in range(1, int(2 * n / least) + 2) if 2 * min(n, m) >= least * (n + m)]
-    return min(sizes), max(sizes)
+def license_scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS + NOTICES, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_licenses, licenses, license, dice, start): the licences of which each text holds a passage, and the best.
 
+    Texts are lower-cased and all but letters and digits is one space, so line breaks mean nothing. A passage is as many
+    word bigrams as the template has, from one of the template's on, and at most to the text's end; its set of bigrams P
+    and the template's T are alike by 2 |P and T| / (|P| + |T|). A template is only tried on texts that share as many
+    bigrams with it as any passage of `least` must. licenses are the names found, in order, joined by commas; license
+    is the likest template's, start its passage's first word (0-based); ties go to the earlier template, then the
+    earlier passage. Null and empty texts, and texts without a licence, have n_licenses 0, "" and nulls. Whole texts
+    are read, however long; repeated rows each have a row; other columns are not read. No shuffle, no Python.
+    """
+    templates = _templates(texts, least)
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), _BETWEEN, " ")), " ")
+    none = F.array().cast("array<string>")
+    two = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda k: F.concat_ws(" ", F.get(w, k), F.get(w, k + 1)))).otherwise(none)
+    let = lambda value, f: F.transform(F.array(value), f)[0]
+    union = F.array(*map(F.lit, dict.fromkeys(g for _, d, _, _ in templates for g in d)))
+    known = F.array(*[F.struct(F.lit(-i).alias("no"), F.lit(name).alias("name"), F.array(*map(F.lit, d)).alias("g"), F.lit(n).alias("n"), F.lit(need).alias("need")) for i, (name, d, n, need) in enumerate(templates)])
 
-def license_scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_notices, license, dice, line): the lines of each text that are licence notices, and the best of them.
+    def passages(g: Column, t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda k: F.array_contains(t["g"], F.get(g, k)))
+        dice = lambda p: F.lit(2.0) * F.size(F.array_intersect(p, t["g"])) / (F.size(F.array_distinct(p)) + F.size(t["g"]))
+        return F.array_max(F.transform(starts, lambda k: F.struct(dice(F.slice(g, k + 1, t["n"])).alias("dice"), t["no"].alias("no"), (-k).alias("at"), t["name"].alias("name"))))
 
-    Texts are lower-cased and all but letters and digits becomes one space; each line is a set of word bigrams,
-    compared with the templates whose set size can reach `least` at all, by 2 |A and B| / (|A| + |B|). license is the
-    template's name, line its 0-based number; ties go to the earlier line, then the earlier template. Null and empty
-    texts, and texts without a notice, have n_notices 0 and nulls. No shuffle, no Python; lines are bounded by their
-    text. Repeated rows each have a row; other columns are not read.
-    """
-    templates = _templates(notices)
-    limits = [_bounds(len(g), least) for _, g in templates]
-    low, high = min(x[0] for x in limits), max(x[1] for x in limits)
-    lines = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), _BETWEEN, " "), "\n")
-    words = F.transform(lines, lambda line, i: F.struct(i.alias("line"), F.split(F.trim(line), " ").alias("w")))
-    # Distinct bigrams are at most words - 1, so shorter lines can't reach any template.
-    words = F.filter(words, lambda u: F.size(u["w"]) > low)
-    grams = F.transform(words, lambda u: F.struct(u["line"].alias("line"), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(u["w"]) - 2), lambda k: F.concat_ws(" ", F.get(u["w"], k), F.get(u["w"], k + 1)))).alias("g")))
-    grams = F.filter(grams, lambda u: F.size(u["g"]) <= high)
-    known = F.array(*[F.struct(F.lit(-i).alias("no"), F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("g"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, ((name, g), (a, b)) in enumerate(zip(templates, limits))])
-
-    def best(u):
-        near = F.filter(known, lambda t: F.size(u["g"]).between(t["a"], t["b"]))
-        dice = lambda t: F.lit(2.0) * F.size(F.array_intersect(u["g"], t["g"])) / (F.size(u["g"]) + F.size(t["g"]))
-        return F.array_max(F.transform(near, lambda t: F.struct(dice(t).alias("dice"), (-u["line"]).alias("at"), t["no"].alias("no"), t["name"].alias("name"))))
-
-    found = F.filter(F.transform(grams, best), lambda m: m["dice"] >= least)
-    out = docs.select(F.col(key), found.alias("_found")).withColumn("_best", F.array_max("_found"))
-    return out.select(key, F.size("_found").cast("long").alias("n_notices"), F.col("_best.name").alias("license"), F.col("_best.dice").alias("dice"), (-F.col("_best.at")).cast("long").alias("line"))
+    def found(g: Column) -> Column:
+        near = let(F.array_intersect(g, union), lambda hits: F.filter(known, lambda t: F.size(F.array_intersect(hits, t["g"])) >= t["need"]))
+        return F.filter(F.transform(near, lambda t: passages(g, t)), lambda m: m["dice"] >= least)
+
+    out = docs.select(F.col(key), let(let(words, two), found).alias("_found")).withColumn("_best", F.array_max("_found"))
+    names = F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["name"])))
+    return out.select(key, F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.col("_best.name").alias("license"), F.col("_best.dice").alias("dice"), (-F.col("_best.at")).cast("long").alias("start"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,16 +151,15 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """The same over DuckDB's view of documents."""
     sql = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ",\n".join(f"({i}, {sql(name)}, [{', '.join(map(sql, g))}])" for i, (name, g) in enumerate(_templates(NOTICES)))
+    rows = ",\n".join(f"({i}, {sql(name)}, [{', '.join(map(sql, d))}], {n}, {need})" for i, (name, d, n, need) in enumerate(_templates(TEXTS + NOTICES, LEAST)))
     return rf"""
-WITH t(no, name, g) AS (VALUES {rows}),
-lines AS (
-  SELECT doc_id, i - 1 AS line, string_split(trim(l[i]), ' ') AS w
-  FROM (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) u(i)),
-grams AS (SELECT doc_id, line, list_distinct([w[k] || ' ' || w[k + 1] for k in range(1, len(w))]) AS g FROM lines WHERE len(w) BETWEEN 2 AND 1000),
-m AS (SELECT doc_id, line, no, name, CAST(2.0 AS DOUBLE) * len(list_intersect(grams.g, t.g)) / (len(grams.g) + len(t.g)) AS dice FROM grams, t WHERE len(grams.g) <= 200),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, no) AS r FROM m WHERE dice >= {LEAST}),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, no) AS q, count(*) OVER (PARTITION BY doc_id) AS n FROM b WHERE r = 1)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_notices, name AS license, dice, CAST(line AS BIGINT) AS line
-FROM documents d LEFT JOIN (SELECT * FROM best WHERE q = 1) x ON d.doc_id = x.doc_id
+WITH t(no, name, tg, n, need) AS (VALUES {rows}),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
+g AS (SELECT doc_id, [w[k] || ' ' || w[k + 1] for k in range(1, len(w))] AS g FROM w),
+near AS (SELECT doc_id, g, t.* FROM g, t WHERE len(list_intersect(list_distinct(g), tg)) >= need),
+p AS (SELECT doc_id, no, name, tg, s - 1 AS start, g[s:s + n - 1] AS p FROM near, unnest([k for k in range(1, len(g) + 1) if list_contains(tg, g[k])]) u(s)),
+m AS (SELECT doc_id, no, name, start, CAST(2.0 AS DOUBLE) * len(list_intersect(list_distinct(p), tg)) / (len(list_distinct(p)) + len(tg)) AS dice FROM p),
+hit AS (SELECT * FROM m WHERE dice >= {LEAST}),
+best AS (SELECT doc_id, count(DISTINCT name) AS k, string_agg(DISTINCT name, ',' ORDER BY name) AS names, arg_max(struct_pack(name := name, dice := dice, start := start), struct_pack(d := dice, no := -no, s := -start)) AS b FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_licenses, coalesce(names, '') AS licenses, b.name AS license, b.dice AS dice, CAST(b.start AS BIGINT) AS start FROM documents d LEFT JOIN best USING (doc_id)
 """

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, ranked
+from .common import load, ranked, saved
 
 #: Bits of each quantised dimension.
-BITS = 5
+BITS = 6
 
 
 def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
@@ -59,24 +59,38 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return F.transform(coded, finish)[0]
 
 
-def quantised(df: DataFrame, size: str, dims: list[str], bits: int = BITS) -> list[Column]:
-    """Coordinates: the size on a log scale (2 cells an octave), other columns by hash. Nulls take the last cell."""
+def quantised(df: DataFrame, size: str, dims: list[str], bits: int = BITS) -> tuple[DataFrame, list[Column]]:
+    """(df with a cell for each of dims, coordinates): the size on a log scale (2 cells an octave), other columns by the
+    rank of their value among the distinct ones, so that near values lie in near cells. Nulls take the last cell."""
     top = (1 << bits) - 1
     log = F.least(F.floor(2 * F.log2(F.col(size).cast("double") + 1)), F.lit(top)).cast("long")
-    return [F.coalesce(log, F.lit(top).cast("long")), *[F.coalesce(F.pmod(F.xxhash64(d), F.lit(top)), F.lit(top)).cast("long") for d in dims]]
+    for k, d in enumerate(dims):
+        values = saved(ranked(df.select(F.col(d).alias(f"_v{k}")).where(F.col(f"_v{k}").isNotNull()).distinct(), F.col(f"_v{k}"), rank=f"_c{k}"))
+        cells = values.withColumn(f"_c{k}", F.floor(F.col(f"_c{k}") * top / max(values.count(), 1)).cast("long"))
+        df = df.join(cells, df[d] == cells[f"_v{k}"], "left").drop(f"_v{k}")
+    return df, [F.coalesce(c, F.lit(top).cast("long")) for c in (log, *[F.col(f"_c{k}") for k in range(len(dims))])]
 
 
-def hilbert_shards(df: DataFrame, shards: int, size: str, dims: list[str], key: str, bits: int = BITS) -> DataFrame:
+def hilbert_shards(df: DataFrame, shards: int, size: str, dims: list[str], key: str, group: str | None = None, bits: int = BITS) -> DataFrame:
     """df with `curve`, `shard` (0 to shards - 1) and `slot` (gapless from 0): the curve is cut into runs of equal counts.
 
-    Row counts of any two shards differ by at most one. Order: curve index, then a hash of the key, then the key, so a
-    hot cell is spread over many range partitions. df must be narrow (keys and metadata, no texts): it is laid out
-    once by range and written to the shared folder. Null keys and sizes have places like any others; repeated rows
-    each have one; columns of df pass unchanged (`curve`, `rank`, `shard` and `slot` are replaced); no rows, no shards.
+    Row counts of any two shards differ by at most one. Order: curve index, then the group, then a hash of the key, then
+    the key, so a hot cell or group is spread over many range partitions. Rows with the same `group` (a hash of the
+    text, say) stand together, at the least index of any of them: they share a shard unless a cut falls among them.
+    df must be narrow (keys and metadata, no texts): it is laid out once by range and written to the shared folder.
+    Null keys, sizes and groups have places like any others; repeated rows each have one; columns of df pass unchanged
+    (`curve`, `rank`, `shard` and `slot` are replaced); no rows, no shards.
     """
     df = df.drop("curve", "rank", "shard", "slot")
-    cells = df.withColumn("curve", hilbert_index(quantised(df, size, dims, bits), bits))
-    laid = ranked(cells, F.col("curve"), F.xxhash64(key), F.col(key))
+    own = df.columns
+    df, axes = quantised(df, size, dims, bits)
+    cells = df.withColumn("curve", hilbert_index(axes, bits)).select(*own, "curve")
+    if group is not None:
+        cells = saved(cells)
+        # Spark splits a hot group in this join by itself; the other side has one row for each group.
+        least = cells.groupBy(F.col(group).alias("_g")).agg(F.min("curve").alias("_least"))
+        cells = cells.join(least, F.col(group).eqNullSafe(F.col("_g"))).withColumn("curve", F.col("_least")).drop("_g", "_least")
+    laid = ranked(cells, F.col("curve"), *([F.col(group)] if group is not None else []), F.xxhash64(key), F.col(key))
     n = max(laid.count(), 1)
     shard = F.expr(f"(rank * {shards}) div {n}")
     first = F.expr(f"(cast(shard as bigint) * {n} + {shards} - 1) div {shards}")
@@ -86,6 +100,6 @@ def hilbert_shards(df: DataFrame, shards: int, size: str, dims: list[str], key:
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), "source", "lang")
-    out = hilbert_shards(rows, 16, "size", ["source", "lang"], "doc_id")
+    rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("_text"), "source", "lang")
+    out = hilbert_shards(rows, 16, "size", ["source", "lang"], "doc_id", group="_text")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")

@@ -295,12 +295,20 @@ def test_license_scan_equals_its_sql(spark):
     import duckdb
     import pandas as pd
 
-    docs = [(i, t, "en", "a", 0) for i, t in enumerate(["x\nLicensed  under the APACHE license, version 2.0!\nReleased under the MIT License.", "This work is licensed under the GNU General Public License, version 2", "nothing here", "", None, "All rights reserved.", "so released under the mit license", "w " * 5000])]
-    got = sorted(map(tuple, licenses.license_scan(frame(spark, docs)).collect()))
+    mit = licenses.TEXTS[0][1]
+    wrapped = "\n * ".join(mit[i : i + 60] for i in range(0, len(mit), 60)).replace("EXPRESS OR", "EITHER EXPRESS OR")
+    long = ["word"] * 20_000
+    texts = ["x\nLicensed  under the APACHE license, version 2.0!\nReleased under the MIT License.", "Copyright 2020 Foo. Released under the\nMIT License. See LICENSE.", "nothing here", "", None, "All rights reserved.",
+             mit, f"/* {wrapped} */ code", " ".join([*long, licenses.TEXTS[4][1], *long]), licenses.TEXTS[3][1], licenses._gnu("", "3"), "of the " * 300, "rights", mit[: len(mit) // 3]]
+    docs = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    df = frame(spark, docs).withColumn("license", F.lit("clash"))
+    got = sorted(map(tuple, licenses.license_scan(df).collect()))
     c = duckdb.connect()
     c.register("documents", pd.DataFrame(docs, columns=["doc_id", "text", "lang", "source", "n_chars"]))
     assert got == sorted(c.execute(licenses.oracle()).fetchall())
-    assert [(g[0], g[1], g[2]) for g in got][:6] == [(0, 2, "Apache-2.0"), (1, 1, "GPL-2.0"), (2, 0, None), (3, 0, None), (4, 0, None), (5, 1, "Proprietary")]
+    named = {g[0]: g[3] for g in got}
+    assert named == {0: "Apache-2.0", 1: "MIT", 2: None, 3: None, 4: None, 5: "Proprietary", 6: "MIT", 7: "MIT", 8: "Apache-2.0", 9: "BSD-3-Clause", 10: "GPL-3.0-or-later", 11: None, 12: None, 13: None}
+    assert got[0][2] == "Apache-2.0,MIT" and got[8][5] == 20_000
     assert licenses.license_scan(frame(spark, [])).count() == 0
 
 
@@ -377,6 +385,22 @@ def test_hilbert_shards(spark):
     assert sharding.hilbert_shards(rows.where("false"), 16, "size", ["source"], "doc_id").count() == 0
 
 
+def test_hilbert_shards_keep_copies_together(spark, tmp_path):
+    docs = [(i, t, lang, s, 0) for i, t, lang, s, _ in corpus(17, 150)] + [(1000 + i, "one text of all", None, random.Random(i).choice(["a", None, "z"]), 0) for i in range(70)]
+    docs += [(None, "no key", "en", "a", 0)] * 3 + [(5000, "x" * 100_000, "en", "a", 0), (5001, "y" * 60_000, "en", "a", 0)]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op7_hilbert_sharding(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs) and {r.law for r in got} == {"rows"} and all(r.grown_shard is None for r in got)
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    text = {d[0]: (d[1] or "").encode() for d in docs}
+    assert all((r["size"], r.text_crc32) == (len(text[r.doc_id]) + 1, zlib.crc32(text[r.doc_id])) for r in got)
+    order = [text[r.doc_id] for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    runs_ = 1 + sum(a != b for a, b in zip(order, order[1:]))
+    assert runs_ == len(set(text.values()))  # copies follow each other; a group is cut only where a shard ends
+    assert next(r.curve for r in got if r.doc_id == 5000) != next(r.curve for r in got if r.doc_id == 5001)
+
+
 def test_hilbert_curve_moves_one_step(spark):
     n = 8
     df = spark.range(n**3).select(*[(F.floor(F.col("id") / n**k) % n).alias(f"c{k}") for k in range(3)])
