@@ -15,14 +15,15 @@ BLOCK_BITS = 6
 
 
 @cache
-def _tables() -> tuple[str, str, str, str, str]:
-    """By rule from the Unicode database, for the basic plane: characters with a one-character compatibility form and
-    those forms; compositions of a base and a mark, and longer compatibility forms, as text for str_to_map; and the
-    characters that have those longer forms."""
-    single, form, pairs, longer, special = [], [], [], [], []
-    for n in range(0x80, 0xFFFE):
+def _tables() -> dict[str, str]:
+    """By rule from the Unicode database, over all planes: characters with a one-character compatibility form and those
+    forms; as text for str_to_map, longer compatibility forms, compositions of a base and a mark, the full canonical
+    forms of composed characters, and the combining classes of marks; as character classes of a regular expression, the
+    characters with longer forms, the marks that have a class, and what follows a base without one (pairs of those)."""
+    single, form, longer, pairs, parts, classes, special, marks, follow = [], [], [], [], [], [], [], [], []
+    for n in range(0x80, 0x110000):
         c = chr(n)
-        if 0xD800 <= n < 0xE000:
+        if 0xD800 <= n < 0xE000 or 0xAC00 <= n < 0xD7A4:
             continue
         k = unicodedata.normalize("NFKC", c)
         if k != c:
@@ -31,47 +32,101 @@ def _tables() -> tuple[str, str, str, str, str]:
                 form.append(k)
             else:
                 longer.append(f"{c}\x01{k}")
-                special.append(c)
-        d = unicodedata.normalize("NFD", c)
-        d = d if len(d) == 2 else unicodedata.normalize("NFC", d[:-1]) + d[-1:]
-        if len(d) == 2 and d != c and unicodedata.category(d[1])[0] == "M" and unicodedata.normalize("NFC", d) == c:
-            pairs.append(f"{d}\x01{c}")
-    return "".join(single), "".join(form), "\x02".join(pairs), "\x02".join(longer), "".join(special)
+                special.append(n)
+        if unicodedata.combining(c):
+            classes.append(f"{c}\x01{unicodedata.combining(c)}")
+            marks.append(n)
+        whole = unicodedata.normalize("NFD", c)
+        d = unicodedata.normalize("NFC", whole[:-1]) + whole[-1:] if len(whole) > 1 else whole
+        if len(d) == 2 and unicodedata.normalize("NFC", d) == c and k == c:
+            if unicodedata.combining(d[1]):
+                pairs.append(f"{d}\x01{c}")
+                if all(map(unicodedata.combining, whole[1:])):
+                    parts.append(f"{c}\x01{whole}")
+            else:
+                follow.append((d, c))
+    join = lambda x: "\x02".join(x)
+    return {"single": "".join(single), "form": "".join(form), "longer": join(longer), "pairs": join(pairs), "parts": join(parts), "classes": join(classes), "special": _class(special), "marks": _class(marks), "follow": join(f"{d}\x01{c}" for d, c in follow), "second": _class(sorted({ord(d[1]) for d, _ in follow}))}
 
 
-def canonical(text: Column) -> Column:
-    """The text after Unicode normalisation, case and white-space folding; null is empty.
+def _class(codes: list[int]) -> str:
+    """A character class of sorted code points, as ranges."""
+    out: list[list[int]] = []
+    for n in codes:
+        if out and out[-1][1] == n - 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
-    Normalisation: compatibility forms of single characters become plain, longer ones (ligatures, fractions) are
-    spelled out, and a base with up to three marks is composed mark by mark, over the basic plane; marks are not put
-    in another order. Case: lower of upper. White space: runs become one space, none at the ends. Pure ASCII text
-    skips the first part.
-    """
-    single, form, pairs, longer, special = _tables()
-    as_map = lambda s: F.str_to_map(F.lit(s), F.lit("\x02"), F.lit("\x01"))
-    odd = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in special) + "]"
 
-    def let(value: Column, f) -> Column:
-        """f(value), with value named once: the tables stand once in the plan."""
-        return F.transform(F.array(value), f)[0]
+def _let(value: Column, f) -> Column:
+    """f(value), with value named once: the tables stand once in the plan."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _map(text: str) -> Column:
+    return F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x01"))
+
+
+def _pieces(text: Column, cut: str, f) -> Column:
+    return F.array_join(F.transform(F.split(text, cut), f), "")
+
 
-    def pieces(text: Column, cut: str, f) -> Column:
-        return F.array_join(F.transform(F.split(text, cut), f), "")
+def _composed(piece: Column, parts: Column, classes: Column, pairs: Column) -> Column:
+    """A base with its marks: taken apart, marks put in the order of their classes, and composed again, a mark that one
+    of the same class or a higher one stands before staying apart."""
+    each = lambda c: F.filter(F.split(c, r"(?<=\P{Cs})"), lambda x: x != "")
+    chars = F.flatten(F.transform(each(piece), lambda c: each(F.coalesce(F.try_element_at(parts, c), c))))
+    rank = lambda c: F.coalesce(F.try_element_at(classes, c), F.lit("0")).cast("int")
+    marked = F.transform(chars, lambda c, i: F.struct(F.when(i == 0, -1).otherwise(rank(c)).alias("k"), i.alias("i"), c.alias("c")))
+    ordered = F.array_sort(marked)
+    start = F.struct(F.lit("").alias("base"), F.lit("").alias("tail"), F.lit(0).alias("last"))
 
-    def composed(piece: Column, known: Column) -> Column:
-        for _ in range(3):
-            piece = let(piece, lambda p: F.concat(F.coalesce(F.try_element_at(known, F.substring(p, 1, 2)), F.substring(p, 1, 2)), F.substr(p, F.lit(3))))
-        return piece
+    def step(s: Column, m: Column) -> Column:
+        known = F.when(s["last"] < m["k"], F.try_element_at(pairs, F.concat(s["base"], m["c"])))
+        made = lambda base, tail, last: F.struct(base.alias("base"), tail.alias("tail"), last.alias("last"))
+        return F.when(m["k"] < 0, made(m["c"], F.lit(""), F.lit(0))).when(known.isNotNull(), made(known, s["tail"], s["last"])).otherwise(made(s["base"], F.concat(s["tail"], m["c"]), m["k"]))
+
+    return F.aggregate(ordered, start, step, lambda s: F.concat(s["base"], s["tail"]))
+
+
+def _syllables(text: Column) -> Column:
+    """Hangul syllables of conjoining letters: leading and vowel first, then that and the trailing one."""
+    char = lambda n: F.decode(F.unhex(F.hex(n.cast("long"))), "UTF-16BE")
+    code = lambda p, at: F.ascii(F.substring(p, at, 1))
+    rest = lambda p: F.substr(p, F.lit(3))
+    lead, last = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}]", r"[\x{ac00}-\x{d7a3}][\x{11a8}-\x{11c2}]"
+    open_ = _pieces(text, f"(?={lead})", lambda p: F.when(p.rlike(f"^{lead}"), F.concat(char(0xAC00 + ((code(p, 1) - 0x1100) * 21 + code(p, 2) - 0x1161) * 28), rest(p))).otherwise(p))
+    return _let(open_, lambda t: _pieces(t, f"(?={last})", lambda p: F.when(p.rlike(f"^{last}") & ((code(p, 1) - 0xAC00) % 28 == 0), F.concat(char(code(p, 1) + code(p, 2) - 0x11A7), rest(p))).otherwise(p)))
+
+
+def canonical(text: Column) -> Column:
+    """The text after Unicode normalisation, case and white-space folding; null is empty.
+
+    Normalisation is that of NFKC for the Unicode version of this Python: compatibility forms of single characters
+    become plain, longer ones (ligatures, fractions) are spelled out, marks are put in order and composed with their
+    base, Hangul letters become syllables. Case: lower of upper. White space: runs become one space, none at the ends.
+    Pure ASCII text skips the first part, text without marks, longer forms and Hangul letters most of it.
+    """
+    t_ = _tables()
+    odd, mark, second = t_["special"], t_["marks"], t_["second"]
+    plain_mark, first = f"[^{mark[1:-1]}\\p{{Cs}}]", f"[^{second[1:-1]}\\p{{Cs}}]"  # never between the halves of a pair
 
-    # translate() looks characters up by hash (those without a partner go); a class of so many characters in a regular
-    # expression tries them in turn. So the first tells whether a text needs the second.
     def normal(t: Column) -> Column:
-        spelled = let(as_map(longer), lambda known: pieces(t, f"(?={odd})|(?<={odd})", lambda p: F.coalesce(F.try_element_at(known, p), p)))
-        plain = let(F.translate(t, single + special, form), lambda s: F.when(F.char_length(s) == F.char_length(t), s).otherwise(F.translate(spelled, single, form)))
-        return let(plain, lambda p: F.when(p.rlike(r"\p{M}"), let(as_map(pairs), lambda known: pieces(p, r"(?=\P{M}\p{M})|(?<=\p{M})(?=\P{M})", lambda q: composed(q, known)))).otherwise(p))
+        # translate() looks characters up by hash; a class of many ranges in a regular expression tries them in turn.
+        single = F.translate(t, t_["single"], t_["form"])
+        spelled = lambda s: F.when(s.rlike(odd), _let(_map(t_["longer"]), lambda known: _pieces(s, f"(?={odd})|(?<={odd})", lambda p: F.coalesce(F.try_element_at(known, p), p)))).otherwise(s)
+        tables = F.struct(_map(t_["parts"]).alias("parts"), _map(t_["classes"]).alias("classes"), _map(t_["pairs"]).alias("pairs"))
+        cut = f"(?={plain_mark}{mark})|(?<={mark})(?={plain_mark})"
+        by_mark = lambda s: F.when(s.rlike(mark), _let(tables, lambda k: _pieces(s, cut, lambda p: F.when(p.rlike(mark), _composed(p, k["parts"], k["classes"], k["pairs"])).otherwise(p)))).otherwise(s)
+        follow = lambda s: F.when(s.rlike(second), _let(_map(t_["follow"]), lambda known: _pieces(s, f"(?={first}{second})|(?<={second})", lambda p: F.coalesce(F.try_element_at(known, p), p)))).otherwise(s)
+        hangul = lambda s: F.when(s.rlike(r"[\x{1161}-\x{1175}\x{11a8}-\x{11c2}]"), _syllables(s)).otherwise(s)
+        # Two rounds of pairs without a class: a third letter follows some of them.
+        return _let(_let(_let(_let(_let(single, spelled), follow), follow), by_mark), hangul)
 
     text = F.coalesce(text, F.lit(""))
-    folded = F.lower(F.upper(let(text, lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(normal(t)))))
+    folded = F.lower(F.upper(_let(text, lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(normal(t)))))
     spaces = r"\x09-\x0D\x1C-\x20\x{85}\x{2028}\x{2029}"
     return F.trim(F.regexp_replace(folded, rf"[{spaces}]{{2,}}|[{spaces}&&[^ ]]", " "))
 
@@ -92,9 +147,14 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", prints:
     known already. Null texts are empty texts; null keys are keys like others and come first; repeated rows are
     members like others. No rows, no groups.
     """
-    rows = df.select(F.col(key).alias("_key"), canonical(F.col(text)).alias("_canon")).withColumn("fingerprint", digest(F.col("_canon")))
-    prints = rows.select("_key", "fingerprint") if prints is None else prints.select(F.col(key).alias("_key"), "fingerprint")
-    several = prints.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min_by("_key", F.struct(F.col("_key"))).alias("_first")).where("_n > 1")
+    if prints is None:
+        prints = saved(df.select(F.col(key), digest(canonical(F.col(text))).alias("fingerprint")))
+    prints = prints.select(F.col(key).alias("_key"), "fingerprint")
+    several = prints.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min_by("_key", F.struct(F.col("_key"))).alias("_first")).where("_n > 1").drop("_n")
+    # Only texts of keys in shared buckets are made canonical once more, to be compared.
+    wanted = prints.join(several.select("fingerprint"), "fingerprint", "left_semi").select(F.col("_key").alias("_wanted")).distinct()
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = rows.join(wanted, rows["_key"].eqNullSafe(wanted["_wanted"]), "left_semi").select("_key", canonical(F.col("_text")).alias("_canon")).withColumn("fingerprint", digest(F.col("_canon")))
     met = saved(rows.join(several, "fingerprint"))
     first = met.where(F.col("_key").eqNullSafe(F.col("_first"))).groupBy("fingerprint").agg(F.min("_canon").alias("_same"))
     judged = saved(met.join(first, "fingerprint").select("_key", "fingerprint", "_first", (F.col("_canon") == F.col("_same")).alias("_equal"), F.sha2("_canon", 256).alias("_sha")))
@@ -107,18 +167,22 @@ def over_next(docs: DataFrame, columns: list[str], made: dict[str, Column], key:
     """The columns `made` of every row, from key, columns and next_<column>: the values of the row that follows it by
     (key, then columns), and of the first row after the last.
 
-    Rows meet once, in blocks of consecutive keys (2**BLOCK_BITS, so bounded). The last row of a block is finished
-    from the first row of the next block that has rows; blocks are ranked for that. Null keys come first. A single
-    row follows itself.
+    Rows meet once, in blocks of consecutive keys (2**BLOCK_BITS). Null keys come first; rows of one key follow each
+    other by a hash of their columns, and where a key has many rows (or is null) blocks are of a key and the hash's
+    high bits, so that a hot key is many blocks. The last row of a block is finished from the first row of the next
+    block that has rows; blocks are ranked for that. A single row follows itself.
     """
-    docs = docs.select(key, *columns).withColumn("_blk", F.shiftright(key, BLOCK_BITS))
-    within = Window.partitionBy("_blk").orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns])
+    docs = docs.select(key, *columns).withColumn("_hash", F.xxhash64(*columns))
+    most = docs.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    fine = F.lit(most > 1 << BLOCK_BITS) | F.col(key).isNull()
+    docs = docs.withColumn("_blk", F.struct(F.when(fine, F.col(key)).otherwise(F.shiftright(key, BLOCK_BITS)).alias("k"), F.when(fine, F.shiftright("_hash", 44)).otherwise(0).alias("h")))
+    within = Window.partitionBy("_blk").orderBy(F.col(key).asc_nulls_first(), "_hash", *[F.col(c).asc_nulls_first() for c in columns])
     own = F.struct(key, *columns)
     inner = docs.withColumn("_next", F.lead(F.struct(*columns)).over(within)).withColumn("_no", F.row_number().over(within))
     inner = inner.select("*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
     edge = {"_blk": F.col("_blk"), "_tail": F.when(F.col("_next").isNull(), own), "_head": F.when(F.col("_no") == 1, own)}
     laid = saved(inner.select(*[c.alias(n) for n, c in {**made, **edge}.items()]))
-    blocks = saved(ranked(laid.where("_head is not null").select("_blk"), F.col("_blk").asc_nulls_first()))
+    blocks = saved(ranked(laid.where("_head is not null").select("_blk"), F.col("_blk.k").asc_nulls_first(), F.col("_blk.h")))
     n = blocks.count()
     after = blocks.select(F.col("_blk").alias("_from"), F.pmod(F.col("rank") + 1, F.lit(max(n, 1))).alias("rank")).join(blocks, "rank").select("_from", F.col("_blk").alias("_to"))
     heads = laid.where("_head is not null").select(F.col("_blk").alias("_at"), "_head")

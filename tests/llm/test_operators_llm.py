@@ -76,6 +76,39 @@ def test_fingerprints(spark):
     assert all(got[i].group_id == min(g) for g in groups.values() for i in g)
 
 
+def test_canonical_is_nfkc(spark):
+    """Every character by itself and decomposed, Hangul letters, marks in any order, all planes."""
+    r = random.Random(2)
+    ok = lambda n: not 0xD800 <= n < 0xE000 and unicodedata.category(chr(n)) != "Cn"
+    texts = [chr(n) for n in range(0x80, 0x30000, 7) if ok(n)]
+    texts += [unicodedata.normalize("NFD", chr(n)) for n in [*range(0xC0, 0x3000), *range(0xAC00, 0xD7A4, 97)] if ok(n)]
+    texts += ["\u1100\u1161", "\u1112\u1175\u11c2", "\uac00\u11a8", "\u1161", "\u00ea\u0323", "e\u0302\u0323", "a\u0327\u0301\u0328", "q\u0307\u0323", "\U0001d400\U0001d41a", "\u0bc6\u0bbe", "\ufb01x\u0301", "\u0301 a", "a\u0301\u0301", "\u0344"]
+    marks = [chr(n) for n in range(0x300, 0x370)]
+    texts += ["".join(r.choice("aeiouqcsZ \u00ea\u1ea1\uac00") + "".join(r.choice(marks) for _ in range(r.randrange(4))) for _ in range(6)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.c for x in df.select("i", fingerprints.canonical(F.col("t")).alias("c")).collect()}
+    fold = {x.i: x.c for x in spark.createDataFrame([(i, unicodedata.normalize("NFKC", t)) for i, t in enumerate(texts)], "i int, t string").select("i", F.trim(F.regexp_replace(F.lower(F.upper("t")), r"[\x09-\x0D\x1C-\x20\x{85}\x{2028}\x{2029}]+", " ")).alias("c")).collect()}
+    wrong = [(texts[i], got[i], fold[i]) for i in got if got[i] != fold[i]]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_fingerprints_of_hot_keys(spark):
+    docs = [(None, f"text {i % 90}", None, None, 0) for i in range(200)] + [(4, f"other {i}", None, None, 0) for i in range(100)] + [(5, "x y" * 9000, None, None, 0)]
+    df = frame(spark, docs).withColumn("fingerprint", F.lit("clash"))
+    got = fingerprints.fingerprints(df).collect()
+    assert len(got) == 301 and Counter(r.doc_id for r in got) == Counter(d[0] for d in docs)
+    unique = frame(spark, [(d[0], f"{d[1]} {i}", None, None, 0) for i, d in enumerate(docs)])
+    key_of = {f"{d[1]} {i}": d[0] for i, d in enumerate(docs)}
+    rows = fingerprints.over_next(unique, ["text"], {"text": F.col("text"), "after": F.col("next_text")}).collect()
+    after = {r.text: r.after for r in rows}
+    assert sorted(after) == sorted(after.values()) and len(rows) == 301
+    steps, at = [], rows[0].text
+    for _ in rows:  # one ring through all rows, in which each key's rows stand together
+        steps.append(key_of[at])
+        at = after[at]
+    assert at == rows[0].text and sum(a != b for a, b in zip(steps, steps[1:] + steps[:1])) == 3
+
+
 def test_fingerprints_edges(spark):
     assert fingerprints.fingerprints(frame(spark, [])).count() == 0
     one = fingerprints.fingerprints(frame(spark, [(4, "abcdefgh", "en", "a", 8)])).first()
