@@ -10,19 +10,33 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship
+
+#: Bytes of an Arrow batch, where the session has Spark's own default: texts are long, and a batch is held several times.
+BATCH = 4 << 20
 #: ASCII white space ends a word; nothing else does.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ready(spark: SparkSession) -> None:
+    """The package on every executor, and Arrow batches of bounded size (a session that has set its own keeps it)."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(BATCH))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is set (tests) a temporary one."""
+    """The folder all executors share. Only on one machine (local mode, as in tests) may it be unset; then a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_taskloom_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="taskloom-")

@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.ship import ship
-from .common import components, load, partitions, saved
+from .common import components, load, partitions, ready, saved
 from .words import mix, ragged
 
 #: Tables; lattice points in a key; size of a lattice step in the projected space; neighbouring cells probed.
@@ -214,7 +213,7 @@ def vector_classes(vectors: DataFrame, least: float = 0.93, key: str = "vec_id",
     first cell where it meets.
     """
     spark = vectors.sparkSession
-    ship(spark)
+    ready(spark)
     none = F.lit(-(1 << 63))
     plain = vectors.select(F.coalesce(F.col(key).cast("long"), none).alias("vec"), F.col(label).cast("long").alias("label"), F.col(vector).alias("e"))
     rows = saved(plain.mapInArrow(_read, "vec long, label long, v binary").withColumn("s1", F.xxhash64("v", "label")).withColumn("s2", F.xxhash64(F.lit(1), "v", "label")))

@@ -10,8 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.ship import ship
-from .common import components, load, partitions, saved
+from .common import components, load, partitions, ready, saved
 from .words import give_back, hashed_words, mix, text_slices
 
 #: BANDS bands of ROWS registers: a pair of Jaccard 0.8 shares no band with probability (1 - 0.8**5)**40 = 1e-7.
@@ -261,7 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     on full sets in blocks, where no pair is a row; a bucket's largest component is not compared with itself.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     none = F.lit(-(1 << 63))
     text_of = F.coalesce(F.col(text), F.lit(""))
     plain = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("doc"), F.xxhash64(text_of).alias("mark"), text_of.alias("text"))

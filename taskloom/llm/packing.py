@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.ship import ship
-from .common import load, ranked, saved
+from .common import load, ranked, ready, saved
 
 LENGTH = 1024
 #: Stands after each document.
@@ -89,7 +88,7 @@ def pack(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", length: int = LE
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_key {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))

@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.ship import ship
-from .common import load
+from .common import load, ready
 from .toxicity import held_out
 from .words import SPACE, hash_spans, mix, text_slices, word_places
 
@@ -187,7 +186,7 @@ def _rows(docs: DataFrame, *more: Column) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column) -> tuple[View, View] | None:
     """Fits the views on the LABELLED usable rows and POOL unlabelled rows of the least hash of doc_id; only their
     features reach the driver."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     known = labels.where(usable & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = docs.select("doc_id").distinct().join(known, "doc_id", "left")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -209,7 +208,7 @@ def quality(docs: DataFrame, model: tuple[View, View] | None) -> DataFrame:
     their log-odds. The whole text is read. A null text is empty, an absent or null source or language a value of its
     own; repeated rows score alike; without a model all are 0.5. No shuffle; no rows give no rows.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of weights
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _rows(docs).mapInArrow(lambda it: _scored(it, held), f"doc_id {kind}, score double, text_score double, page_score double")

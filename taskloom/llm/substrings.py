@@ -19,8 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.ship import ship
-from .common import load, partitions, saved
+from .common import load, partitions, ready, saved
 from .words import binaries, give_back, hashed_words, mix, powers, ragged, text_slices
 
 WINDOW = 20
@@ -390,7 +389,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     if not 1 <= window <= 32:
         raise ValueError("window must be 1 to 32")
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     others = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_sha256")]
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     mark = F.shiftright(F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")), 1)  # 31 bits, to share a long with a place

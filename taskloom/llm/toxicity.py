@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.ship import ship
 from . import recurrent as net
-from .common import load
+from .common import load, ready
 from .words import give_back, text_slices
 
 #: Labelled rows of either class that the network is fitted on, and the longest text of these (bytes).
@@ -140,18 +139,19 @@ def _scale(f: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w * [0.25, 0.25, 1]
 
 
-def _scored(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], held, text_column: str, given: bool) -> Iterator[pa.RecordBatch]:
+    """batches with `_score`; given: the text column is one of the result's."""
     p = held.value
     for batch in batches:
         score = np.zeros(len(batch))
         if p is not None:
-            for i, j, data, offsets in text_slices(batch.column(batch.schema.get_field_index("_text")), SLICE):
+            for i, j, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text_column)), SLICE):
                 v = net.vocabulary(data, offsets)
                 first, size, text = net.windows(v["rows"])
                 f = evidence(net.logits(p, v, first, size), text, j - i)
                 score[i:j] = 1 / (1 + np.exp(-(f @ p["scale"][:2] + p["scale"][2])))
                 give_back()
-        names = [n for n in batch.schema.names if n != "_text"]
+        names = [n for n in batch.schema.names if given or n != text_column]
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(score)], names=[*names, "_score"])
 
 
@@ -163,12 +163,13 @@ def toxicity(docs: DataFrame, model: dict | None, text: str = "text", score: str
     or digit, score as a text in which nothing was found; without a model every score is 0. Equal texts score alike,
     whatever their other columns. A column `score` of docs is replaced. No shuffle; no rows give no rows.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # the weights: tables of a fixed size
     own = [f for f in docs.schema if f.name != score]
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "_score double"])
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in own], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.mapInArrow(lambda it: _scored(it, held), kinds).withColumnRenamed("_score", score)
+    given = text != score
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in own], *([] if given else [F.col(f"`{text}`").alias("_text")]))
+    return rows.mapInArrow(lambda it: _scored(it, held, text if given else "_text", given), kinds).withColumnRenamed("_score", score)
 
 
 def held_out(key: str = "doc_id") -> Column:
