@@ -46,7 +46,10 @@ def _tables() -> dict[str, str]:
             else:
                 follow.append((d, c))
     join = lambda x: "\x02".join(x)
-    return {"single": "".join(single), "form": "".join(form), "longer": join(longer), "pairs": join(pairs), "parts": join(parts), "classes": join(classes), "special": _class(special), "marks": _class(marks), "follow": join(f"{d}\x01{c}" for d, c in follow), "second": _class(sorted({ord(d[1]) for d, _ in follow}))}
+    # What any mark or second letter is, in few terms: Unicode's marks, and those that are none.
+    others = [n for n in sorted({*marks, *(ord(d[1]) for d, _ in follow)}) if unicodedata.category(chr(n))[0] != "M"]
+    some = "[\\p{M}" + (_class(others)[1:-1] if others else "") + "]"
+    return {"some": some, "singles_of_longer": "".join(map(chr, special)), "single": "".join(single), "form": "".join(form), "longer": join(longer), "pairs": join(pairs), "parts": join(parts), "classes": join(classes), "special": _class(special), "marks": _class(marks), "follow": join(f"{d}\x01{c}" for d, c in follow), "second": _class(sorted({ord(d[1]) for d, _ in follow}))}
 
 
 def _class(codes: list[int]) -> str:
@@ -114,16 +117,18 @@ def canonical(text: Column) -> Column:
     plain_mark, first = f"[^{mark[1:-1]}\\p{{Cs}}]", f"[^{second[1:-1]}\\p{{Cs}}]"  # never between the halves of a pair
 
     def normal(t: Column) -> Column:
-        # translate() looks characters up by hash; a class of many ranges in a regular expression tries them in turn.
-        single = F.translate(t, t_["single"], t_["form"])
-        spelled = lambda s: F.when(s.rlike(odd), _let(_map(t_["longer"]), lambda known: _pieces(s, f"(?={odd})|(?<={odd})", lambda p: F.coalesce(F.try_element_at(known, p), p)))).otherwise(s)
+        # translate() looks characters up by hash (those without a partner go); a class of many ranges in a regular
+        # expression tries them in turn. So cheap tests tell whether a text needs one.
+        short = F.translate(t, t_["single"] + t_["singles_of_longer"], t_["form"])
+        spelled = lambda s: F.when(F.char_length(s) == F.char_length(t), s).otherwise(_let(F.translate(t, t_["single"], t_["form"]), apart))
+        apart = lambda s: F.when(s.rlike(odd), _let(_map(t_["longer"]), lambda known: _pieces(s, f"(?={odd})|(?<={odd})", lambda p: F.coalesce(F.try_element_at(known, p), p)))).otherwise(s)
         tables = F.struct(_map(t_["parts"]).alias("parts"), _map(t_["classes"]).alias("classes"), _map(t_["pairs"]).alias("pairs"))
         cut = f"(?={plain_mark}{mark})|(?<={mark})(?={plain_mark})"
-        by_mark = lambda s: F.when(s.rlike(mark), _let(tables, lambda k: _pieces(s, cut, lambda p: F.when(p.rlike(mark), _composed(p, k["parts"], k["classes"], k["pairs"])).otherwise(p)))).otherwise(s)
-        follow = lambda s: F.when(s.rlike(second), _let(_map(t_["follow"]), lambda known: _pieces(s, f"(?={first}{second})|(?<={second})", lambda p: F.coalesce(F.try_element_at(known, p), p)))).otherwise(s)
+        by_mark = lambda s: F.when(s.rlike(t_["some"]) & s.rlike(mark), _let(tables, lambda k: _pieces(s, cut, lambda p: F.when(p.rlike(mark), _composed(p, k["parts"], k["classes"], k["pairs"])).otherwise(p)))).otherwise(s)
+        follow = lambda s: F.when(s.rlike(t_["some"]) & s.rlike(second), _let(_map(t_["follow"]), lambda known: _pieces(s, f"(?={first}{second})|(?<={second})", lambda p: F.coalesce(F.try_element_at(known, p), p)))).otherwise(s)
         hangul = lambda s: F.when(s.rlike(r"[\x{1161}-\x{1175}\x{11a8}-\x{11c2}]"), _syllables(s)).otherwise(s)
         # Two rounds of pairs without a class: a third letter follows some of them.
-        return _let(_let(_let(_let(_let(single, spelled), follow), follow), by_mark), hangul)
+        return _let(_let(_let(_let(_let(short, spelled), follow), follow), by_mark), hangul)
 
     text = F.coalesce(text, F.lit(""))
     folded = F.lower(F.upper(_let(text, lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(normal(t)))))
