@@ -96,6 +96,15 @@ def pairwise_stats(vectors: DataFrame, above: float, grid: int | None = None) ->
     return t.agg(F.sum("n").alias("n_pairs"), mean.alias("mean"), F.min("lo").alias("least"), F.max("hi").alias("greatest"), F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0))).alias("deviation"), F.sum("above").alias("n_above"))
 
 
+def global_check(vectors: DataFrame, above: float, sample: int = 200, seed: int = 0, least: int = 10) -> DataFrame:
+    """pairwise_stats of at most `sample` vectors, those of the least seeded hash of their id, with the number of all and
+    of the sample; status is not_enough_data, and figures are null, if there are fewer than `least`."""
+    n = vectors.count()
+    chosen = vectors.select("id", "embedding").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(sample)
+    stats = pairwise_stats(chosen if n >= least else chosen.where("false"), above)
+    return stats.select(F.lit("ok" if n >= least else "not_enough_data").alias("status"), F.lit(n).cast("long").alias("n_rows"), F.lit(min(n, sample)).cast("long").alias("n_sample"), "*")
+
+
 def diverse(candidates: DataFrame, pool: DataFrame, counts: DataFrame, sim: float = 0.85, warn: float = 0.75, cap: int = 80, save=None) -> DataFrame:
     """(id, kept) by the rule of choice in order of id: a candidate stays if its greatest similarity to the pool and to
     every earlier one that stays is at most its limit, which is `warn` if one of its categories already has `cap`

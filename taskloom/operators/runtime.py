@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.calls import call_tool_name, has_split_arguments
 from ..functions.text import error_class, is_mutating
 from ..functions.vectorised import vectorised
+from ..sources.tables import write_buckets
 
 KEY = ["run", "scenario", "task_id"]
 TASK = ["scenario", "task_id"]
@@ -35,15 +36,17 @@ def classified_calls(calls: DataFrame, flags: Column) -> DataFrame:
 
 
 def run_counters(classified: DataFrame) -> DataFrame:
-    """One row for each (run, scenario, task_id): counters of calls, responses and errors."""
+    """One row for each (run, scenario, task_id): counters of calls, responses and errors, and whether
+    its final step was seen, where calls tell (is_final)."""
     called, label = F.col("name") == "call_tool", F.col("label")
     full = called & label.isNull() & F.col("flags.non_empty")
     empty = called & label.isNull() & ~F.col("flags.non_empty") & F.col("flags.empty_signal")
+    final = [F.coalesce(F.bool_or("is_final"), F.lit(False)).alias("final_seen")] if "is_final" in classified.columns else []
     labels = ("http_500", "timeout", "validation", "route_or_schema", "tool_error", "agent_argument_parse_error")
     return classified.groupBy(*KEY).agg(
         F.count("*").alias("tool_calls"), F.count_if(called).alias("call_tools"), F.count_if(F.col("name") == "list_tools").alias("list_tools"),
         F.count_if(called & is_mutating(F.col("tool"))).alias("mutating_calls"), F.count_if(full).alias("non_empty"), F.count_if(empty).alias("empty"),
-        *[F.count_if(label == x).alias(f"n_{x}") for x in labels],
+        *[F.count_if(label == x).alias(f"n_{x}") for x in labels], *final,
     )
 
 
@@ -82,7 +85,8 @@ def run_rows(verdicts: DataFrame, counters: DataFrame) -> DataFrame:
     """Every run of a task with its reward, and zeros where it called nothing. verdicts: KEY, reward_type, and
     readable (false: the trajectory is missing or bad)."""
     rows = verdicts.join(counters, KEY, "left")
-    return rows.fillna(0, [c for c in counters.columns if c not in KEY])
+    names = [c for c in counters.columns if c not in KEY]
+    return rows.fillna(0, names).fillna(False, names)
 
 
 def _rate(errors: Column, calls: Column) -> Column:
@@ -141,3 +145,32 @@ def safeguarded(decisions: DataFrame, source: DataFrame) -> DataFrame:
     kept = decisions.where("decision in ('keep', 'review')").select(*TASK, "decision")
     gone = source.select(*TASK).distinct().join(decisions.select(*TASK), TASK, "left_anti").withColumn("decision", F.lit("missing_evidence"))
     return kept.unionByName(gone)
+
+
+def allowlist_job(verdicts: DataFrame, calls: DataFrame, flags: Column, source: DataFrame, path: str, expected_runs: int | None = None, **limits) -> dict[str, DataFrame]:
+    """From runs to an allowlist: Parquet tables under path, given back as they are read again.
+
+    runs: every run of a task with its counters; decisions: one folder for each decision; allowlist: keep and review, and
+    the tasks of source that were never analysed; reasons: tasks by decision and family of reason; stats: one row of
+    totals. Decisions are strict where the number of expected runs is given, else lenient; limits are theirs. No runs
+    give empty tables and zeros.
+    """
+    spark, out = verdicts.sparkSession, {}
+
+    def put(name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        if by:
+            write_buckets(df, by, f"{path}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        out[name] = spark.read.schema(df.schema).parquet(f"{path}/{name}").select(*df.columns)
+        return out[name]
+
+    known = classified_calls(calls, flags)
+    runs, signatures = put("runs", run_rows(verdicts, run_counters(known))), error_signatures(known)
+    decided = lenient_decisions(runs, signatures, **limits) if expected_runs is None else strict_decisions(runs, signatures, expected_runs, **limits)
+    decided = put("decisions", decided, "decision")
+    put("allowlist", safeguarded(decided, source))
+    put("reasons", reason_families(decided))
+    each = [F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("keep", "review", "reject")]
+    put("stats", decided.agg(F.count("*").alias("tasks_analyzed"), *each).join(runs.agg(F.count("*").alias("run_task_records")), how="cross"))  # one row each
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import JUDGE_CLASSES
+
 TASK = ["scenario", "task_id"]
 
 
@@ -27,9 +29,12 @@ def reward_counts(verdicts: DataFrame) -> DataFrame:
 
 
 def progress(verdicts: DataFrame, planned: DataFrame) -> DataFrame:
-    """Verified, complete and score by (run, mode) and over the modes of a run (mode null), with what is pending."""
+    """Verified, complete and score by (run, mode) and over the modes of a run (mode null), with what is pending, how
+    many were judged, and how with each class; the share with an injected skill, where `skill_injected` is known."""
     n, done = F.count("*"), F.count_if(F.coalesce("judge_class", "reward_type") == "complete")
-    got = verdicts.groupingSets([["run", "mode"], ["run"]], "run", "mode").agg(n.alias("verified"), done.alias("complete"), (done / n).alias("score"))
+    classes = [F.count_if(F.col("judge_class") == c).alias(f"judge_{c}") for c in JUDGE_CLASSES]
+    skill = [F.avg(F.col("skill_injected").cast("double")).alias("skill_injected_rate")] if "skill_injected" in verdicts.columns else []
+    got = verdicts.groupingSets([["run", "mode"], ["run"]], "run", "mode").agg(n.alias("verified"), done.alias("complete"), (done / n).alias("score"), F.count("judge_class").alias("judged"), *classes, *skill)
     return got.join(planned, "run", "left").withColumn("pending", F.col("planned") - F.col("verified"))
 
 
@@ -65,11 +70,13 @@ def protocol_totals(trajectories: DataFrame) -> DataFrame:
 
 
 def training_health(rows: DataFrame) -> DataFrame:
-    """Rates by run of rows with reward_type, judge_class, format_error, hallucinated, invalid_json and length."""
+    """Rates by run of rows with reward_type, judge_class, format_error, hallucinated, invalid_json and length, and blocked (by a
+    fault of the environment) where it is known."""
     rate = lambda c: F.avg(F.coalesce(c.cast("double"), F.lit(0.0)))
     r = F.col("reward_type")
+    blocked = [rate(F.col("blocked")).alias("blocked_rate")] if "blocked" in rows.columns else []
     return rows.groupBy("run").agg(
         rate(F.col("format_error")).alias("format_error_rate"), rate(r == "server_error").alias("environment_error_rate"), rate(r == "complete").alias("completed_rate"),
         rate(r == "incomplete").alias("partial_rate"), rate(r == "agent_error").alias("agent_error_rate"), rate(F.col("hallucinated")).alias("hallucination_rate"),
-        rate(F.col("invalid_json")).alias("invalid_json_rate"), F.avg("length").alias("mean_length"), rate(F.col("judge_class").isNotNull() & (F.col("judge_class") != r)).alias("disagreement_rate"),
+        rate(F.col("invalid_json")).alias("invalid_json_rate"), F.avg("length").alias("mean_length"), rate(F.col("judge_class").isNotNull() & (F.col("judge_class") != r)).alias("disagreement_rate"), *blocked,
     )

@@ -84,7 +84,7 @@ def balanced_limit(tasks: DataFrame, limit: int, scenarios: int, order: str = "p
 def few_shot(scenarios: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n scenarios over many primary categories: max(1, n // categories) of each in a seeded order, then the rest."""
     kinds = max(1, scenarios.select(F.get("categories", F.lit(0))).distinct().count())
-    by = F.xxhash64(F.lit(seed), F.col("name"))
+    by = F.md5(F.concat(F.lit(f"{seed}:"), "name"))
     rank = F.row_number().over(Window.partitionBy(F.get("categories", F.lit(0))).orderBy(by, "name"))
     return scenarios.withColumn("_first", rank <= max(1, n // kinds)).orderBy(F.col("_first").desc(), by, "name").limit(n).drop("_first")
 
@@ -97,6 +97,25 @@ def request_rows(inputs: DataFrame, template: str, slots: dict[str, Column]) ->
     return inputs.withColumn("prompt", text)
 
 
+def distillation_requests(examples: DataFrame, available: DataFrame, contexts: DataFrame, template: str) -> DataFrame:
+    """One request for each scenario of available: the template with {scenario}, {positives}, {others}, {tools} and
+    {tables} filled, the ids of the chosen examples, how many there were to choose from, and which context is there.
+
+    examples: (scenario, task_id, part, rank, trace), as they were chosen, a bounded number for a scenario; available:
+    (scenario, reward_type); contexts: (scenario, tool_summary, db_summary), at most one row each.
+    """
+    shown = F.struct("rank", "task_id", F.coalesce("trace", F.lit("")).alias("trace"))
+    side = lambda cond: F.array_sort(F.collect_list(F.when(cond, shown)))
+    chosen = examples.groupBy("scenario").agg(side(F.col("part") == "positive").alias("_p"), side(F.col("part") != "positive").alias("_o"))
+    totals = available.groupBy("scenario").agg(F.count_if(F.col("reward_type") == "complete").alias("num_positive_available"), F.count("*").alias("num_aux_available"))
+    rows = totals.join(chosen, "scenario", "left").join(contexts, "scenario", "left")
+    texts = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["trace"]), "\n\n"), F.lit(""))
+    ids = lambda c: F.coalesce(F.transform(c, lambda x: x["task_id"]), F.array().cast("array<bigint>"))
+    tools, db = F.coalesce("tool_summary", F.lit("(tool summary unavailable)")), F.coalesce("db_summary", F.lit("(database summary unavailable)"))
+    rows = request_rows(rows, template, {"scenario": F.col("scenario"), "tools": tools, "tables": db, "positives": texts(F.col("_p")), "others": texts(F.col("_o"))})
+    return rows.select("scenario", "prompt", ids(F.col("_p")).alias("positive_task_ids"), ids(F.col("_o")).alias("auxiliary_task_ids"), "num_positive_available", "num_aux_available", F.col("tool_summary").isNotNull().alias("has_tool_summary"), F.col("db_summary").isNotNull().alias("has_db_summary"))
+
+
 STAGE_RULES = {
     "tasks": lambda j, n: F.json_array_length(F.get_json_object(j, "$.tasks")) >= n,
     "spec": lambda j, n: F.coalesce(F.json_array_length(F.get_json_object(j, "$.api_groups[0].endpoints")), F.lit(0)) >= 1,
@@ -125,6 +144,19 @@ def skill_stats(validated: DataFrame) -> DataFrame:
     return rows.groupBy(F.substring_index("w", ":", 1).alias("family")).agg(F.count("*").alias("n"))
 
 
+def skill_manifest(requests: DataFrame, answers: DataFrame, max_words: int) -> DataFrame:
+    """One row for each request (scenario): status (done; skipped without an answer), the skill, its warnings and
+    quality_ok (null if skipped). The repair set is where quality_ok is false. answers: (scenario, skill)."""
+    found = validated_skills(answers.select("scenario", "skill").where("trim(skill) <> ''"), max_words)
+    rows = requests.select("scenario").join(found, "scenario", "left")
+    return rows.select("scenario", F.when(F.col("skill").isNull(), "skipped").otherwise("done").alias("status"), "skill", "warnings", F.col("ok").alias("quality_ok"))
+
+
+def manifest_totals(manifest: DataFrame) -> DataFrame:
+    """One row: requested, done, skipped, of good quality, and to be repaired."""
+    return manifest.agg(F.count("*").alias("requested"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if("quality_ok").alias("quality_ok"), F.count_if(~F.col("quality_ok")).alias("to_repair"))
+
+
 def with_suitability(scenarios: DataFrame, answers: DataFrame) -> DataFrame:
     """Suitability from a classifier's answers (name, response); an answer that can't be read gives the defaults."""
     j = lenient_json("response")["text"]

@@ -33,8 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = view(spark, sf_dir, "calls")
-    return runtime.classified_calls(c, J.payload_flags("response"))
+    return runtime.classified_calls(run_calls(spark, sf_dir), J.payload_flags("response"))
+
+
+def run_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "calls").withColumn("is_final", F.col("iteration") % 50 == 0)
 
 
 def run_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -189,7 +192,7 @@ def _(s, d):
 
 # --- repeated runs ----------------------------------------------------------------------------------------------
 
-COUNTERS = f"""SELECT run, scenario, task_id, count(*) AS tool_calls, count(*) FILTER (name = 'call_tool') AS call_tools, count(*) FILTER (name = 'list_tools') AS list_tools,
+COUNTERS = f"""SELECT run, scenario, task_id, count(*) AS tool_calls, count(*) FILTER (name = 'call_tool') AS call_tools, count(*) FILTER (name = 'list_tools') AS list_tools, bool_or(iteration % 50 = 0) AS final_seen,
   count(*) FILTER (name = 'call_tool' AND regexp_matches(tool, '(^|_)(create|update|set)_')) AS mutating_calls, count(*) FILTER (name = 'call_tool' AND label IS NULL AND full_) AS non_empty,
   count(*) FILTER (name = 'call_tool' AND label IS NULL AND NOT full_ AND empty_) AS "empty",
   {', '.join(f"count(*) FILTER (label = '{x}') AS n_{x}" for x in ('http_500', 'timeout', 'validation', 'route_or_schema', 'tool_error', 'agent_argument_parse_error'))} FROM ({CALLED}) x GROUP BY run, scenario, task_id"""
@@ -286,10 +289,11 @@ def both_modes(s, d):
     return v.withColumn("mode", F.when(F.col("task_id") % 2 == 0, "sql").otherwise("code")).unionByName(v.where("task_id = 2").withColumn("reward_type", F.lit("incomplete")).withColumn("mode", F.lit("code")))
 
 
-@query("a2_progress", f"""SELECT run, mode, count(*) AS verified, count(*) FILTER (reward_type = 'complete') AS complete, count(*) FILTER (reward_type = 'complete') / count(*) AS score, any_value(p) AS planned, any_value(p) - count(*) AS pending FROM ({BOTH}) b JOIN (SELECT run, count(*) * 2 AS p FROM ({VERDICTS}) v GROUP BY run) q USING (run) GROUP BY GROUPING SETS ((run, mode), (run))""")
+@query("a2_progress", f"""SELECT run, mode, count(*) AS verified, count(*) FILTER (reward_type = 'complete') AS complete, count(*) FILTER (reward_type = 'complete') / count(*) AS score, any_value(p) AS planned, any_value(p) - count(*) AS pending, count(*) FILTER (mode = 'sql') AS judged, count(*) FILTER (mode = 'sql' AND reward_type = 'complete') AS judge_complete, count(*) FILTER (mode = 'sql' AND reward_type <> 'complete') AS judge_incomplete, CAST(0 AS BIGINT) AS judge_server_error, CAST(0 AS BIGINT) AS judge_agent_error, CAST(0 AS BIGINT) AS judge_judge_error, avg(CAST(task_id < 2 AS INT)) AS skill_injected_rate FROM ({BOTH}) b JOIN (SELECT run, count(*) * 2 AS p FROM ({VERDICTS}) v GROUP BY run) q USING (run) GROUP BY GROUPING SETS ((run, mode), (run))""")
 def _(s, d):
     planned = view(s, d, "verdicts").groupBy("run").agg((F.count("*") * 2).alias("planned"))
-    return scores.progress(both_modes(s, d).withColumn("judge_class", F.lit(None).cast("string")), planned)
+    judged = F.when(F.col("mode") == "sql", F.when(F.col("reward_type") == "complete", "complete").otherwise("incomplete"))
+    return scores.progress(both_modes(s, d).withColumn("judge_class", judged).withColumn("skill_injected", F.col("task_id") < 2), planned)
 
 
 @query("j7_preferred_verdicts", f"SELECT run, scenario, task_id, reward_type, mode FROM (SELECT *, row_number() OVER (PARTITION BY run, scenario, task_id ORDER BY mode) AS r FROM ({BOTH}) b) x WHERE r = 1")
@@ -332,11 +336,11 @@ def _(s, d):
     return scores.protocol_totals(c.select(F.concat(F.lit("run_"), (F.col("conv_id") % 3).cast("string")).alias("run"), (F.col("turn") % 2).alias("list_tools_calls"), (F.col("turn") % 3).alias("tool_help_calls"), (F.col("turn") % 4).alias("reminders"), F.array("role").alias("unhelped")))
 
 
-@query("a19_training_health", f"SELECT run, avg(CAST(task_id = 3 AS INT)) AS format_error_rate, 0.0::DOUBLE AS environment_error_rate, avg(CAST(reward_type = 'complete' AS INT)) AS completed_rate, avg(CAST(reward_type = 'judge_error' AND task_id = 1 AS INT)) AS disagreement_rate FROM ({VERDICTS}) v GROUP BY run")
+@query("a19_training_health", f"SELECT run, avg(CAST(task_id = 3 AS INT)) AS format_error_rate, 0.0::DOUBLE AS environment_error_rate, avg(CAST(reward_type = 'complete' AS INT)) AS completed_rate, avg(CAST(reward_type = 'judge_error' AND task_id = 1 AS INT)) AS disagreement_rate, avg(CAST(task_id = 2 AS INT)) AS blocked_rate FROM ({VERDICTS}) v GROUP BY run")
 def _(s, d):
     v = view(s, d, "verdicts").withColumn("judge_class", F.when(F.col("task_id") == 1, F.when(F.col("reward_type") == "judge_error", "complete").otherwise(F.col("reward_type"))))
-    v = v.withColumn("format_error", F.col("task_id") == 3).withColumn("hallucinated", F.lit(False)).withColumn("invalid_json", F.lit(False)).withColumn("length", F.lit(1))
-    return scores.training_health(v).select("run", "format_error_rate", "environment_error_rate", "completed_rate", "disagreement_rate")
+    v = v.withColumn("format_error", F.col("task_id") == 3).withColumn("hallucinated", F.lit(False)).withColumn("invalid_json", F.lit(False)).withColumn("length", F.lit(1)).withColumn("blocked", F.col("task_id") == 2)
+    return scores.training_health(v).select("run", "format_error_rate", "environment_error_rate", "completed_rate", "disagreement_rate", "blocked_rate")
 
 
 # --- tables of environments --------------------------------------------------------------------------------------
@@ -569,6 +573,30 @@ def _(s, d):
     return selection.request_rows(table(s, d, "part"), "Part {name} of size {size}.", {"name": F.col("p_name"), "size": F.col("p_size").cast("string")}).select("p_partkey", "prompt")
 
 
+ASKED = "Learn {scenario}. Tools: {tools} Tables: {tables} Good: {positives} Others: {others}"
+
+
+@query("c4_distillation_requests", f"""WITH e AS ({EX}), g AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY num_tool_calls, task_id) AS rank FROM e WHERE reward_type = 'complete' QUALIFY rank <= 2),
+  o AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY reward_type = 'complete', num_tool_calls, task_id) AS rank FROM e WHERE (scenario, task_id) NOT IN (SELECT (scenario, task_id) FROM g) QUALIFY rank <= 2),
+  p AS (SELECT scenario, string_agg('task ' || CAST(task_id AS VARCHAR), chr(10) || chr(10) ORDER BY rank) AS t, string_agg(CAST(task_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM g GROUP BY 1), q AS (SELECT scenario, string_agg('task ' || CAST(task_id AS VARCHAR), chr(10) || chr(10) ORDER BY rank) AS t, string_agg(CAST(task_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM o GROUP BY 1)
+  SELECT s.scenario, 'Learn ' || s.scenario || '. Tools: ' || CASE WHEN s.scenario LIKE '%1' THEN '- tools of ' || s.scenario ELSE '(tool summary unavailable)' END || ' Tables: (database summary unavailable) Good: ' || coalesce(p.t, '') || ' Others: ' || coalesce(q.t, '') AS prompt, coalesce(p.ids, '') AS positives, coalesce(q.ids, '') AS others, n_good, n_all, s.scenario LIKE '%1' AS has_tools
+  FROM (SELECT scenario, count(*) FILTER (reward_type = 'complete') AS n_good, count(*) AS n_all FROM e GROUP BY 1) s LEFT JOIN p USING (scenario) LEFT JOIN q USING (scenario)""")
+def _(s, d):
+    e = examples(s, d)
+    chosen = selection.shortest_examples(e, 2, 2).withColumn("trace", F.concat(F.lit("task "), F.col("task_id").cast("string")))
+    contexts = e.select("scenario").distinct().where("scenario like '%1'").select("scenario", F.concat(F.lit("- tools of "), "scenario").alias("tool_summary"), F.lit(None).cast("string").alias("db_summary"))
+    t = selection.distillation_requests(chosen, e, contexts, ASKED)
+    ids = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return t.select("scenario", "prompt", ids("positive_task_ids").alias("positives"), ids("auxiliary_task_ids").alias("others"), F.col("num_positive_available").alias("n_good"), F.col("num_aux_available").alias("n_all"), F.col("has_tool_summary").alias("has_tools"))
+
+
+@query("c5_skill_manifest", "SELECT count(*) AS requested, count(*) FILTER (doc_id % 10 <> 0) AS done, count(*) FILTER (doc_id % 10 = 0) AS skipped, count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 4 = 0) AS quality_ok, count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 4 <> 0) AS to_repair FROM documents")
+def _(s, d):
+    good = F.lit("\n".join(T.SKILL_SECTIONS) + "\nConfidence: high")
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("scenario"), F.when(F.col("doc_id") % 10 != 0, F.when(F.col("doc_id") % 4 == 0, good).otherwise(F.concat(F.lit("Skill "), "text"))).alias("skill"))
+    return selection.manifest_totals(selection.skill_manifest(docs, docs, 400))
+
+
 @query("c7_responses", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'accepted' ELSE CASE WHEN o_orderkey % 3 + 1 < 3 THEN 'retry' ELSE 'given_up' END END AS state FROM orders")
 def _(s, d):
     text = F.expr("""CASE o_orderkey % 4 WHEN 0 THEN 'ok {"tasks": ["a", "b"]}' WHEN 1 THEN '{"tasks": ["a"]}' WHEN 2 THEN '{"tasks": [' ELSE '' END""")
@@ -588,7 +616,7 @@ def _(s, d):
     return selection.category_counts(table(s, d, "customer").select(F.array("c_mktsegment", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("categories")), 200)
 
 
-@query("w7_few_shot")
+@query("w7_few_shot", "SELECT c_name AS name, [c_mktsegment] AS categories FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('0:' || c_name), c_name) <= greatest(1, 20 // (SELECT count(DISTINCT c_mktsegment) FROM customer)) AS f FROM customer) x ORDER BY f DESC, md5('0:' || c_name), c_name LIMIT 20")
 def _(s, d):
     return selection.few_shot(table(s, d, "customer").select(F.col("c_name").alias("name"), F.array("c_mktsegment").alias("categories")), 20).select("name", "categories")
 
@@ -620,7 +648,22 @@ def _(s, d):
     return t.select("n_pairs", *[F.round(c, 6).alias(c) for c in ("mean", "least", "greatest", "deviation")], "n_above")
 
 
-@query("j12_c8_diverse")
+@query("a11_global_check", f"WITH e AS (SELECT * FROM embeddings ORDER BY md5('0:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 200) SELECT 'ok' AS status, (SELECT count(*) FROM embeddings) AS n_rows, (SELECT count(*) FROM e) AS n_sample, count(*) AS n_pairs, round(avg(c), 6) AS mean, round(min(c), 6) AS least, round(max(c), 6) AS greatest, round(stddev_pop(c), 6) AS deviation, count(*) FILTER (c > 0.45) AS n_above FROM (SELECT {COS} AS c FROM e a JOIN e b ON a.vec_id < b.vec_id) x")
+def _(s, d):
+    t = diversity.global_check(vectors(s, d), 0.45)
+    return t.select("status", "n_rows", "n_sample", "n_pairs", *[F.round(c, 6).alias(c) for c in ("mean", "least", "greatest", "deviation")], "n_above")
+
+
+#: One candidate after another, with the vectors of those that stayed.
+DIVERSE = """WITH RECURSIVE pool AS (SELECT CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE vec_id % 5 = 0),
+  c AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS no, CAST(embedding AS DOUBLE[]) AS e, CASE WHEN label IN (SELECT label FROM pool GROUP BY label HAVING count(*) >= 12) THEN 0.35 ELSE 0.45 END AS most FROM embeddings WHERE vec_id % 5 <> 0),
+  k AS (SELECT c.id, c.no, any_value(c.e) AS e, any_value(c.most) AS most, greatest(0, max(list_cosine_similarity(c.e, p.e))) AS near FROM c, pool p GROUP BY c.id, c.no),
+  r AS (SELECT CAST(0 AS BIGINT) AS no, CAST(-1 AS BIGINT) AS id, false AS kept, CAST([] AS DOUBLE[][]) AS stay
+    UNION ALL SELECT no, id, ok, CASE WHEN ok THEN list_append(stay, e) ELSE stay END FROM (SELECT k.no, k.id, k.e, r.stay, k.near <= k.most AND coalesce(list_max([list_cosine_similarity(x, k.e) for x in r.stay]), -1) <= k.most AS ok FROM r JOIN k ON k.no = r.no + 1) n)
+  SELECT id, kept FROM r WHERE no > 0"""
+
+
+@query("j12_c8_diverse", DIVERSE)
 def _(s, d):
     v = vectors(s, d)
     pool = v.where("id % 5 = 0")

@@ -240,3 +240,52 @@ def test_stream_counts_each_file_once(spark, tmp_path):
     write_verdict(root, "r1", 3, "complete")
     rows_ = turn()  # starts again from its checkpoint
     assert rows_.count() == 3 and rows_.where("reward_type = 'complete'").count() == 2
+
+
+def run_frames(spark):
+    calls = [("r1", "s", 1, 1, 0, "call_tool", '{"tool_name": "mcp_tool_set_x", "arguments": "{}"}', '{"ok": 1}', True), ("r1", "s", 2, 1, 0, "call_tool", '{"tool_name": "mcp_tool_set_x", "arguments": "{}"}', "Error: 500 Internal Server Error", False)]
+    calls = spark.createDataFrame(calls, "run string, scenario string, task_id long, iteration long, call_pos int, name string, args string, response string, is_final boolean")
+    verdicts = spark.createDataFrame([("r1", "s", 1, "complete", True), ("r1", "s", 2, "others", True), ("r1", "s", 3, "others", True)], "run string, scenario string, task_id long, reward_type string, readable boolean")
+    return verdicts, calls, spark.createDataFrame([("s", i) for i in range(1, 5)], "scenario string, task_id long")
+
+
+def test_allowlist_job(spark, tmp_path):
+    verdicts, calls_, source = run_frames(spark)
+    flags = jsonkit.payload_flags("response")
+    got = runtime.allowlist_job(verdicts, calls_, flags, source, str(tmp_path / "lenient"))
+    assert {r.task_id: r.decision for r in got["decisions"].collect()} == {1: "keep", 2: "reject", 3: "reject"}
+    assert {(r.task_id, r.decision) for r in got["allowlist"].collect()} == {(1, "keep"), (4, "missing_evidence")}
+    assert got["stats"].collect()[0].asDict() == {"tasks_analyzed": 3, "n_keep": 1, "n_review": 0, "n_reject": 2, "run_task_records": 3}
+    assert {r.task_id: (r.final_seen, r.tool_calls) for r in got["runs"].collect()} == {1: (True, 1), 2: (False, 1), 3: (False, 0)}
+    assert sorted(p.name for p in (tmp_path / "lenient/decisions").iterdir() if p.is_dir()) == ["decision=keep", "decision=reject"]
+    strict = runtime.allowlist_job(verdicts, calls_, flags, source, str(tmp_path / "strict"), expected_runs=1)
+    assert {r.task_id: r.decision for r in strict["decisions"].collect()} == {1: "keep", 2: "reject", 3: "reject"}
+    empty = runtime.allowlist_job(verdicts.where("false"), calls_.where("false"), flags, source, str(tmp_path / "empty"))
+    assert empty["decisions"].count() == 0 and empty["stats"].first().tasks_analyzed == 0 and empty["allowlist"].count() == 4
+
+
+def test_strict_needs_complete_runs(spark):
+    verdicts, calls_, _ = run_frames(spark)
+    known = runtime.classified_calls(calls_, jsonkit.payload_flags("response"))
+    args = runtime.run_rows(verdicts, runtime.run_counters(known)), runtime.error_signatures(known)
+    assert {r.decision for r in runtime.strict_decisions(*args, expected_runs=3).where("task_id <> 1").collect()} == {"review"}
+
+
+def test_global_check_of_few_and_of_a_sample(spark):
+    m = np.random.default_rng(5).normal(size=(30, 4))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<double>")
+    few = diversity.global_check(v.where("id < 9"), 0.5).first()
+    assert (few.status, few.n_rows, few.mean) == ("not_enough_data", 9, None)
+    some = diversity.global_check(v, 0.5, sample=12).first()
+    assert (some.status, some.n_rows, some.n_sample, some.n_pairs) == ("ok", 30, 12, 66)
+
+
+def test_manifest_and_requests_without_rows(spark):
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "scenario string")
+    good = "\n".join(text.SKILL_SECTIONS) + "\nConfidence: high"
+    m = selection.skill_manifest(asked, spark.createDataFrame([("a", good), ("b", " "), ("c", "no")], "scenario string, skill string"), 50)
+    assert {r.scenario: (r.status, r.quality_ok) for r in m.collect()} == {"a": ("done", True), "b": ("skipped", None), "c": ("done", False)}
+    assert tuple(selection.manifest_totals(m).first()) == (3, 2, 1, 1, 1)
+    none = spark.createDataFrame([], "scenario string, task_id long, part string, rank int, trace string")
+    r = selection.distillation_requests(none, spark.createDataFrame([("s", "others")], "scenario string, reward_type string"), spark.createDataFrame([], "scenario string, tool_summary string, db_summary string"), "{scenario}:{tools}:{positives}").first()
+    assert (r.prompt, r.positive_task_ids, r.num_positive_available, r.num_aux_available, r.has_tool_summary) == ("s:(tool summary unavailable):", [], 0, 1, False)
