@@ -1,7 +1,8 @@
-"""Quality of documents by co-training: a view of the words and a view of the page's metadata teach each other."""
+"""Quality of documents by co-training: a view of the words and a view of the page around them teach each other."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +12,19 @@ from pyspark.sql import functions as F
 
 from .common import load, ready
 from .toxicity import held_out
-from .words import SPACE, hash_spans, mix, text_slices, word_places
+from .words import hash_spans, mix, text_slices, word_places
 
 #: Labelled rows (of either label) and unlabelled rows the classifiers are fitted on.
 LABELLED, POOL = 4000, 12_000
 ROUNDS, CONFIDENT, TAKEN = 5, 0.95, 200
 SLICE = 2 << 20
-#: Cells for hashed sources, languages and byte pairs.
-SOURCES, LANGS, PAIRS = 32, 8, 64
+#: Rows looked at together, at most.
+PART = 4000
+#: Cells for hashed sources and languages, and for hashed words.
+SOURCES, LANGS, WORDS = 32, 8, 256
+#: Features of a view, at most, that count with their squares too: the figures, which come first.
+FIGURES = 10
+RIDGE = 10.0
 
 
 def _byte_classes() -> np.ndarray:
@@ -39,7 +45,8 @@ def _per_row(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def text_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Features of the words of each text: how they repeat, how long they are, how they begin and end."""
+    """Features of the words of each text: how they repeat, how long they are, and which they are: roots of the shares
+    of WORDS classes of words by hash. Characters, lines and the record are the other view's."""
     n = len(offsets) - 1
     starts, size, rows = word_places(data, offsets)
     h = hash_spans(data, starts, size)
@@ -59,10 +66,11 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     same = doc[1:] == doc[:-1]
     kinds, top = distinct(h, doc)
     pairs, top2 = distinct(two[same], doc[1:][same]) if len(h) > 1 else (np.zeros(n), np.zeros(n))
-    begin, end = CLASS[data[starts]], CLASS[data[starts + size - 1]] if len(starts) else np.zeros(0, int)
     long = np.minimum(size, 40).astype(float)
-    cols = [kinds / words, top / words, pairs / words, top2 / words, share(again), share(long), np.sqrt(np.maximum(share(long**2) - share(long) ** 2, 0)), share(begin == 1), share(end == 3), share(end == 4), share(end == 1), share(size == 1), np.log1p(np.diff(rows))]
-    return np.stack(cols, 1)
+    cols = [kinds / words, top / words, pairs / words, top2 / words, share(again), share(long), np.sqrt(np.maximum(share(long**2) - share(long) ** 2, 0)), share(size == 1), np.log1p(np.diff(rows))]
+    cell = (mix(h) % np.uint64(WORDS) + doc * np.uint64(WORDS)).astype(np.int64)
+    counts = np.bincount(cell, minlength=n * WORDS).reshape(n, WORDS)
+    return np.concatenate([np.stack(cols, 1), np.sqrt(counts / words[:, None])], 1)
 
 
 def page_view(data: np.ndarray, offsets: np.ndarray, source: list, lang: list) -> np.ndarray:
@@ -75,7 +83,7 @@ def page_view(data: np.ndarray, offsets: np.ndarray, source: list, lang: list) -
     out[:, : len(cols)] = np.stack(cols, 1)
     for values, first, cells in ((source, len(cols), SOURCES), (lang, len(cols) + SOURCES, LANGS)):
         for i, v in enumerate(values):
-            out[i, first + (sum(b * 31**k for k, b in enumerate(str(v).encode())) % cells)] = 1.0
+            out[i, first + (zlib.crc32(str(v).encode()) % cells)] = 1.0
     return out
 
 
@@ -83,8 +91,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
     for batch in batches:
         get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
         for i, j, data, offsets in text_slices(get("_text"), SLICE):
-            for a in range(i, j, 8000):
-                b = min(j, a + 8000)
+            for a in range(i, j, PART):
+                b = min(j, a + PART)
                 part, at = data[offsets[a - i] : offsets[b - i]], offsets[a - i : b - i + 1] - offsets[a - i]
                 source, lang = get("_source").slice(a, b - a).to_pylist(), get("_lang").slice(a, b - a).to_pylist()
                 yield batch.slice(a, b - a), text_view(part, at), page_view(part, at, source, lang)
@@ -92,18 +100,20 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, t, m in _featured(batches):
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=["doc_id", "y", "t", "m"])
+        packed = [pa.array([x.tobytes() for x in v.astype(np.float32)], pa.binary()) for v in (t, m)]
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *packed], names=["doc_id", "y", "t", "m"])
 
 
 class View:
-    """Logistic regression on standardised features, their squares too; fitted by Newton's method with a ridge."""
+    """Logistic regression on standardised features, those of the figures squared too; fitted by Newton's method with a
+    ridge, stronger for the features that are no figures."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         self.mean, self.dev = x.mean(0), x.std(0) + 1e-6
         f = self._wide(x)
-        self.w = np.zeros(f.shape[1])
+        self.w, wide = np.zeros(f.shape[1]), x.shape[1]
         self.scale = (1.0, 0.0)
-        ridge = 0.5 * np.eye(f.shape[1])
+        ridge = np.diag(np.where((np.arange(f.shape[1]) > FIGURES) & (np.arange(f.shape[1]) <= wide), RIDGE, 0.5))
         for _ in range(25):
             q = 1 / (1 + np.exp(-f @ self.w))
             step = np.linalg.solve((f * (weight * q * (1 - q))[:, None]).T @ f + ridge, f.T @ (weight * (q - y)) + ridge @ self.w)
@@ -113,7 +123,7 @@ class View:
 
     def _wide(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.dev, -6, 6)
-        return np.concatenate([np.ones((len(x), 1)), z, z * z / 6], 1)
+        return np.concatenate([np.ones((len(x), 1)), z, z[:, :FIGURES] ** 2 / 6], 1)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self._wide(x) @ self.w, -30, 30)
@@ -197,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column) -> tup
     found = [found[k] for k in sorted(found)]
     if not found:
         return None
-    t, m = (np.stack([np.frombuffer(r[c], np.float64) for r in found]) for c in ("t", "m"))
+    t, m = (np.stack([np.frombuffer(r[c], np.float32).astype(np.float64) for r in found]) for c in ("t", "m"))
     return cotrain(t, m, np.array([r["y"] for r in found]))
 
 

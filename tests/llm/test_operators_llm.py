@@ -615,6 +615,46 @@ def test_quality_cotraining():
     assert quality.cotrain(t, m, np.full(1500, -1)) is None
 
 
+def plain_text_view(text):
+    """The text view of one text, word by word."""
+    w = text.encode().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)).split(b" ")
+    w = [x for x in w if x]
+    n, one, two = max(len(w), 1), Counter(w), Counter(zip(w, w[1:]))
+    long = [min(len(x), 40) for x in w]
+    mean = sum(long) / n
+    deviation = max(sum(x * x for x in long) / n - mean**2, 0) ** 0.5
+    out = [len(one) / n, max(one.values(), default=0) / n, len(two) / n, max(two.values(), default=0) / n, sum(x == y for x, y in zip(w, w[1:])) / n, mean, deviation, sum(len(x) == 1 for x in w) / n, np.log1p(len(w))]
+    cells = [0] * quality.WORDS
+    for x in w:
+        h = quality.hash_spans(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))
+        cells[int(quality.mix(h)[0] % np.uint64(quality.WORDS))] += 1
+    return [*out, *((c / n) ** 0.5 for c in cells)]
+
+
+def test_quality_of_whole_texts_equals_plain_scores(spark):
+    r = random.Random(8)
+    good, bad = [f"w{i}" for i in range(60)], ["x", "***", "zz", "###"]
+    texts = [" ".join(r.choices(bad if i % 4 == 0 else good, k=r.randrange(1, 90))) + ("\n|" * 9 if i % 4 == 0 else "") for i in range(240)]
+    texts += ["", None, "a\u00a0b  c\td", " ".join(r.choices(good, k=300_000)), "y" * 3_000_000]
+    docs = frame(spark, [(i, t, "en", f"s{i % 5}", 0) for i, t in enumerate(texts)]).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(240) if i % 3], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels, "quality", F.col("doc_id") >= 0)
+    assert model is not None
+    known = {x.doc_id: x for x in quality.quality(docs, model).collect()}
+    assert len(known) == len(texts)
+    for i, t in enumerate(texts):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        at = np.array([0, len(data)])
+        plain = np.array([plain_text_view(t or "")])
+        assert np.allclose(quality.text_view(data, at), plain)
+        p, q = model[0].chance(plain)[0], model[1].chance(quality.page_view(data, at, [f"s{i % 5}"], ["en"]))[0]
+        logit = lambda x: np.log(max(x, 1e-9) / max(1 - x, 1e-9))
+        want = 1 / (1 + np.exp(-(logit(p) + logit(q)) / 2))
+        assert abs(known[i].text_score - p) < 1e-6 and abs(known[i].page_score - q) < 1e-6 and abs(known[i].score - want) < 1e-6
+    right = [(known[i].score >= 0.5) == (i % 4 != 0) for i in range(240) if i % 3 == 0]
+    assert sum(right) >= 0.95 * len(right)
+
+
 def test_quality_edges(spark):
     docs = [(1, None, None, None, 0), (1, None, None, None, 0), (2, "", "en", "a", 0), (None, "x y " * 30_000, "en", "a", 0)]
     got = quality.quality(frame(spark, docs).withColumn("score", F.lit("clash")), None).collect()
