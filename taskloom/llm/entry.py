@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lattice, licenses, lines, merkle, minhash, mixing, oracles, packing, quality, sharding, substrings, toxicity
+from . import fingerprints, lattice, licenses, lines, merkle, minhash, mixing, negatives, oracles, packing, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "op10_quality_cotraining": quality.op10_quality_cotraining,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
         "op12_line_dedup": lines.op12_line_dedup,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
@@ -28,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_minhash_near_dedup": oracles.NEAR,
         "op5_license_scan": licenses.oracle(),
         "op6_lattice_near_dedup": oracles.VECTORS,
+        "op11_hard_negatives": negatives.ORACLE,
         "op12_line_dedup": lines.ORACLE,
         "op13_merkle_manifest": merkle.ORACLE,
     }
