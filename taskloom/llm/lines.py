@@ -56,10 +56,10 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
     return new
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa.RecordBatch]:
+def _streamed(batches: Iterator[pa.RecordBatch], least_docs: int, held_rows: int) -> Iterator[pa.RecordBatch]:
     """Rows of one range, sorted by key and document (the greatest first) -> what goes of them (kind 0).
 
-    Keys that may go on in the range before or after, and those of more than HELD rows, stay open: their rows come out
+    Keys that may go on in the range before or after, and those of more than held_rows rows, stay open: their rows come out
     as they are (kind 2), with their number of documents, the first and the last of them (kind 1).
     """
     part, seq, held, rows, first, over = TaskContext.get().partitionId(), 0, [], 0, True, None
@@ -90,7 +90,7 @@ def _streamed(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa
     for batch in batches:
         held.append(batch)
         rows += len(batch)
-        if rows < HELD:
+        if rows < held_rows:
             continue
         t = pa.Table.from_batches(held)
         begin = np.flatnonzero(_starts(t.column("h1").to_numpy(), t.column("h2").to_numpy()))
@@ -144,7 +144,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(doc.alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.col(text).alias("text"))
 
 
-def line_bitmaps(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_bitmaps(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, key: str = "doc_id", text: str = "text", held_rows: int = HELD) -> DataFrame:
     """(doc, mark, n_dropped, keep) of each document that loses lines: `keep` is the bitmap of its lines, as runs.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Lines of a key of at least
@@ -163,7 +163,7 @@ def line_bitmaps(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, ke
     # The number of the row ends the order, so that rows with one key and one document are spread too.
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("mark"), F.col("row")]
     laid = keys.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop("row")
-    out = saved(laid.mapInArrow(lambda it: _streamed(it, least_docs), _STREAMED))
+    out = saved(laid.mapInArrow(lambda it: _streamed(it, least_docs, held_rows), _STREAMED))
     piece = Window.partitionBy("h1", "h2").orderBy("part", "seq")
     # A document at the end of one piece and the beginning of the next is one; pieces of a key are as few as ranges.
     counts = out.where("kind = 1").withColumn("again", (F.lag("last").over(piece) == F.col("doc")).cast("int"))
@@ -188,14 +188,14 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n_dropped"), pa.array(n_lines, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_dropped", "n_lines", "kept"])
 
 
-def dedup_lines(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, key: str = "doc_id", text: str = "text", held_rows: int = HELD) -> DataFrame:
     """(key, n_lines, n_dropped, kept) of every row: its kept lines joined by a line break; see line_bitmaps().
 
     A null or empty text is one empty line; a text that loses all its lines is empty. Keys are cast to long and come back
     null where they were. Other columns are not read. No rows give no rows.
     """
     rows = _rows(docs, key, text)
-    bitmaps = saved(line_bitmaps(docs, least_docs, least_chars, key, text))
+    bitmaps = saved(line_bitmaps(docs, least_docs, least_chars, key, text, held_rows))
     met = rows.join(bitmaps, ["doc", "mark"], "left").select("doc", "text", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "keep")
     out = met.mapInArrow(_joined, "doc long, n_dropped long, n_lines long, kept string")
     return out.select(F.when(F.col("doc") != NO_DOC, F.col("doc")).alias(key), "n_lines", "n_dropped", "kept")

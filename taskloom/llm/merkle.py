@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from hashlib import sha256
 
@@ -13,7 +14,6 @@ from .common import load, ranked, ready, saved
 
 #: Nodes of a run, which have one parent; levels of a block, so a block has RUN ** DEEP nodes at its lowest level.
 RUN, DEEP = 8, 4
-BLOCK = RUN**DEEP
 #: So many groups are joined by a broadcast; if there are more, by a shuffle.
 MOST_SMALL = 100_000
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -30,9 +30,9 @@ class Block:
     """The nodes of one aligned block, level by level. They are never changed: a version of a leaf shares them all but
     the ancestors it copies. full: the tree goes on above the block, so the block has all its levels."""
 
-    def __init__(self, leaves: list[str], full: bool) -> None:
+    def __init__(self, leaves: list[str], full: bool, deep: int = DEEP) -> None:
         self.levels = [leaves]
-        while len(self.levels) <= DEEP if full else len(self.levels[-1]) > 1:
+        while len(self.levels) <= deep if full else len(self.levels[-1]) > 1:
             below = self.levels[-1]
             self.levels.append([node("".join(below[i : i + RUN])) for i in range(0, len(below), RUN)])
 
@@ -58,31 +58,31 @@ def version(leaf: str, siblings: list[str]) -> list[str]:
     return out
 
 
-def _block(t: pa.Table) -> tuple[pa.Table, Block]:
+def _block(t: pa.Table, deep: int) -> tuple[pa.Table, Block]:
     """The rows of one block in order, and its nodes."""
     t = t.sort_by("idx")
-    full = t.column("size")[0].as_py() > BLOCK
-    return t, Block([x.hex() for x in t.column("digest").to_pylist()], full)
+    full = t.column("size")[0].as_py() > RUN**deep
+    return t, Block([x.hex() for x in t.column("digest").to_pylist()], full, deep)
 
 
-def _top(t: pa.Table) -> pa.Table:
-    t, block = _block(t)
-    n = -(-t.column("size")[0].as_py() // BLOCK)
-    return pa.table({"tree": t.column("tree")[:1], "idx": pa.array([t.column("idx")[0].as_py() // BLOCK]), "size": pa.array([n]), "digest": pa.array([bytes.fromhex(block.top)])})
+def _top(t: pa.Table, deep: int) -> pa.Table:
+    t, block = _block(t, deep)
+    n = -(-t.column("size")[0].as_py() // RUN**deep)
+    return pa.table({"tree": t.column("tree")[:1], "idx": pa.array([t.column("idx")[0].as_py() // RUN**deep]), "size": pa.array([n]), "digest": pa.array([bytes.fromhex(block.top)])})
 
 
-def _down(t: pa.Table, above: pa.Table) -> pa.Table:
+def _down(t: pa.Table, above: pa.Table, deep: int) -> pa.Table:
     """Paths of the nodes of a block: their siblings in it, then those of the block."""
-    t, block = _block(t)
+    t, block = _block(t, deep)
     path, rows = above.column("path")[0].as_py(), len(t)
     paths = pa.array([block.siblings(i) + path for i in range(rows)], pa.list_(pa.string()))
     same = lambda c: pa.array([above.column(c)[0].as_py()] * rows, pa.string())
     return pa.table({"tree": t.column("tree"), "idx": t.column("idx"), "path": paths, "subroot": same("subroot"), "root": same("root")})
 
 
-def _proved(t: pa.Table, above: pa.Table) -> pa.Table:
+def _proved(t: pa.Table, above: pa.Table, deep: int) -> pa.Table:
     """Rows of leaves with their siblings up to the root, and the version that each given leaf makes."""
-    t, block = _block(t)
+    t, block = _block(t, deep)
     path, leaves = above.column("path")[0].as_py(), block.levels[0]
     given = [own if x is None else x.hex() for own, x in zip(leaves, t.column("given").to_pylist())]
     siblings = [block.siblings(i) + path for i in range(len(t))]
@@ -91,8 +91,8 @@ def _proved(t: pa.Table, above: pa.Table) -> pa.Table:
     return pa.table({"key": t.column("key"), "leaf": pa.array(leaves, pa.string()), "subroot": same("subroot"), "root": same("root"), "siblings": pa.array(siblings, pa.list_(pa.string())), "version": made})
 
 
-def _listed(t: pa.Table) -> pa.Table:
-    t, block = _block(t)
+def _listed(t: pa.Table, deep: int) -> pa.Table:
+    t, block = _block(t, deep)
     first, tree = t.column("idx")[0].as_py(), t.column("tree")[0].as_py()
     parts = [(tree, lv, first // RUN**lv + i, d) for lv, nodes in enumerate(block.levels) for i, d in enumerate(nodes)]
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string())
@@ -109,18 +109,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _blocks(layer: DataFrame) -> DataFrame:
-    return layer.withColumn("block", F.expr(f"idx div {BLOCK}"))
+def _blocks(layer: DataFrame, deep: int) -> DataFrame:
+    return layer.withColumn("block", F.expr(f"idx div {RUN**deep}"))
 
 
-def _summit(layer: DataFrame, size: int) -> list[DataFrame]:
+def _summit(layer: DataFrame, size: int, deep: int) -> list[DataFrame]:
     """The layer of nodes (tree, idx, size, digest) and the layers above it, each of the tops of blocks, until every tree
     is one node; size: nodes of the largest tree."""
     layers = [layer]
     while size > 1:
-        up = _blocks(layers[-1].select("tree", "idx", "size", "digest")).groupBy("tree", "block").applyInArrow(_top, "tree long, idx long, size long, digest binary")
+        rows = _blocks(layers[-1].select("tree", "idx", "size", "digest"), deep)
+        up = rows.groupBy("tree", "block").applyInArrow(lambda t: _top(t, deep), "tree long, idx long, size long, digest binary")
         layers.append(saved(up))
-        size = -(-size // BLOCK)
+        size = -(-size // RUN**deep)
     return layers
 
 
@@ -134,11 +135,11 @@ class Manifest:
     layers. No rows give no leaves and no root. Keys are cast to long.
     """
 
-    def __init__(self, docs: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "doc_id", group: str = "lang", changed: dict[str, Column] | None = None, when: Column | None = None) -> None:
+    def __init__(self, docs: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "doc_id", group: str = "lang", changed: dict[str, Column] | None = None, when: Column | None = None, deep: int = DEEP) -> None:
         """changed, when: columns and the rows in which they are tampered with; those leaves are only versions."""
         spark = docs.sparkSession
         ready(spark)
-        self.key = key
+        self.key, self.deep = key, deep
         own = leaf_digest(*map(F.col, columns))
         given = F.when(F.coalesce(when, F.lit(False)), leaf_digest(*[(changed or {}).get(c, F.col(c)) for c in columns])) if when is not None else F.lit(None).cast("string")
         narrow = saved(docs.select(F.col(group).cast("string").alias("group"), F.col(key).cast("long").alias("key"), F.unhex(own).alias("digest"), F.unhex(given).alias("given")))
@@ -152,20 +153,20 @@ class Manifest:
             known = F.broadcast(known)
         rows = placed.join(known, F.col("group").eqNullSafe(F.col("_group")))
         leaves = rows.select("tree", (F.col("rank") - F.col("first")).alias("idx"), "size", "digest", "given", "key")
-        self.layers = _summit(leaves, largest or 0)
+        self.layers = _summit(leaves, largest or 0, deep)
         tops = self.layers[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(n).cast("long").alias("size"), "digest")
-        self.upper = _summit(tops, n)
+        self.upper = _summit(tops, n, deep)
 
     def nodes(self) -> DataFrame:
         """(upper, group, level, idx, digest) of every node. upper: false in the trees of groups, whose level 0 has the
         leaves and whose last level the subroot; true in the tree of the subroots (group null), whose last has the root."""
-        parts = []
+        parts, deep = [], self.deep
         for upper, layers in ((False, self.layers), (True, self.upper)):
             for depth, layer in enumerate(layers):
                 # A tree that ends below this layer is one node here, which has been listed.
-                rows = _blocks(layer.select("tree", "idx", "size", "digest").where(F.lit(depth == 0) | (F.col("size") > 1)))
-                rows = rows.groupBy("tree", "block").applyInArrow(_listed, "tree long, level int, idx long, digest string")
-                parts.append(rows.select(F.lit(upper).alias("upper"), "tree", (F.col("level") + depth * DEEP).alias("level"), "idx", "digest"))
+                rows = _blocks(layer.select("tree", "idx", "size", "digest").where(F.lit(depth == 0) | (F.col("size") > 1)), deep)
+                rows = rows.groupBy("tree", "block").applyInArrow(lambda t: _listed(t, deep), "tree long, level int, idx long, digest string")
+                parts.append(rows.select(F.lit(upper).alias("upper"), "tree", (F.col("level") + depth * deep).alias("level"), "idx", "digest"))
         # The top of a block that goes on is listed in both layers.
         nodes = reduce(DataFrame.unionByName, parts).distinct()
         named = nodes.join(self.groups.select("tree", "group"), "tree", "left")
@@ -176,7 +177,12 @@ class Manifest:
         root, two texts a level (left of it and right of it in its run); version: the tampered leaf, or else the leaf,
         and the ancestors copied for it up to its own root. Blocks below share the siblings of the blocks above."""
         paths = self.upper[-1].select("tree", "idx", F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("subroot"), F.lower(F.hex("digest")).alias("root"))
-        by = lambda layer, above, f, schema: _blocks(layer).groupBy("tree", "block").cogroup(above.withColumnRenamed("idx", "block").groupBy("tree", "block")).applyInArrow(f, schema)
+        deep = self.deep
+
+        def by(layer: DataFrame, above: DataFrame, f: Callable, schema: str) -> DataFrame:
+            both = _blocks(layer, deep).groupBy("tree", "block").cogroup(above.withColumnRenamed("idx", "block").groupBy("tree", "block"))
+            return both.applyInArrow(lambda t, a: f(t, a, deep), schema)
+
         for layer in self.upper[-2::-1]:
             paths = saved(by(layer, paths, _down, _PATH))
         tops = self.layers[-1].select("tree", F.lower(F.hex("digest")).alias("subroot"))
@@ -187,15 +193,19 @@ class Manifest:
         return by(self.layers[0], paths, _proved, schema).withColumnRenamed("key", self.key)
 
 
-def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select(*COLUMNS)
+def tampered_manifest(docs: DataFrame, deep: int = DEEP) -> DataFrame:
+    """Proofs of documents as digests, and what a tampered text (A-Z lower-cased) of a third of them does to the root."""
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
-    found = Manifest(docs, changed={"text": lower_ascii(F.col("text"))}, when=chosen).proofs()
+    found = Manifest(docs, changed={"text": lower_ascii(F.col("text"))}, when=chosen, deep=deep).proofs()
     folded = F.element_at("version", -1)
     proof = F.sha2(F.array_join("siblings", "").cast("binary"), 256)
     return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(load(spark, sf_dir, "documents").select(*COLUMNS))
+
+
 #: The same result in DuckDB SQL, which has no crc32: it is computed bit by bit.
 _H = lambda text: " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END" for c in (*COLUMNS[:4], text))
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -80,8 +80,8 @@ class Block:
         return cls(get("rows"), get("ids"), get("labels"), get("ints", np.int32).reshape(n, wide), get("means", np.float64).reshape(n, -1), get("spreads", np.float64).reshape(n, -1), positives)
 
 
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, id, label, dim, v, positives), sorted by dim -> blocks of up to BLOCK rows of one dim."""
+def _blocked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(row, id, label, dim, v, positives), sorted by dim -> blocks of up to `most` rows of one dim."""
 
     def block(rows: list[tuple]) -> list:
         row, ids, labels, dims, v, positives = zip(*rows)
@@ -98,7 +98,7 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if len(held) == BLOCK or (held and held[0][3] != r[3]):
+            if len(held) == most or (held and held[0][3] != r[3]):
                 yield made([block(held)])
                 held = []
             held.append(r)
@@ -202,10 +202,10 @@ def _scan(anchors: pa.Table, vectors: pa.Table, most: int, share: tuple[int, int
     return pa.table(dict(zip(("anchor", "part", "row", "id", "score"), cols)))
 
 
-def _met(anchors: DataFrame, vectors: DataFrame, most: int, share: tuple[int, int, int] | None) -> DataFrame:
-    """All anchors against all vectors: each task takes GROUP blocks of anchors and SLICE blocks of vectors, a block being
+def _met(anchors: DataFrame, vectors: DataFrame, most: int, share: tuple[int, int, int] | None, slice_blocks: int) -> DataFrame:
+    """All anchors against all vectors: each task takes about GROUP blocks of anchors and `slice_blocks` of vectors, a block being
     one row; then the best of all tasks, for each anchor and part."""
-    groups, slices = -(-anchors.count() // GROUP), -(-vectors.count() // SLICE)
+    groups, slices = -(-anchors.count() // GROUP), -(-vectors.count() // slice_blocks)
     at = lambda n: F.pmod(F.xxhash64("ids", "rows"), F.lit(max(n, 1))).cast("int")
     over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
     a = anchors.withColumn("g", at(groups)).withColumn("s", over(slices))
@@ -217,16 +217,16 @@ def _met(anchors: DataFrame, vectors: DataFrame, most: int, share: tuple[int, in
     return saved(found.withColumn("rank", place).where(F.col("rank") <= most))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
     n = rows.count()
-    spread = max(1, min(partitions(rows.sparkSession), -(-n // BLOCK)))
+    spread = max(1, min(partitions(rows.sparkSession), -(-n // block)))
     laid = rows.repartitionByRange(spread, "dim", "label", "row").sortWithinPartitions("dim", "label", "row")
-    return saved(laid.select("row", "id", "label", "dim", "v", "positives").mapInArrow(_blocked, _BLOCKS))
+    return saved(laid.select("row", "id", "label", "dim", "v", "positives").mapInArrow(lambda it: _blocked(it, block), _BLOCKS))
 
 
 def hard_negatives(
     vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int = 3, share: tuple[int, int, int] = (50, 95, 100), scale: int = 256,
-    key: str = "vec_id", vector: str = "embedding", label: str = "label",
+    key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK, slice_blocks: int = SLICE,
 ) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for the rows where `anchors` is true.
 
@@ -247,14 +247,14 @@ def hard_negatives(
     copy = F.row_number().over(Window.partitionBy("label", "v").orderBy("id", "row"))
     most = max(positives + 1, negatives)
     none = F.lit(None).cast("binary").alias("positives")
-    pool = _dealt(rows.withColumn("_copy", copy).where(F.col("_copy") <= most).select("row", "id", "label", "dim", "v", none))
+    pool = _dealt(rows.withColumn("_copy", copy).where(F.col("_copy") <= most).select("row", "id", "label", "dim", "v", none), block)
     asked = saved(rows.where(F.coalesce(anchors, F.lit(False))))
-    best = _met(_dealt(asked.select("*", none)), pool, positives, None).select(F.col("anchor").alias("row"), F.col("rank").alias("part"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
+    best = _met(_dealt(asked.select("*", none), block), pool, positives, None, slice_blocks).select(F.col("anchor").alias("row"), F.col("rank").alias("part"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     known = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("part", "positive_score"))).alias("p"))
     scores = F.transform("p", lambda x: x["positive_score"])
     padded = saved(asked.join(known, "row").select("row", "id", "label", "dim", "v", scores.alias("p")))
     with_scores = padded.mapInArrow(lambda it: _padded(it, positives), "row long, id long, label long, dim int, v binary, positives binary")
-    found = _met(_dealt(with_scores), pool, negatives, share)
+    found = _met(_dealt(with_scores, block), pool, negatives, share, slice_blocks)
     out = found.select(F.col("anchor").alias("row"), (F.col("part") + 1).alias("part"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(best, ["row", "part"])
     return out.join(asked.select("row", F.col("id").alias("anchor_id")), "row").select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 
