@@ -1,99 +1,298 @@
-"""Similarity of embeddings by blocks, and the order-dependent choice of diverse scenarios."""
+"""Similarity of embeddings by blocks that pivots tell apart, and the order-dependent choice of diverse scenarios.
+
+A vector has an angle to each of a few pivots; angles obey the triangle inequality. Blocks hold vectors of one home (the
+nearest pivot) and ring (the angle to it) and know the least and the greatest angle of their vectors to every pivot; so
+the angle between vectors of two blocks is bounded without looking at them, and pairs of blocks that can't matter are not
+compared. A block is one row, and a task compares some blocks with some others, whatever the number of vectors.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship
+from ..sources.tables import written
+
+#: Rows of a block; pivots.
+BLOCK, PIVOTS = 500, 16
+#: Blocks that meet in one task on either side: fewer where pairs come out, all of which a task holds.
+WIDE, NARROW = 32, 4
+#: Angles are compared with this much room for rounding.
+ROOM = 1e-7
 
-#: About so many rows has a block of vectors.
-BLOCK = 500
+_BLOCKS = "super long, n int, ids binary, units binary, lo array<double>, hi array<double>"
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, np.float64) for v in col])
+def _unit(vectors: list) -> np.ndarray:
+    m = np.array(vectors, np.float64).reshape(len(vectors), -1)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)  # a zero vector is like nothing
 
 
-def _grid(left: DataFrame, right: DataFrame, grid: int | None, upper: bool) -> DataFrame:
-    """Both sides dealt over the cells of a grid x grid square; each cell holds one block of either side. grid: by the
-    rows of the larger side, where it is not given."""
-    if grid is None:
-        rows = left.count() if left is right else max(left.count(), right.count())
-        grid = max(1, -(-rows // BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(grid)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    a = left.select("id", "embedding", block.alias("x"), others.alias("y"), F.lit(0).alias("side"))
-    b = right.select("id", "embedding", block.alias("y"), others.alias("x"), F.lit(1).alias("side"))
-    both = a.unionByName(b)
-    return both.where("x <= y") if upper else both
+def _angles(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(u @ pivots.T, -1, 1))
+
+
+def _placed(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, embedding) -> (id, unit, home, ring) of the vectors that have a direction."""
+    for batch in batches:
+        u = _unit(batch.column(1).to_pylist())
+        real = u.any(1)
+        u, angles = u[real], _angles(u[real], pivots)
+        home = angles.argmin(1) if len(u) else np.zeros(0, int)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(real)), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(home.astype(np.int32)), pa.array(angles[np.arange(len(u)), home])], names=["id", "unit", "home", "ring"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, per_super: int) -> Iterator[pa.RecordBatch]:
+    """(id, unit, home), sorted by home and ring -> blocks; one of some rows ends with its home."""
+    made = 0
+
+    def block(ids: list, units: list) -> pa.RecordBatch:
+        nonlocal made
+        u = np.frombuffer(b"".join(units), np.float64).reshape(len(ids), -1)
+        angles = _angles(u, pivots)
+        key = (TaskContext.get().partitionId() << 32) + made // per_super
+        made += 1
+        row = [[key], [len(ids)], [np.array(ids, np.int64).tobytes()], [u.tobytes()], [angles.min(0).tolist()], [angles.max(0).tolist()]]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
+
+    ids, units, last = [], [], None
+    for batch in batches:
+        for i, u, home in zip(*(c.to_pylist() for c in batch.columns)):
+            if len(ids) >= (BLOCK if home == last else BLOCK // 8):
+                yield block(ids, units)
+                ids, units = [], []
+            ids.append(i)
+            units.append(u)
+            last = home
+    if ids:
+        yield block(ids, units)
+
+
+def _pivots(vectors: DataFrame) -> np.ndarray:
+    """A few vectors by a hash of their ids; any will do for right results."""
+    some = vectors.select("embedding").orderBy(F.xxhash64("id"), "id").limit(4 * PIVOTS).collect()
+    u = _unit([r[0] for r in some]) if some else np.zeros((0, 1))
+    u = u[u.any(1)][:PIVOTS]
+    return u if len(u) else np.eye(1, u.shape[1])
+
+
+def blocks(vectors: DataFrame, pivots: np.ndarray, per_super: int, save: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """Blocks of the vectors (id, embedding) that have a direction; `super` names those that meet in one task."""
+    placed = vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(lambda it: _placed(it, pivots), "id long, unit binary, home int, ring double")
+    n = max(1, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // (BLOCK * per_super))))
+    laid = placed.repartitionByRange(n, "home", "ring", "id").sortWithinPartitions("home", "ring", "id").select("id", "unit", "home")
+    return save(laid.mapInArrow(lambda it: _packed(it, pivots, per_super), _BLOCKS))
+
+
+@dataclass
+class Block:
+    no: int
+    ids: np.ndarray
+    units: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+    def nearest_angle(self, other: Block) -> float:
+        """No vectors of the two are closer."""
+        return float(np.maximum(self.lo - other.hi, other.lo - self.hi).max())
+
+    def farthest_angle(self, other: Block) -> float:
+        """No vectors of the two are farther apart."""
+        return float(np.minimum(self.hi + other.hi, 2 * np.pi - self.lo - other.lo).min())
+
+
+def _read(t: pa.Table) -> list[Block]:
+    cols = [t.column(c).to_pylist() for c in ("n", "ids", "units", "lo", "hi")]
+    out = [Block(0, np.frombuffer(i, np.int64), np.frombuffer(u, np.float64).reshape(n, -1), np.array(lo), np.array(hi)) for n, i, u, lo, hi in zip(*cols)]
+    out.sort(key=lambda b: int(b.ids[0]))
+    for k, b in enumerate(out):
+        b.no = k
+    return out
 
 
-def nearest(candidates: DataFrame, pool: DataFrame, grid: int | None = None) -> DataFrame:
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed in one order: equal vectors have equal cosines wherever they meet."""
+    return (a * b).sum(1)
+
+
+def meetings(left: DataFrame, right: DataFrame, pivots: np.ndarray, within: float | None, upper: bool) -> DataFrame:
+    """(x, y) of the supers whose vectors may be within an angle (none: all), from the bounds of the supers alone."""
+
+    def bounds(df: DataFrame, at: str) -> DataFrame:
+        each = lambda f, c: F.array(*[f(F.get(c, F.lit(i))) for i in range(len(pivots))])
+        t = df.groupBy(F.col("super").alias(at)).agg(each(F.min, "lo").alias(f"lo_{at}"), each(F.max, "hi").alias(f"hi_{at}"))
+        return t.withColumn(f"no_{at}", F.row_number().over(Window.orderBy(at)))  # one row for thousands of vectors
+
+    a, b = bounds(left, "x"), bounds(right, "y")
+    many = b.agg(F.count("*").alias("many"))
+    pairs = a.join(many).where("many > 0").withColumn("no_y", F.explode(F.expr("sequence(1, cast(many as int))"))).join(b, "no_y")  # many: one row
+    if upper:
+        pairs = pairs.where("x <= y")
+    if within is not None:
+        apart = lambda p, q: F.exists(F.zip_with(p, q, lambda u, v: u - v), lambda d: d > within + ROOM)
+        pairs = pairs.where(~apart("lo_x", "hi_y") & ~apart("lo_y", "hi_x"))
+    return pairs.select("x", "y")
+
+
+def _together(left: DataFrame, right: DataFrame, pairs: DataFrame, f: Callable, schema: str) -> DataFrame:
+    a = pairs.join(left.withColumnRenamed("super", "x"), "x")
+    b = pairs.select(F.col("x").alias("with"), F.col("y").alias("super")).join(right, "super")
+    return a.groupBy("x", "y").cogroup(b.groupBy("with", "super")).applyInArrow(f, schema)
+
+
+def nearest(candidates: DataFrame, pool: DataFrame, own: bool = True, save: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """(id, similarity, neighbour) of each candidate: the greatest cosine to the pool and its first holder by id; 0.0
-    and -1 for an empty pool or a zero vector. Both are (id, embedding)."""
+    and -1 for an empty pool, a zero vector or no cosine above 0. Both are (id, embedding). own: whether a row of the pool
+    with the candidate's id counts.
+
+    A task takes its blocks of the pool by their least possible angle and stops where none can be nearer than the
+    neighbours it has.
+    """
     ship(candidates.sparkSession)
+    pivots = _pivots(pool)
+    a, b = blocks(candidates, pivots, WIDE, save), blocks(pool, pivots, WIDE, save)
+    found = "id long, sim double, other long"
 
-    def best(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g[g["side"] == 0], g[g["side"] == 1].sort_values("id")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64"), "other": pd.Series(dtype="int64")})
-        s = _matrix(a["embedding"]) @ _matrix(b["embedding"]).T
-        at = s.argmax(1)
-        return pd.DataFrame({"id": a["id"].to_numpy(), "sim": s[np.arange(len(a)), at], "other": b["id"].to_numpy()[at]})
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]]
+        others = _read(y)
+        for p in _read(x):
+            sim, other = np.zeros(len(p.ids)), np.full(len(p.ids), -1)
+            for gap, q in sorted(((p.nearest_angle(q), q) for q in others), key=lambda g: g[0]):
+                if gap > np.arccos(np.clip(sim.min(), -1, 1)) + ROOM:
+                    break
+                s = p.units @ q.units.T
+                if not own:
+                    s[p.ids[:, None] == q.ids[None]] = -1
+                i, j = np.nonzero(s >= np.maximum(s.max(1), sim)[:, None] - 1e-9)  # near ties are settled exactly
+                c, o = _cosine(p.units[i], q.units[j]), q.ids[j]
+                ok = np.ones(len(i), bool) if own else p.ids[i] != o
+                i, c, o = (np.concatenate(z) for z in ((np.arange(len(sim)), i[ok]), (sim, c[ok]), (other, o[ok])))
+                first = np.lexsort((np.where(o < 0, np.iinfo(np.int64).max, o), -c, i))
+                keep = first[np.append(True, i[first][1:] != i[first][:-1])]
+                sim, other = c[keep], o[keep]
+            real = other >= 0
+            for k, z in enumerate((p.ids[real], sim[real], other[real])):
+                out[k].append(z)
+        return pa.table({c: np.concatenate(z) for c, z in zip(("id", "sim", "other"), out)})
 
-    found = _grid(candidates, pool, grid, False).groupBy("x", "y").applyInPandas(best, "id long, sim double, other long")
-    top = found.groupBy("id").agg(F.max_by(F.struct("sim", "other"), F.struct("sim", -F.col("other"))).alias("t"))
+    met = _together(a, b, meetings(a, b, pivots, np.pi / 2, False), best, found)
+    top = met.groupBy("id").agg(F.max_by(F.struct("sim", "other"), F.struct("sim", -F.col("other"))).alias("t"))
     known = candidates.select("id").join(top, "id", "left")
     real = F.coalesce(F.col("t.sim") > 0, F.lit(False))
     return known.select("id", F.when(real, F.col("t.sim")).otherwise(0.0).alias("similarity"), F.when(real, F.col("t.other")).otherwise(-1).alias("neighbour"))
 
 
-def similar_pairs(vectors: DataFrame, above: float, grid: int | None = None) -> DataFrame:
-    """(a, b, similarity) with a < b and a cosine above the threshold. vectors: (id, embedding)."""
+def similar_pairs(vectors: DataFrame, above: float, save: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """(a, b, similarity) with a < b and a cosine above the threshold. vectors: (id, embedding), one row an id.
+
+    Blocks, and whole tasks, whose vectors are farther apart than the threshold's angle are not compared.
+    """
     ship(vectors.sparkSession)
+    if above < 0:
+        raise ValueError("below 0 every vector without a direction would be like all others")
+    within = float(np.arccos(np.clip(above, -1, 1)))
+    pivots = _pivots(vectors)
+    b = blocks(vectors, pivots, NARROW, save)
+
+    def pairs(x: pa.Table, y: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        same = x.column("x")[0] == x.column("y")[0]
+        others = _read(y)
+        for p in _read(x):
+            for q in others:
+                if (same and q.no < p.no) or p.nearest_angle(q) > within + ROOM:
+                    continue
+                i, j = np.nonzero(p.units @ q.units.T > above - 1e-9)
+                if same and p.no == q.no:
+                    i, j = i[i < j], j[i < j]
+                c = _cosine(p.units[i], q.units[j])
+                i, j, c = i[c > above], j[c > above], c[c > above]
+                u, v = p.ids[i], q.ids[j]
+                for k, z in enumerate((np.minimum(u, v), np.maximum(u, v), c)):
+                    out[k].append(z)
+        return pa.table({c: np.concatenate(z) for c, z in zip(("a", "b", "similarity"), out)})
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g[g["side"] == 0], g[g["side"] == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        s = _matrix(a["embedding"]) @ _matrix(b["embedding"]).T
-        i, j = np.nonzero(s > above)
-        p, q, v = a["id"].to_numpy()[i], b["id"].to_numpy()[j], s[i, j]
-        if g["x"].iloc[0] == g["y"].iloc[0]:
-            keep = p < q
-            p, q, v = p[keep], q[keep], v[keep]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "similarity": v})
+    return _together(b, b, meetings(b, b, pivots, within, True), pairs, "a long, b long, similarity double")
 
-    return _grid(vectors, vectors, grid, True).groupBy("x", "y").applyInPandas(pairs, "a long, b long, similarity double")
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, embedding) -> partial sums over the unit vectors: rows of their Gram matrix (k >= 0), and, as k = -1, their
+    own sum with the numbers of vectors and of those that have a direction."""
+    n = real = 0
+    gram, total = None, None
+    for batch in batches:
+        u = _unit(batch.column(1).to_pylist())
+        n, real = n + len(u), real + int(u.any(1).sum())
+        gram = u.T @ u if gram is None else gram + u.T @ u
+        total = u.sum(0) if total is None else total + u.sum(0)
+    if gram is not None:
+        rows = [(-1, n, real, total), *((k, 0, 0, g) for k, g in enumerate(gram))]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        cols = zip(*((k, a, b, v.tobytes()) for k, a, b, v in rows))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(cols, kinds)], names=["k", "n", "real", "v"])
 
 
-def pairwise_stats(vectors: DataFrame, above: float, grid: int | None = None) -> DataFrame:
+def _summed(t: pa.Table) -> pa.Table:
+    v = np.sum([np.frombuffer(x, np.float64) for x in t.column("v").to_pylist()], 0)
+    return pa.table({"k": t.column("k")[:1], "n": [sum(t.column("n").to_pylist())], "real": [sum(t.column("real").to_pylist())], "square": [float(v @ v)]})
+
+
+def pairwise_stats(vectors: DataFrame, above: float, save: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Number, mean, least, greatest and population deviation of all pairwise cosines, and pairs above the threshold.
 
-    Each block gives its count, sums and extremes; no pair leaves a task.
+    Mean and deviation need no pairs: the cosines of all ordered pairs sum to the square of the vectors' sum, and their
+    squares to that of the Gram matrix. The others come from blocks; a pair of blocks is compared only where its bounds
+    leave open whether it has a new extreme or is above. No pair leaves a task. A vector without a direction has cosine
+    0 with all others. No vectors give nulls.
     """
     ship(vectors.sparkSession)
-    schema = "n long, s double, q double, lo double, hi double, above long"
-
-    def sums(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g[g["side"] == 0], g[g["side"] == 1]
-        v = np.zeros(0)
-        if len(a) and len(b):
-            s = _matrix(a["embedding"]) @ _matrix(b["embedding"]).T
-            p, q = np.meshgrid(a["id"].to_numpy(), b["id"].to_numpy(), indexing="ij")
-            v = s[p < q] if g["x"].iloc[0] == g["y"].iloc[0] else s.reshape(-1)
-        return pd.DataFrame({"n": [len(v)], "s": [v.sum()], "q": [(v * v).sum()], "lo": [v.min() if len(v) else None], "hi": [v.max() if len(v) else None], "above": [int((v > above).sum())]})
-
-    t = _grid(vectors, vectors, grid, True).groupBy("x", "y").applyInPandas(sums, schema)
-    mean = F.sum("s") / F.sum("n")
-    return t.agg(F.sum("n").alias("n_pairs"), mean.alias("mean"), F.min("lo").alias("least"), F.max("hi").alias("greatest"), F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0))).alias("deviation"), F.sum("above").alias("n_above"))
+    sums = vectors.select("id", "embedding").mapInArrow(_moments, "k int, n long, real long, v binary").groupBy("k").applyInArrow(_summed, "k int, n long, real long, square double")
+    m = sums.agg(F.sum("n").alias("n"), F.sum("real").alias("real"), F.sum(F.when(F.col("k") < 0, F.col("square"))).alias("s"), F.sum(F.when(F.col("k") >= 0, F.col("square"))).alias("q"))
+    within = float(np.arccos(np.clip(above, -1, 1)))
+    pivots = _pivots(vectors)
+    b = blocks(vectors, pivots, WIDE, save)
+
+    def extremes(x: pa.Table, y: pa.Table) -> pa.Table:
+        same = x.column("x")[0] == x.column("y")[0]
+        others, lo, hi, over = _read(y), np.inf, -np.inf, 0
+        for p in _read(x):
+            for q in others:
+                if same and q.no < p.no:
+                    continue
+                near, far, diagonal = p.nearest_angle(q), p.farthest_angle(q), same and p.no == q.no
+                all_above = far < within - ROOM
+                none_above = near > within + ROOM
+                inside = near > np.arccos(np.clip(hi, -1, 1)) + ROOM and far < np.arccos(np.clip(lo, -1, 1)) - ROOM
+                if inside and (all_above or none_above):
+                    n = len(p.ids)
+                    over += (n * (n - 1) // 2 if diagonal else n * len(q.ids)) if all_above else 0
+                    continue
+                s = p.units @ q.units.T
+                s = s[np.triu_indices(len(p.ids), 1)] if diagonal else s.ravel()
+                if len(s):
+                    lo, hi, over = min(lo, float(s.min())), max(hi, float(s.max())), over + int((s > above).sum())
+        return pa.table({"lo": [lo if lo < np.inf else None], "hi": [hi if hi > -np.inf else None], "above": [over]}, pa.schema([("lo", pa.float64()), ("hi", pa.float64()), ("above", pa.int64())]))
+
+    found = _together(b, b, meetings(b, b, pivots, None, True), extremes, "lo double, hi double, above long")
+    e = found.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.coalesce(F.sum("above"), F.lit(0)).alias("above"))
+    pairs = lambda n: n * (n - 1) / 2
+    flat = pairs(F.col("n")) - pairs(F.col("real"))  # pairs with a vector that has no direction
+    n_pairs = pairs(F.col("n"))
+    mean = (F.col("s") - F.col("real")) / 2 / F.when(n_pairs > 0, n_pairs)
+    square = (F.col("q") - F.col("real")) / 2 / F.when(n_pairs > 0, n_pairs)
+    zero = F.when(flat > 0, 0.0)
+    rows = m.join(e)  # one row each
+    return rows.select(n_pairs.cast("long").alias("n_pairs"), mean.alias("mean"), F.least("lo", zero).alias("least"), F.greatest("hi", zero).alias("greatest"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("deviation"), F.when(n_pairs.isNotNull(), F.col("above") + F.when(F.lit(above < 0), flat).otherwise(0).cast("long")).alias("n_above"))
 
 
 def global_check(vectors: DataFrame, above: float, sample: int = 200, seed: int = 0, least: int = 10) -> DataFrame:

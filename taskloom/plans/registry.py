@@ -10,6 +10,7 @@ from ..functions import code as K
 from ..functions import jsonkit as J
 from ..functions import text as T
 from ..operators import cleaning, diversity, rows, runtime, scores, selection, state, training
+from ..sources.tables import written
 from ..streaming import live
 from .adapters import over, view, view_sql
 
@@ -631,10 +632,10 @@ def vectors(s, d):
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-@query("j10_nearest", f"SELECT a.vec_id AS id, round(max({COS}), 6) AS similarity, arg_max(b.vec_id, {COS}) AS neighbour FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0 GROUP BY 1")
+@query("j10_nearest", f"SELECT a.vec_id AS id, round(max({COS}), 6) AS similarity, arg_max(b.vec_id, {COS}) AS neighbour FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1")
 def _(s, d):
     v = vectors(s, d).select("id", "embedding")
-    return diversity.nearest(v.where("id % 2 = 1"), v.where("id % 2 = 0")).withColumn("similarity", F.round("similarity", 6))
+    return diversity.nearest(v.where("id % 20 = 0"), v, own=False).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("j11_similar_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS} > 0.45")
@@ -671,17 +672,6 @@ def _(s, d):
     return diversity.diverse(v.where("id % 5 <> 0"), pool.select("id", "embedding"), counts, sim=0.45, warn=0.35, cap=12, save=written)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df in the shared folder; without one, in the session's warehouse."""
-    import uuid
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/taskloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # --- states of tables -------------------------------------------------------------------------------------------
 
 

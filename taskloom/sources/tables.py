@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -11,11 +13,6 @@ from ..functions.jsonkit import json_facts
 RUN_FILE = r"([^/]+)/([^/]+)/task_(\d+)/(trajectory|verify\.(\w+))\.json$"
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One object a line, blank lines skipped; a bad line fails the job with its place."""
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
-
-
 def read_json_lines_apart(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines with their file)."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where("trim(line) <> ''")
@@ -23,6 +20,15 @@ def read_json_lines_apart(spark: SparkSession, path: str, schema: str) -> tuple[
     return parsed.where("_row._bad is null").select("_row.*").drop("_bad"), parsed.where("_row._bad is not null").select("file", "line")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared folder and read again; without one, in the session's warehouse."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder}/taskloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def run_files(raw: DataFrame, path: str = "file") -> DataFrame:
     """Keys of run files from their paths: run, scenario_dir, task_id, kind (trajectory or verify) and mode."""
     part = lambda i: F.regexp_extract(path, RUN_FILE, i)
@@ -47,20 +53,18 @@ def write_buckets(df: DataFrame, by: str, path: str) -> None:
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends rows whose key the sink does not have; gives their number. A sink that is not there yet is empty."""
+    """Appends rows whose key the sink does not have; gives their number. A sink that is not there yet is empty, and null
+    keys are equal to each other. One writer at a time: append_committed() holds for several."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    fresh = df.join(spark.read.parquet(path).select(*keys), keys, "left_anti") if there else df
+    fresh = df
+    if there:
+        old = spark.read.parquet(path).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        fresh = df.join(old, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
     fresh = fresh.dropDuplicates(keys).persist()
     n = fresh.count()
     if n:
         fresh.write.mode("append").parquet(path)
     fresh.unpersist()
     return n
-
-
-def publish(results: DataFrame, summary: DataFrame, path: str) -> None:
-    """Results in order of their task, and one summary row, as JSON lines."""
-    results.orderBy("scenario", "task_id").write.mode("overwrite").json(f"{path}/results")
-    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")

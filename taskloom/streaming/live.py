@@ -12,12 +12,22 @@ from ..sources.tables import run_files
 VERDICT = "reward_type string, llm_judge struct<classification: string>"
 
 
+def landed_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Run files as they appear: keys from their paths, when they landed, and their bodies."""
+    raw = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").format("text").schema("value string").load(root)
+    return run_files(raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed"), F.col("value").alias("body")))
+
+
+def landed_verdicts(spark: SparkSession, root: str) -> DataFrame:
+    """Every verdict file as it appears: run, scenario_dir, task_id, mode, reward_type (null where there is none), landed."""
+    rows = landed_files(spark, root, "verify.*.json").withColumn("v", F.from_json("body", VERDICT))
+    judged = F.when(F.col("v.reward_type").isNotNull(), F.coalesce("v.llm_judge.classification", "v.reward_type"))
+    return rows.select("run", "scenario_dir", "task_id", "mode", judged.alias("reward_type"), "landed")
+
+
 def verdict_stream(spark: SparkSession, root: str, late: str = "1 hour") -> DataFrame:
-    """Verdicts as their files appear, each file once: run, scenario_dir, task_id, mode, reward_type, landed."""
-    raw = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "verify.*.json").option("wholetext", "true").format("text").schema("value string").load(root)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed"), F.col("value").alias("body"))
-    rows = run_files(raw).withColumn("v", F.from_json("body", VERDICT)).where("v.reward_type is not null")
-    rows = rows.select("run", "scenario_dir", "task_id", "mode", F.coalesce("v.llm_judge.classification", "v.reward_type").alias("reward_type"), "landed")
+    """Verdicts as their files appear, each task and mode once: run, scenario_dir, task_id, mode, reward_type, landed."""
+    rows = landed_verdicts(spark, root).where("reward_type is not null")
     return rows.withWatermark("landed", late).dropDuplicatesWithinWatermark(["run", "scenario_dir", "task_id", "mode"])
 
 

@@ -102,24 +102,12 @@ def test_diverse_equals_one_by_one(spark):
             kept.append(c)
     frame = lambda x: spark.createDataFrame(x, "id long, embedding array<double>, categories array<string>")
     counts = spark.createDataFrame([("c0", 1), ("c1", 9)], "category string, n int")
-    from taskloom.plans.registry import written
+    from taskloom.sources.tables import written
 
     got = diversity.diverse(frame(data[5:]), frame(pool).select("id", "embedding"), counts, 0.8, 0.6, 9, save=written)
     assert sorted(r.id for r in got.where("kept").collect()) == [c[0] for c in kept]
 
 
-def test_blocks_of_vectors_are_bounded(spark):
-    import numpy as np
-
-    m = np.random.default_rng(3).normal(size=(4000, 4))
-    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<double>")
-    sizes = diversity._grid(v, v, None, True).groupBy("x", "y", "side").count().collect()
-    assert max(r["count"] for r in sizes) < 700
-    u = m / np.linalg.norm(m, axis=1)[:, None]
-    i, j = np.nonzero(np.triu(u @ u.T > 0.999, 1))
-    assert {(r.a, r.b) for r in diversity.similar_pairs(v, 0.999).collect()} == set(zip(i.tolist(), j.tolist()))
-
-
 def test_nearest_of_zero_vector(spark):
     a = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, embedding array<double>")
     b = spark.createDataFrame([(7, [2.0, 0.0]), (8, [1.0, 0.0])], "id long, embedding array<double>")
