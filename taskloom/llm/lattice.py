@@ -17,7 +17,7 @@ from .words import mix, ragged
 #: Measured on pairs of cosine 0.93 in 64 dimensions: one table meets 0.6 of them (0.7 at 0.95), so 8 tables miss 7e-4.
 TABLES, BLOCKS, STEP, PROBES = 8, 2, 0.32, 3
 #: Rows of a cell that are compared in one group; larger cells are split into blocks, and pairs of blocks compared.
-BLOCK = 512
+BLOCK = 2048
 #: Pairs compared at a time.
 PAIRS = 1 << 17
 
@@ -206,8 +206,9 @@ def vector_classes(vectors: DataFrame, least: float = 0.93, key: str = "vec_id",
     of `least` or more in double precision are linked. A vector that is null, empty or zero, or holds a null or a
     number that is not finite, is linked with nothing. Links are found among vectors that share a lattice cell (their
     own, or one they probe) in any table, so a few just above `least` can be missed (see TABLES). Copies (equal labels
-    and vectors) are one class, compared once and counted fully. A null key is the least and comes back null; rows
-    with the same key and different vectors are one node. Other columns are not read. No rows give no rows.
+    and vectors) are one class, compared once and counted fully. Links are counted for each row, whatever its key: rows
+    of one key are linked with each other only if they are alike. For components, rows of one key are one node. A null
+    key is a key, the least, and comes back null. Other columns are not read. No rows give no rows.
 
     A large cell is split into blocks; no pair leaves a task: each vector's links are summed there, each pair in the
     first cell where it meets.
@@ -215,26 +216,45 @@ def vector_classes(vectors: DataFrame, least: float = 0.93, key: str = "vec_id",
     spark = vectors.sparkSession
     ready(spark)
     none = F.lit(-(1 << 63))
-    plain = vectors.select(F.coalesce(F.col(key).cast("long"), none).alias("vec"), F.col(label).cast("long").alias("label"), F.col(vector).alias("e"))
-    rows = saved(plain.mapInArrow(_read, "vec long, label long, v binary").withColumn("s1", F.xxhash64("v", "label")).withColumn("s2", F.xxhash64(F.lit(1), "v", "label")))
-    classes = saved(rows.where("v is not null").groupBy("s1", "s2").agg(F.min("vec").alias("node"), F.count("*").alias("copies")))
-    single = saved(rows.join(classes, ["s1", "s2"]).where("vec = node").select("vec", "label", "copies", "v").distinct())
-    placed = saved(single.select("vec", "label", "v").mapInArrow(_placed, "vec long, keys binary"))
+    plain = vectors.select(F.coalesce(F.col(key).cast("long"), none).alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("e"))
+    read = plain.withColumnRenamed("id", "vec").mapInArrow(_read, "vec long, label long, v binary").withColumnRenamed("vec", "id")
+    rows = saved(read.withColumn("s1", F.xxhash64("v", "label")).withColumn("s2", F.xxhash64(F.lit(1), "v", "label")))
+    # A class is what has one label and vector; it has a number of its own, so keys may be null or repeated.
+    classes = saved(rows.where("v is not null").groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("vec", F.monotonically_increasing_id()))
+    placed = saved(classes.select("vec", "label", "v").mapInArrow(_placed, "vec long, keys binary"))
     spread = placed.mapInArrow(_spread, "cell long, vec long, own boolean")
     full = spread.groupBy("cell").agg(F.count("*").alias("n"), F.bool_or("own").alias("any")).where("n > 1 and any").select("cell", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
     met = spread.join(full, "cell").select("cell", "vec", "blocks", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int").alias("side"))
     grid = met.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("cell", "vec", "side", F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"))
-    payload = single.select("vec", "copies", "v").join(placed, "vec")
+    payload = classes.select("vec", "copies", "v").join(placed, "vec")
     groups = grid.join(payload, "vec").repartition(partitions(spark), "cell", "x", "y").sortWithinPartitions("cell", "x", "y")
     found = saved(groups.mapInArrow(lambda it: _compared(it, least), "vec long, links long, to long"))
-    linked = saved(found.groupBy("vec").agg(F.sum("links").alias("links")))
-    comp = components(found.select(F.col("vec").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "vec")
-    nodes = saved(linked.join(comp, "vec", "left").select(F.col("vec").alias("node"), "links", "component"))
-    known = classes.join(nodes, "node", "left").select("s1", "s2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("found"))
-    out = rows.where("v is not null").select("vec", "s1", "s2").join(known, ["s1", "s2"]).select("vec", "n_links", "found")
-    out = out.unionByName(rows.where("v is null").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("found")))
+    linked = found.groupBy("vec").agg(F.sum("links").alias("links"))
+    # Links of a vector are those of its class; components also pass through rows of one key, which are one node.
+    numbers = saved(classes.select("s1", "s2", "vec", "copies", "least").join(linked, "vec", "left"))
+    comp = components(found.select(F.col("vec").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("vec"), "component")
+    named = saved(rows.where("v is not null").select("id", "s1", "s2").join(numbers, ["s1", "s2"]).join(comp, "vec", "left").select("id", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "vec").alias("part")))
+    roots = _least_keys(named)
+    out = named.join(roots, "part").select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "found")
+    # A row that can't be compared has no links, but shares the node of its key.
+    alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"))
+    keyed = named.join(roots, "part").groupBy(F.col("id").alias("_id")).agg(F.min("found").alias("found"))
+    out = out.unionByName(alone.join(keyed, F.col("id") == F.col("_id"), "left").select("id", "n_links", F.coalesce("found", "id").alias("found")))
     back = lambda c: F.when(F.col(c) != none, F.col(c))
-    return out.select(back("vec").alias(key), "n_links", back("found").alias("component_id"), (F.col("vec") == F.col("found")).alias("kept"))
+    return out.select(back("id").alias(key), "n_links", back("found").alias("component_id"), (F.col("id") == F.col("found")).alias("kept"))
+
+
+def _least_keys(named: DataFrame) -> DataFrame:
+    """(part, found): the least key that each part of the classes reaches, also through keys that several parts have."""
+    least = saved(named.groupBy("part").agg(F.min("id").alias("found"), F.count("*").alias("n")))
+    several = saved(named.select("id", "part").distinct().groupBy("id").agg(F.count("*").alias("n"), F.min("part").alias("first")).where("n > 1"))
+    if several.isEmpty():
+        return least.select("part", "found")
+    through = named.select("id", "part").distinct().join(several.select("id", "first"), "id")
+    joined = components(through.select(F.col("part").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("part"), "component")
+    wide = least.join(joined, "part", "left").withColumn("component", F.coalesce("component", "part"))
+    roots = wide.groupBy("component").agg(F.min("found").alias("root"))
+    return wide.select("part", "component").join(roots, "component").select("part", F.col("root").alias("found"))
 
 
 def op6_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
