@@ -1,9 +1,8 @@
-"""Source code, DDL and input schemas read by parsers; no code from data is ever run."""
+"""Source code and DDL read by parsers; no code from data is ever run."""
 
 from __future__ import annotations
 
 import ast
-import json
 import re
 import textwrap
 from collections.abc import Iterator
@@ -146,32 +145,3 @@ def endpoint_table(envs: DataFrame, most: int = 100) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     return envs.select("scenario", "full_code").mapInPandas(read, ENDPOINTS)
-
-
-def flat_schema(tools: DataFrame) -> DataFrame:
-    """Rows (tool, path, type, required, default, allowed, description) of nested input schemas (tool, schema: JSON)."""
-    names = ["tool", "path", "type", "required", "default", "allowed", "description"]
-
-    def walk(schema: dict, prefix: str) -> Iterator[tuple]:
-        needed = schema.get("required") or []
-        for name, p in (schema.get("properties") or {}).items():
-            if isinstance(p, dict):
-                path = f"{prefix}{name}"
-                text = lambda k: None if p.get(k) is None else json.dumps(p[k], ensure_ascii=False)  # noqa: E731, B023
-                yield path, str(p.get("type")) if p.get("type") else None, name in needed, text("default"), text("enum"), p.get("description")
-                yield from walk(p, f"{path}.")
-                if isinstance(p.get("items"), dict):
-                    yield from walk(p["items"], f"{path}[].")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for tool, text in zip(b["tool"], b["schema"]):
-                try:
-                    schema = json.loads(text or "{}")
-                except ValueError:
-                    schema = {}
-                rows += [(tool, *x) for x in walk(schema, "")] if isinstance(schema, dict) else []
-            yield pd.DataFrame(rows, columns=names)
-
-    return tools.select("tool", "schema").mapInPandas(read, "tool string, path string, type string, required boolean, default string, allowed string, description string")

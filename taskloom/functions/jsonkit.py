@@ -6,7 +6,7 @@ import json
 
 import pandas as pd
 
-from .text import EMPTY_PATTERN, JUDGE_CLASSES
+from .text import JUDGE_CLASSES
 from .vectorised import vectorised
 
 KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
@@ -63,38 +63,6 @@ def judge_class(s: pd.Series) -> pd.Series:
     return pd.Series([one(x) for x in s])
 
 
-def _has_leaf(v: object) -> tuple[bool, bool]:
-    """(is a container, holds anything): an object of empty containers only holds nothing, one without containers does."""
-    if isinstance(v, list):
-        return True, len(v) > 0
-    if not isinstance(v, dict):
-        return False, False
-    nested = [x for x in v.values() if isinstance(x, (list, dict))]
-    plain = [x for x in v.values() if not isinstance(x, (list, dict))]
-    if any(x is not None and x != "" for x in plain) or any(_has_leaf(x)[1] for x in nested):
-        return True, True
-    return True, bool(v) and not nested
-
-
-@vectorised("json_like boolean, non_empty boolean, empty_signal boolean")
-def payload_flags(s: pd.Series) -> pd.DataFrame:
-    import re
-
-    says_empty = re.compile(EMPTY_PATTERN, re.I)
-
-    def one(text: str | None) -> tuple[bool, bool, bool]:
-        t = (text or "").strip()
-        if not t or t.startswith("Error:"):
-            return False, False, bool(says_empty.search(t))
-        ok, v = loads(t)
-        if not ok:
-            return False, True, bool(says_empty.search(t))
-        like, full = _has_leaf(v)
-        return like, full, like and not full
-
-    return pd.DataFrame([one(x) for x in s], columns=["json_like", "non_empty", "empty_signal"])
-
-
 CUTS = "array<struct<path string, type string, omitted_count long, original_chars long, kept_chars long>>"
 
 

@@ -20,6 +20,8 @@ ERROR_LABELS = (
 EMPTY_PATTERN = r"\b(no .*found|not found|empty|does not exist|not available|unavailable)\b"
 MUTATING_PATTERN = r"(^|_)(create|update|delete|cancel|book|reserve|add|remove|assign|mark|set|submit|approve|reject|complete|close)_"
 SKILL_SECTIONS = ("## Use When", "## Planning Hints", "## Tool Guardrails", "## State Checks", "## Avoid", "## Evidence")
+#: Words a strict skill text does not have.
+SKILL_STRICT = (r"\bschemas?\b", r"\blogs?\b", r"\bexamples?\b")
 SKILL_BANNED = (r"\bdatasets?\b", r"\btrajector(?:y|ies)\b", r"\btraining\b", r"\bthinking process\b", r"\banalyze the request\b", r"\bdrafting the content\b")
 SKILL_WILDCARD = r"mcp_tool_[a-zA-Z0-9_]+\*|mcp_tool_[a-zA-Z0-9_]+_\b|\b(?:list|get|create|update|delete)_\*"
 DESCRIPTION_STOPS = ("### Responses", "## Responses", "**200**", "**201**", "**400**", "**401**", "**403**", "**404**", "**422**", "Content-Type:", "**Example Response:**", "Example Response:", "Example:", "```")
@@ -109,12 +111,13 @@ def word_total(c: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
 
 
-def skill_warnings(c: Column, max_words: int) -> Column:
-    """Warnings on a skill text, in order; an empty array is a good one."""
+def skill_warnings(c: Column, max_words: int, strict: bool = False) -> Column:
+    """Warnings on a skill text, in order; an empty array is a good one. strict: each word that names where the skill comes
+    from is a warning of its own, and warnings are sorted."""
     missing = F.array_join(F.array_compact(F.array(*[F.when(~c.contains(s), F.lit(s)) for s in SKILL_SECTIONS])), ",")
     banned = F.array_join(F.array_compact(F.array(*[F.when(c.rlike(f"(?i){p}"), F.lit(p)) for p in SKILL_BANNED])), ",")
     words, sure = word_total(c), F.regexp_count(c, F.lit(r"(?i)Confidence:\s*(high|medium|low)\b"))
-    return F.array_compact(F.array(
+    found = F.array_compact(F.array(
         F.when(missing != "", F.concat(F.lit("missing_sections:"), missing)),
         F.when(words > max_words, F.concat(F.lit("too_long:"), words.cast("string"), F.lit(f">{max_words}"))),
         F.when(c.rlike(SKILL_WILDCARD), F.lit("wildcard_or_placeholder_tool_name")),
@@ -122,6 +125,10 @@ def skill_warnings(c: Column, max_words: int) -> Column:
         F.when(c.contains("```"), F.lit("code_fence")),
         F.when(sure != 1, F.concat(F.lit("confidence_count:"), sure.cast("string"))),
     ))
+    if not strict:
+        return found
+    more = F.array_compact(F.array(*[F.when(c.rlike(f"(?i){p}"), F.lit(f"banned_terms:{p}")) for p in SKILL_STRICT]))
+    return F.array_sort(F.array_distinct(F.concat(found, more)))
 
 
 def reward_value(c: Column) -> Column:

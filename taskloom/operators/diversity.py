@@ -332,25 +332,3 @@ def diverse(candidates: DataFrame, pool: DataFrame, counts: DataFrame, sim: floa
         left = save(left.join(free, "id", "left_anti").join(gone, "id", "left_anti"))
         edges = save(edges.join(left.select(F.col("id").alias("b")), "b", "left_semi").join(left.select(F.col("id").alias("a")), "a", "left_semi"))
     return candidates.select("id").join(kept.withColumn("kept", F.lit(True)), "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
-
-
-def relaxed(sim: float, cap: int) -> tuple[float, int]:
-    """Thresholds after a stalled batch: a twentieth more similarity up to 0.95, a fifth more of each category."""
-    return min(0.95, round(sim + 0.05, 10)), int(cap * 1.2)
-
-
-def diverse_batches(batches: Iterator[DataFrame], pool: DataFrame, target: int, sim: float = 0.85, warn: float = 0.75, cap: int = 80, save=None) -> DataFrame:
-    """The pool grown by the chosen of each batch until it has `target` rows; only counts reach the driver."""
-    save = save or (lambda df: df.checkpoint())
-    have = pool.count()
-    for batch in batches:
-        if have >= target:
-            break
-        counts = pool.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
-        chosen = diverse(batch, pool.select("id", "embedding"), counts, sim, warn, cap, save).where("kept").select("id")
-        pool = save(pool.unionByName(batch.join(chosen, "id", "left_semi").select(*pool.columns)))
-        now = pool.count()
-        if now == have:
-            sim, cap = relaxed(sim, cap)
-        have = now
-    return pool

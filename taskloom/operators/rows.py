@@ -20,10 +20,6 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
-def key_totals(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.agg(F.count("*").alias("n_rows"), F.count_distinct(*keys).alias("n_keys"))
-
-
 def exploded_tasks(tasks: DataFrame) -> DataFrame:
     """(scenario, task_id from 0, task) of scenarios with arrays of tasks."""
     return tasks.select("scenario", F.posexplode("tasks").alias("task_id", "task"))
@@ -45,6 +41,15 @@ def checked_allowlist(allow: DataFrame, tasks: DataFrame, order: str) -> tuple[D
     return rows.where("reason is null").select(*allow.columns), rows.where("reason is not null").select(*allow.columns, "reason")
 
 
+def required_allowlist(allow: DataFrame, tasks: DataFrame, order: str) -> DataFrame:
+    """What checked_allowlist() keeps; an error, with the numbers of the reasons, if nothing is left."""
+    kept, errors = checked_allowlist(allow, tasks, order)
+    if kept.isEmpty():
+        reasons = ", ".join(f"{r.reason}: {r['count']}" for r in errors.groupBy("reason").count().orderBy("reason").collect())
+        raise ValueError(f"no task of the allowlist is left ({reasons or 'it has no rows'})")
+    return kept
+
+
 def parsed_ids(text: str) -> list[int]:
     """The ids of a list like "0-5,7", in order and once each."""
     out: dict[int, None] = {}
@@ -95,7 +100,7 @@ def static_gate(bundle: DataFrame, checks: DataFrame, outcomes: DataFrame, known
     """(scenario, task_id, reason) with the first reason that fails each task, null where it is accepted.
 
     checks: (scenario, task_id, ok) of the verifier's code; outcomes: (scenario, task_id, db_error, execution_status,
-    result) of a reset and of a run that does nothing; known_bad: (scenario, task_id).
+    result) of a reset and of a run that does nothing, which has to end in success; known_bad: (scenario, task_id).
     """
     key = ["scenario", "task_id"]
     rows = missing_sources(bundle).join(known_bad.select(*key).distinct().withColumn("bad", F.lit(True)), key, "left")
@@ -103,7 +108,7 @@ def static_gate(bundle: DataFrame, checks: DataFrame, outcomes: DataFrame, known
     reason = F.coalesce(
         F.when(F.col("bad"), F.lit("known_bad_task")), F.col("missing"), F.when(~F.col("has_verifier"), F.lit("missing_verifier")),
         F.when(~F.coalesce("ok", F.lit(False)), F.lit("bad_verifier_compile")), F.when(F.col("db_error").isNotNull(), F.lit("db_reset_error")),
-        F.when(F.col("execution_status") == "error", F.lit("noop_verifier_error")), F.when(F.col("result") == "complete", F.lit("noop_complete")),
+        F.when(F.coalesce(F.col("execution_status") != "success", F.lit(True)), F.lit("noop_verifier_error")), F.when(F.col("result") == "complete", F.lit("noop_complete")),
     )
     return rows.select(*key, reason.alias("reason"))
 
@@ -128,7 +133,3 @@ def profile(df: DataFrame, keys: list[str], measures: dict[str, Column], approxi
 
 def common_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys))
-
-
-def either_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return a.select(*keys).union(b.select(*keys)).distinct()

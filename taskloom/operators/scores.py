@@ -17,11 +17,19 @@ def preferred_verdicts(verdicts: DataFrame, modes: tuple[str, ...] = ("code", "s
     return verdicts.where(rank > 0).withColumn("_no", first).where("_no = 1").drop("_no")
 
 
-def run_scores(verdicts: DataFrame) -> DataFrame:
-    """Verified rows, complete ones and score of each run; seconds for 100 verified tasks where elapsed is known."""
+def run_scores(verdicts: DataFrame, bad: DataFrame | None = None) -> DataFrame:
+    """Verified rows, complete ones and score of each run; seconds for 100 verified tasks where elapsed is known.
+
+    bad: files that could not be read (run, file): their number by run comes along, also of runs with no other file, whose
+    score is 0.
+    """
     total, done = F.count("*"), F.count_if(F.col("reward_type") == "complete")
     extra = [(F.max("elapsed_seconds") / total * 100).alias("seconds_per_100")] if "elapsed_seconds" in verdicts.columns else []
-    return verdicts.groupBy("run").agg(total.alias("total"), done.alias("complete"), F.when(total > 0, done / total).otherwise(0.0).alias("score"), *extra)
+    got = verdicts.groupBy("run").agg(total.alias("total"), done.alias("complete"), F.when(total > 0, done / total).otherwise(0.0).alias("score"), *extra)
+    if bad is None:
+        return got
+    rows = got.join(bad.groupBy("run").agg(F.count("*").alias("bad_files")), "run", "full")
+    return rows.fillna(0, ["total", "complete", "bad_files"]).fillna(0.0, ["score"])
 
 
 def reward_counts(verdicts: DataFrame) -> DataFrame:

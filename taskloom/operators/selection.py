@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +21,41 @@ def shortest_examples(rows: DataFrame, positives: int, auxiliaries: int) -> Data
 
 def covering_examples(rows: DataFrame, positives: int, negatives: int) -> DataFrame:
     """By scenario: successes in order of calls that add a tool (or are among the first two), filled up by task id; then
-    others, failures first, that share most tools with them. A scenario's tasks are few, so one group is one task."""
-    schema = "scenario string, task_id long, part string, rank int"
-
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        scenario, out, tools = g["scenario"].iloc[0], [], set()
-        good = g[g["reward_type"] == "complete"].sort_values(["num_tool_calls", "task_id"])
-        for r in good.itertuples():
-            new = set(r.tools_used) - tools
-            if len(out) < positives and (new or len(out) < min(2, positives)):
-                out.append(r.task_id)
-                tools |= new
-        out += [t for t in sorted(good["task_id"]) if t not in out][: positives - len(out)]
-        rest = [((r.reward_type == "complete"), -len(set(r.tools_used) & tools), r.num_tool_calls, r.task_id) for r in g.itertuples() if r.task_id not in out]
-        rest = [x[3] for x in sorted(rest)][:negatives]
-        made = [(scenario, t, "positive", i + 1) for i, t in enumerate(out)] + [(scenario, t, "negative", i + 1) for i, t in enumerate(rest)]
-        return pd.DataFrame(made, columns=["scenario", "task_id", "part", "rank"])
-
-    return rows.select("scenario", F.col("task_id").cast("long"), "reward_type", "num_tool_calls", "tools_used").groupBy("scenario").applyInPandas(pick, schema)
+    others, failures first, that share most tools with them. rows: (scenario, task_id, reward_type, num_tool_calls,
+    tools_used).
+
+    The choice is a fold over a sorted array. Only rows that can be chosen reach it: of the rows of a scenario with one set
+    of tools no more than the shortest few, and the successes of the smallest ids; so an array is bounded by the number of
+    different sets of tools.
+    """
+    few = max(positives + negatives, 2)
+    done = F.coalesce(F.col("reward_type") == "complete", F.lit(False))
+    tools = F.array_sort(F.array_distinct(F.coalesce("tools_used", F.array().cast("array<string>"))))
+    row = rows.select("scenario", F.col("task_id").cast("long").alias("task_id"), F.col("num_tool_calls").cast("long").alias("calls"), done.alias("done"), tools.alias("tools"))
+    by = Window.partitionBy("scenario", "done", "tools")
+    short = F.row_number().over(by.orderBy("calls", "task_id"))
+    early = F.row_number().over(Window.partitionBy("scenario", "done").orderBy("task_id"))
+    can = row.withColumn("_short", short).withColumn("_early", early).where((F.col("_short") <= few) | (F.col("done") & (F.col("_early") <= 2 * positives)))
+    each = F.struct("calls", "task_id", "tools", "done")
+    g = can.groupBy("scenario").agg(F.array_sort(F.collect_list(each)).alias("all"))
+    good, ids = F.filter("all", lambda x: x["done"]), lambda a: F.transform(a, lambda x: x["task_id"])
+    start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<string>").alias("tools"))
+
+    def step(state: Column, x: Column) -> Column:
+        n = F.size(state["taken"])
+        take = (n < positives) & ((F.size(F.array_except(x["tools"], state["tools"])) > 0) | (n < min(2, positives)))
+        more = F.struct(F.array_append(state["taken"], x["task_id"]).alias("taken"), F.array_union(state["tools"], x["tools"]).alias("tools"))
+        return F.when(take, more).otherwise(state)
+
+    g = g.withColumn("_s", F.aggregate(good, start, step))
+    rest = F.array_sort(F.filter(ids(good), lambda t: ~F.array_contains(F.col("_s.taken"), t)))
+    g = g.withColumn("_p", F.concat("_s.taken", F.slice(rest, F.lit(1), F.greatest(positives - F.size("_s.taken"), F.lit(0)))))
+    others = F.filter("all", lambda x: ~F.array_contains(F.col("_p"), x["task_id"]))
+    order = F.transform(others, lambda x: F.struct(x["done"].alias("done"), (-F.size(F.array_intersect(x["tools"], F.col("_s.tools")))).alias("shared"), x["calls"].alias("calls"), x["task_id"].alias("task_id")))
+    g = g.withColumn("_n", ids(F.slice(F.array_sort(order), 1, negatives)))
+    listed = lambda c, part: g.select("scenario", F.posexplode(c).alias("_at", "task_id"), F.lit(part).alias("part"))
+    both = listed("_p", "positive").unionByName(listed("_n", "negative"))
+    return both.select("scenario", "task_id", "part", (F.col("_at") + 1).alias("rank"))
 
 
 def win_loss_examples(changed: DataFrame, most: int) -> DataFrame:
@@ -64,9 +80,16 @@ def best_attempt(attempts: DataFrame, keys: list[str], threshold: float = 0.1) -
 
 
 def error_digest(attempts: DataFrame, keys: list[str], most: int = 64_000) -> DataFrame:
-    """The distinct errors of all attempts as one text, its last `most` characters."""
-    found = attempts.select(*keys, F.explode("errors").alias("error")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("error")), "\n").alias("digest"))
-    return found.withColumn("digest", F.right("digest", F.lit(most)))
+    """The distinct errors of all attempts in order as one text, its last `most` characters.
+
+    Errors that stand before those characters are left out by a running length before any array is made, so no array has
+    more than `most` of them, whatever the number of attempts.
+    """
+    found = attempts.select(*keys, F.explode("errors").alias("error")).where("error is not null").distinct()
+    after = Window.partitionBy(*keys).orderBy(F.col("error").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    near = found.withColumn("_after", F.coalesce(F.sum(F.length("error") + 1).over(after), F.lit(0))).where(F.col("_after") < most)
+    text = F.array_join(F.array_sort(F.collect_list("error")), "\n")
+    return near.groupBy(*keys).agg(F.right(text, F.lit(most)).alias("digest"))
 
 
 def balanced_limit(tasks: DataFrame, limit: int, scenarios: int, order: str = "pos") -> DataFrame:
@@ -116,26 +139,9 @@ def distillation_requests(examples: DataFrame, available: DataFrame, contexts: D
     return rows.select("scenario", "prompt", ids(F.col("_p")).alias("positive_task_ids"), ids(F.col("_o")).alias("auxiliary_task_ids"), "num_positive_available", "num_aux_available", F.col("tool_summary").isNotNull().alias("has_tool_summary"), F.col("db_summary").isNotNull().alias("has_db_summary"))
 
 
-STAGE_RULES = {
-    "tasks": lambda j, n: F.json_array_length(F.get_json_object(j, "$.tasks")) >= n,
-    "spec": lambda j, n: F.coalesce(F.json_array_length(F.get_json_object(j, "$.api_groups[0].endpoints")), F.lit(0)) >= 1,
-    "env": lambda j, n: F.length(F.trim(F.get_json_object(j, "$.code"))) > 0,
-    "verifier": lambda j, n: F.length(F.trim(F.get_json_object(j, "$.python_code"))) > 0,
-    "scenario": lambda j, n: F.get_json_object(j, "$.name").isNotNull() & F.get_json_object(j, "$.description").isNotNull(),
-}
-
-
-def judged_responses(responses: DataFrame, stage: str, attempts: int = 3, n: int = 10) -> DataFrame:
-    """responses (scenario, attempt, response) with the parsed text and a state: accepted, retry or given_up."""
-    j = lenient_json("response")
-    rows = responses.withColumn("_j", j).withColumn("parsed", F.when(F.col("_j.ok") & (F.trim("response") != ""), F.col("_j.text"))).drop("_j")
-    ok = F.coalesce(STAGE_RULES[stage](F.col("parsed"), n), F.lit(False))
-    return rows.withColumn("state", F.when(ok, "accepted").when(F.col("attempt") < attempts, "retry").otherwise("given_up"))
-
-
-def validated_skills(skills: DataFrame, max_words: int) -> DataFrame:
-    """skills with their warnings; the repair set is where there are any."""
-    return skills.withColumn("warnings", skill_warnings(F.col("skill"), max_words)).withColumn("ok", F.size("warnings") == 0)
+def validated_skills(skills: DataFrame, max_words: int, strict: bool = False) -> DataFrame:
+    """skills with their warnings; the repair set is where there are any. strict: words of the sources are banned too."""
+    return skills.withColumn("warnings", skill_warnings(F.col("skill"), max_words, strict)).withColumn("ok", F.size("warnings") == 0)
 
 
 def skill_stats(validated: DataFrame) -> DataFrame:
@@ -144,14 +150,20 @@ def skill_stats(validated: DataFrame) -> DataFrame:
     return rows.groupBy(F.substring_index("w", ":", 1).alias("family")).agg(F.count("*").alias("n"))
 
 
-def skill_manifest(requests: DataFrame, answers: DataFrame, max_words: int) -> DataFrame:
+def skill_manifest(requests: DataFrame, answers: DataFrame, max_words: int, strict: bool = False) -> DataFrame:
     """One row for each request (scenario): status (done; skipped without an answer), the skill, its warnings and
     quality_ok (null if skipped). The repair set is where quality_ok is false. answers: (scenario, skill)."""
-    found = validated_skills(answers.select("scenario", "skill").where("trim(skill) <> ''"), max_words)
+    found = validated_skills(answers.select("scenario", "skill").where("trim(skill) <> ''"), max_words, strict)
     rows = requests.select("scenario").join(found, "scenario", "left")
     return rows.select("scenario", F.when(F.col("skill").isNull(), "skipped").otherwise("done").alias("status"), "skill", "warnings", F.col("ok").alias("quality_ok"))
 
 
+def repair_requests(manifest: DataFrame, template: str, max_words: int) -> DataFrame:
+    """(scenario, prompt) for each skill with warnings: the template with {skill}, {warnings} (one a line) and {max_words}."""
+    rows = manifest.where("not quality_ok")
+    return request_rows(rows, template, {"skill": F.col("skill"), "warnings": F.array_join("warnings", "\n"), "max_words": F.lit(str(max_words))}).select("scenario", "prompt")
+
+
 def manifest_totals(manifest: DataFrame) -> DataFrame:
     """One row: requested, done, skipped, of good quality, and to be repaired."""
     return manifest.agg(F.count("*").alias("requested"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if("quality_ok").alias("quality_ok"), F.count_if(~F.col("quality_ok")).alias("to_repair"))

@@ -6,16 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def history_rows(messages: DataFrame, window: int = 3) -> DataFrame:
-    """One row for each assistant turn: system text, first user text, the exchange after it, the last `window` turns
-    before the target, and the target, on which alone there is loss. messages: (conv_id, turn, role, text)."""
-    conv = Window.partitionBy("conv_id").orderBy("turn")
-    whole = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+def turns(messages: DataFrame) -> DataFrame:
+    """(conv_id, no, messages): an assistant message and what follows it up to the next one is a turn, from 1; turn 0 is
+    what stands before the first. messages: (conv_id, turn, role, text)."""
+    no = F.count_if(F.col("role") == "assistant").over(Window.partitionBy("conv_id").orderBy("turn"))
     said = F.struct("turn", "role", "text")
-    rows = messages.withColumn("system", F.first(F.when(F.col("role") == "system", F.col("text")), True).over(whole)).withColumn("first_user", F.first(F.when(F.col("role") == "user", F.col("text")), True).over(whole))
-    rows = rows.withColumn("first_reply", F.first(F.when(F.col("role") == "assistant", F.col("text")), True).over(whole))
-    rows = rows.withColumn("history", F.collect_list(said).over(conv.rowsBetween(-window, -1)))
-    return rows.where("role = 'assistant'").select("conv_id", "turn", "system", "first_user", "first_reply", "history", F.col("text").alias("target"))
+    return messages.select("conv_id", no.alias("no"), said.alias("said")).groupBy("conv_id", "no").agg(F.array_sort(F.collect_list("said")).alias("messages"))
+
+
+def history_rows(messages: DataFrame, window: int = 3) -> DataFrame:
+    """One row for each turn of the assistant: system text, first user text, the first exchange (its first turn with the
+    answers to it), the last `window` turns before the target, oldest first, and the target, on which alone there is loss.
+
+    The first exchange is not in the history again where it is among the last turns. first_user is null where no user has
+    spoken yet. One shuffle by conversation; a conversation is bounded by the length of a run.
+    """
+    t = turns(messages)
+    before = Window.partitionBy("conv_id").orderBy("no")
+    said = lambda role: F.get(F.filter("messages", lambda m: m["role"] == role), F.lit(0))["text"]
+    so_far = before.rowsBetween(Window.unboundedPreceding, -1)
+    first = lambda c: F.first(c, True).over(so_far)
+    rows = t.withColumn("system", first(said("system"))).withColumn("first_user", first(said("user"))).withColumn("first_exchange", first(F.when(F.col("no") == 1, F.col("messages"))))
+    rows = rows.withColumn("history", F.collect_list(F.when(F.col("no") > 1, F.col("messages"))).over(before.rowsBetween(-window, -1)))
+    target = F.get("messages", F.lit(0))
+    return rows.where("no > 0").select("conv_id", target["turn"].alias("turn"), "system", "first_user", "first_exchange", "history", target["text"].alias("target"))
 
 
 def calls_without_help(calls: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import calls as C
 from ..functions import code as K
 from ..functions import jsonkit as J
 from ..functions import text as T
+from ..functions import variants as V
 from ..operators import cleaning, diversity, rows, runtime, scores, selection, state, training
 from ..sources.tables import written
 from ..streaming import live
@@ -34,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runtime.classified_calls(run_calls(spark, sf_dir), J.payload_flags("response"))
+    """Classified calls; saved, as counters and signatures both read them."""
+    return runtime.classified_calls(run_calls(spark, sf_dir), V.payload_flags("response"))
 
 
 def run_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +85,7 @@ def _(s, d):
 
 @query("p14_payload_flags", f"""SELECT iteration, response NOT LIKE 'Error:%' AND response <> 'item does not exist' AS json_like, full_ AS non_empty, empty_ AS empty_signal FROM ({CALLED}) x""")
 def _(s, d):
-    return view(s, d, "calls").select("iteration", J.payload_flags("response").alias("f")).select("iteration", "f.*")
+    return view(s, d, "calls").select("iteration", V.payload_flags("response").alias("f")).select("iteration", "f.*")
 
 
 @query("p10_p11_observations", """SELECT event_id, CASE WHEN json_valid(props) THEN 'json' ELSE 'text' END AS type, replace(props, ': ', ':') AS content FROM events""")
@@ -135,7 +137,7 @@ def _(s, d):
 @query("p27_input_schema", """SELECT 't' || CAST(p_partkey AS VARCHAR) AS tool, path, type, path = 'id' AS required, CASE WHEN path = 'id' THEN CAST(p_size AS VARCHAR) END AS "default" FROM part, (VALUES ('id', 'integer'), ('box', 'object'), ('box.w', 'number')) v(path, type)""")
 def _(s, d):
     schema = F.expr("""'{"required": ["id"], "properties": {"id": {"type": "integer", "default": ' || p_size || '}, "box": {"type": "object", "properties": {"w": {"type": "number"}}}}}'""")
-    return K.flat_schema(table(s, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("tool"), schema.alias("schema"))).select("tool", "path", "type", "required", "default")
+    return V.flat_schema(table(s, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("tool"), schema.alias("schema"))).select("tool", "path", "type", "required", "default")
 
 
 @query("p22_c5_skill_stats", """SELECT family, count(*) AS n FROM (SELECT doc_id, unnest(['missing_sections', 'confidence_count'] || CASE WHEN w > 400 THEN ['too_long'] ELSE [] END) AS family FROM (SELECT doc_id, len(string_split(""" + COMPACT + """, ' ')) AS w FROM documents) y) x GROUP BY family""")
@@ -243,7 +245,7 @@ def _(s, d):
     return runtime.lenient_decisions(*run_rows(s, d)).withColumn("reasons", F.array_join("reasons", " ")).withColumn("error_rate", F.round("error_rate", 9))
 
 
-STRICT_HARD = f"""SELECT r.*, CASE WHEN reward_type = 'complete' THEN 0 WHEN NOT readable THEN 1 WHEN call_tools = 0 OR (errors > 0 AND errors / call_tools >= 0.3) OR n_http_500 > 0 OR n_timeout > 0 OR coalesce(repeated, 0) > 0 OR (call_tools > 0 AND "empty" > 0 AND non_empty = 0) THEN 1 ELSE 0 END AS hard FROM ({RUNS}) r
+STRICT_HARD = f"""SELECT r.*, p.repeated, CASE WHEN reward_type = 'complete' THEN 0 WHEN NOT readable THEN 1 WHEN call_tools = 0 OR (errors > 0 AND errors / call_tools >= 0.3) OR n_http_500 > 0 OR n_timeout > 0 OR coalesce(repeated, 0) > 0 OR (call_tools > 0 AND "empty" > 0 AND non_empty = 0) THEN 1 ELSE 0 END AS hard FROM ({RUNS}) r
   LEFT JOIN (SELECT run, scenario, task_id, count(*) AS repeated FROM ({SIGS}) s WHERE n >= 2 AND (signature LIKE '%:validation:%' OR signature LIKE '%:route_or_schema:%') GROUP BY ALL) p USING (run, scenario, task_id)"""
 
 
@@ -337,25 +339,18 @@ def _(s, d):
     return scores.protocol_totals(c.select(F.concat(F.lit("run_"), (F.col("conv_id") % 3).cast("string")).alias("run"), (F.col("turn") % 2).alias("list_tools_calls"), (F.col("turn") % 3).alias("tool_help_calls"), (F.col("turn") % 4).alias("reminders"), F.array("role").alias("unhelped")))
 
 
-@query("a19_training_health", f"SELECT run, avg(CAST(task_id = 3 AS INT)) AS format_error_rate, 0.0::DOUBLE AS environment_error_rate, avg(CAST(reward_type = 'complete' AS INT)) AS completed_rate, avg(CAST(reward_type = 'judge_error' AND task_id = 1 AS INT)) AS disagreement_rate, avg(CAST(task_id = 2 AS INT)) AS blocked_rate FROM ({VERDICTS}) v GROUP BY run")
-def _(s, d):
-    v = view(s, d, "verdicts").withColumn("judge_class", F.when(F.col("task_id") == 1, F.when(F.col("reward_type") == "judge_error", "complete").otherwise(F.col("reward_type"))))
-    v = v.withColumn("format_error", F.col("task_id") == 3).withColumn("hallucinated", F.lit(False)).withColumn("invalid_json", F.lit(False)).withColumn("length", F.lit(1)).withColumn("blocked", F.col("task_id") == 2)
-    return scores.training_health(v).select("run", "format_error_rate", "environment_error_rate", "completed_rate", "disagreement_rate", "blocked_rate")
-
-
 # --- tables of environments --------------------------------------------------------------------------------------
 
-SUPP = "'Supplier-' || CAST(s_suppkey % 50 AS VARCHAR)"
+SUPP = "'Supplier-' || CAST(s_suppkey // 2 AS VARCHAR)"
 
 
 def supplier_tasks(s, d):
     t = table(s, d, "supplier")
-    name = F.concat(F.lit("Supplier-"), (F.col("s_suppkey") % 50).cast("string"))
+    name = F.concat(F.lit("Supplier-"), F.expr("s_suppkey div 2").cast("string"))
     return t.select(name.alias("scenario"), F.slice(F.array("s_name", F.concat("s_name", F.lit("-b")), F.lit("same"), F.lit("same")), F.lit(1), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("tasks"), F.col("s_suppkey").alias("pos"))
 
 
-LAST = f"SELECT s_suppkey AS pos, 'supplier_' || CAST(s_suppkey % 50 AS VARCHAR) AS scenario, list_slice([s_name, s_name || '-b', 'same', 'same'], 1, s_suppkey % 4 + 1) AS tasks FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey % 50 ORDER BY s_suppkey DESC) = 1"
+LAST = f"SELECT s_suppkey AS pos, 'supplier_' || CAST(s_suppkey // 2 AS VARCHAR) AS scenario, list_slice([s_name, s_name || '-b', 'same', 'same'], 1, s_suppkey % 4 + 1) AS tasks FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey // 2 ORDER BY s_suppkey DESC) = 1"
 LONG = f"SELECT scenario, i - 1 AS task_id, tasks[i] AS task FROM ({LAST}) l, unnest(range(1, len(tasks) + 1)) u(i)"
 
 
@@ -369,7 +364,8 @@ def _(s, d):
     return rows.duplicate_keys(table(s, d, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
-BUNDLE = f"SELECT scenario, CAST(task_id AS INT) AS task_id, task, scenario || '/task_' || CAST(task_id AS VARCHAR) AS task_key, scenario IN (SELECT 'supplier_' || CAST(s_suppkey % 50 AS VARCHAR) FROM supplier WHERE s_suppkey % 50 <> 3) AS has_env, scenario IN (SELECT 'supplier_' || CAST(s_suppkey % 50 AS VARCHAR) FROM supplier WHERE s_suppkey % 50 <> 4) AS has_db_schema, scenario <> 'supplier_5' AS has_sample, task_id <> 1 AS has_verifier FROM ({LONG}) x"
+BUNDLE = f"""SELECT scenario, CAST(task_id AS INT) AS task_id, task, scenario || '/task_' || CAST(task_id AS VARCHAR) AS task_key, no % 50 <> 3 AS has_env, no % 50 <> 4 AS has_db_schema, no % 50 <> 5 AS has_sample, task_id <> 1 AS has_verifier
+  FROM (SELECT *, CAST(substr(scenario, 10) AS INT) AS no FROM ({LONG}) x) y"""
 
 
 ORACLE["j2_missing_sources"] = ORACLE["j2_missing_sources"].replace("{bundle}", BUNDLE)
@@ -377,7 +373,7 @@ ORACLE["j2_missing_sources"] = ORACLE["j2_missing_sources"].replace("{bundle}",
 
 def bundle(s, d):
     t = supplier_tasks(s, d)
-    no = lambda k: t.where(f"pos % 50 <> {k}").select("scenario")
+    no = lambda k: t.where(f"(pos div 2) % 50 <> {k}").select("scenario")
     verifiers = t.select("scenario", F.explode(F.array(*map(F.lit, (0, 2, 3)))).alias("task_idx"))
     return rows.environment_bundle({"env": no(3), "db_schema": no(4), "sample": no(5)}, t, verifiers)
 
@@ -387,14 +383,18 @@ def _(s, d):
     return bundle(s, d)
 
 
-GATE = f"SELECT scenario, task_id, CASE WHEN NOT has_env THEN 'missing_env' WHEN NOT has_db_schema THEN 'missing_db_schema' WHEN NOT has_sample THEN 'missing_sample' WHEN NOT has_verifier THEN 'missing_verifier' WHEN task_id = 2 THEN 'bad_verifier_compile' WHEN task_id = 0 AND scenario LIKE '%7' THEN 'noop_complete' END AS reason FROM ({BUNDLE}) b"
+GATE = f"""SELECT scenario, task_id, CASE WHEN task_id = 3 AND scenario LIKE '%1' THEN 'known_bad_task' WHEN NOT has_env THEN 'missing_env' WHEN NOT has_db_schema THEN 'missing_db_schema' WHEN NOT has_sample THEN 'missing_sample' WHEN NOT has_verifier THEN 'missing_verifier'
+  WHEN task_id = 2 THEN 'bad_verifier_compile' WHEN scenario LIKE '%8' THEN 'db_reset_error' WHEN NOT coalesce(status = 'success', false) THEN 'noop_verifier_error' WHEN task_id = 0 AND scenario LIKE '%7' THEN 'noop_complete' END AS reason
+  FROM (SELECT *, CASE WHEN task_id <> 0 THEN 'success' WHEN scenario LIKE '%2' THEN 'error' WHEN scenario LIKE '%4' THEN 'timeout' WHEN scenario LIKE '%6' THEN NULL ELSE 'success' END AS status FROM ({BUNDLE}) b) c"""
 
 
 def gate(s, d):
     b = bundle(s, d)
     checks = b.select("scenario", "task_id", (F.col("task_id") != 2).alias("ok"))
-    noop = b.select("scenario", "task_id", F.lit(None).cast("string").alias("db_error"), F.lit("ok").alias("execution_status"), F.when((F.col("task_id") == 0) & F.col("scenario").endswith("7"), "complete").otherwise("others").alias("result"))
-    return rows.static_gate(b, checks, noop, b.where("false"))
+    ends = lambda x: F.col("scenario").endswith(x)
+    status = F.when(F.col("task_id") != 0, "success").when(ends("2"), "error").when(ends("4"), "timeout").when(ends("6"), None).otherwise("success")
+    noop = b.select("scenario", "task_id", F.when(ends("8"), "no such table").alias("db_error"), status.alias("execution_status"), F.when((F.col("task_id") == 0) & ends("7"), "complete").otherwise("others").alias("result"))
+    return rows.static_gate(b, checks, noop, b.where((F.col("task_id") == 3) & ends("1")))
 
 
 @query("c3_static_gate", GATE)
@@ -505,12 +505,6 @@ def _(s, d):
     return cleaning.with_calls(trajectories(s, d)).select("task_id", cleaning.final_answer(F.col("steps")).alias("final"), cleaning.last_message(F.col("steps")).alias("last"))
 
 
-@query("w8_history_rows", "SELECT conv_id, turn, min(CASE WHEN role = 'user' THEN turn END) OVER w IS NOT NULL AS has_user, least(3, count(*) OVER w) AS n_history, text AS target FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY role = 'assistant'")
-def _(s, d):
-    h = training.history_rows(table(s, d, "conversations"))
-    return h.select("conv_id", "turn", F.col("first_user").isNotNull().alias("has_user"), F.size("history").cast("long").alias("n_history"), "target")
-
-
 @query("j16_without_help", f"SELECT run, scenario, task_id, full_tool AS tool, min(iteration) AS pos FROM (SELECT *, max(CASE WHEN iteration % 3 = 1 AND response NOT LIKE 'Error:%' THEN 1 ELSE 0 END) OVER (PARTITION BY run, scenario, task_id, full_tool ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS helped FROM ({CALLS}) c) x WHERE coalesce(helped, 0) = 0 AND iteration % 3 <> 1 GROUP BY ALL")
 def _(s, d):
     c = view(s, d, "calls").select("run", "scenario", "task_id", F.col("iteration").alias("pos"), F.when(F.col("iteration") % 3 == 1, "tool_help").otherwise("call_tool").alias("name"), F.col("full_tool").alias("tool"), F.lit(True).alias("has_args"), (~F.col("response").startswith("Error:")).alias("ok"))
@@ -534,12 +528,6 @@ def _(s, d):
     return selection.shortest_examples(examples(s, d), 2, 2).select("scenario", "task_id", "rank", "part")
 
 
-@query("t2_covering_examples")
-def _(s, d):
-    tools = view(s, d, "calls").withColumn("scenario", F.concat("run", F.lit("/"), "scenario")).groupBy("scenario", "task_id").agg(F.array_sort(F.collect_set("full_tool")).alias("tools_used"))
-    return selection.covering_examples(examples(s, d).join(tools, ["scenario", "task_id"]), 2, 2)
-
-
 @query("t3_win_loss", f"SELECT scenario, task_id, after = 'complete' AS win FROM (SELECT scenario, task_id, b.reward_type AS after FROM ({VERDICTS}) a JOIN ({VERDICTS}) b USING (scenario, task_id) WHERE a.run = 'run_0' AND b.run = 'run_1' AND a.reward_type <> b.reward_type) x QUALIFY row_number() OVER (PARTITION BY scenario, after = 'complete' ORDER BY task_id) <= CASE WHEN after = 'complete' THEN 2 ELSE 1 END")
 def _(s, d):
     v = view(s, d, "verdicts")
@@ -598,13 +586,6 @@ def _(s, d):
     return selection.manifest_totals(selection.skill_manifest(docs, docs, 400))
 
 
-@query("c7_responses", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'accepted' ELSE CASE WHEN o_orderkey % 3 + 1 < 3 THEN 'retry' ELSE 'given_up' END END AS state FROM orders")
-def _(s, d):
-    text = F.expr("""CASE o_orderkey % 4 WHEN 0 THEN 'ok {"tasks": ["a", "b"]}' WHEN 1 THEN '{"tasks": ["a"]}' WHEN 2 THEN '{"tasks": [' ELSE '' END""")
-    r = table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 3 + 1).alias("attempt"), text.alias("response"))
-    return selection.judged_responses(r, "tasks", n=2).select("o_orderkey", "state")
-
-
 @query("a10_suitability", "SELECT c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN 8 ELSE 5 END AS score, CASE WHEN c_custkey % 3 = 0 THEN 'high' ELSE 'medium' END AS level FROM customer")
 def _(s, d):
     c = table(s, d, "customer").select(F.col("c_custkey").alias("name"))
@@ -729,8 +710,12 @@ def _(s, d):
 
 
 def queries() -> dict:
+    from . import jobs  # noqa: F401  adds its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import jobs  # noqa: F401
+
     return dict(ORACLE)

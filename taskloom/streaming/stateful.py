@@ -19,6 +19,7 @@ SHARE = 0.995
 def keeps_state(spark: SparkSession) -> None:
     """The package on every executor, and the state store that timers need (a session that has set another keeps it)."""
     ship(spark)
+    spark.streams.active  # starts what coordinates state, for a batch query too
     name = "spark.sql.streaming.stateStore.providerClass"
     if "HDFSBackedStateStoreProvider" in spark.conf.get(name):
         spark.conf.set(name, STORE)

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from taskloom.functions import calls, code, jsonkit, text
+from taskloom.functions import calls, code, jsonkit, text, variants
 from taskloom.operators import diversity, rows, runtime, scores, selection, state
 from taskloom.sources import tables
 from taskloom.streaming import live
@@ -37,7 +37,7 @@ def test_error_class_needs_its_prefix(spark):
 
 def test_payload_flags(spark):
     texts = ["{}", '{"a": null}', '{"a": []}', '{"a": 0}', "3", "not found", "", "Error: x", '{"a": {"b": [1]}}', "[]", None]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", jsonkit.payload_flags("t").alias("f")).orderBy("i")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", variants.payload_flags("t").alias("f")).orderBy("i")
     got = [(r.f.json_like, r.f.non_empty) for r in df.collect()]
     assert got == [(True, False), (True, True), (True, False), (True, True), (False, False), (False, True), (False, False), (False, False), (True, True), (True, False), (False, False)]
 
@@ -74,7 +74,7 @@ def test_label_stays_for_later_calls_of_a_step(spark):
     good = '{"tool_name": "mcp_tool_set_x", "arguments": "{}"}'
     data = [("r", "s", 0, 1, 0, "call_tool", good, "Error: invalid"), ("r", "s", 0, 1, 1, "call_tool", bad, "Error: invalid"), ("r", "s", 0, 1, 2, "call_tool", good, "Error: invalid"), ("r", "s", 0, 2, 0, "call_tool", good, "Error: invalid")]
     df = spark.createDataFrame(data, "run string, scenario string, task_id long, iteration long, call_pos int, name string, args string, response string")
-    got = runtime.classified_calls(df, jsonkit.payload_flags("response")).orderBy("iteration", "call_pos")
+    got = runtime.classified_calls(df, variants.payload_flags("response")).orderBy("iteration", "call_pos")
     assert [r.label for r in got.collect()] == ["validation", "agent_argument_parse_error", "agent_argument_parse_error", "validation"]
 
 
@@ -239,7 +239,7 @@ def run_frames(spark):
 
 def test_allowlist_job(spark, tmp_path):
     verdicts, calls_, source = run_frames(spark)
-    flags = jsonkit.payload_flags("response")
+    flags = variants.payload_flags("response")
     got = runtime.allowlist_job(verdicts, calls_, flags, source, str(tmp_path / "lenient"))
     assert {r.task_id: r.decision for r in got["decisions"].collect()} == {1: "keep", 2: "reject", 3: "reject"}
     assert {(r.task_id, r.decision) for r in got["allowlist"].collect()} == {(1, "keep"), (4, "missing_evidence")}
@@ -254,7 +254,7 @@ def test_allowlist_job(spark, tmp_path):
 
 def test_strict_needs_complete_runs(spark):
     verdicts, calls_, _ = run_frames(spark)
-    known = runtime.classified_calls(calls_, jsonkit.payload_flags("response"))
+    known = runtime.classified_calls(calls_, variants.payload_flags("response"))
     args = runtime.run_rows(verdicts, runtime.run_counters(known)), runtime.error_signatures(known)
     assert {r.decision for r in runtime.strict_decisions(*args, expected_runs=3).where("task_id <> 1").collect()} == {"review"}
 
