@@ -93,7 +93,8 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
 
 def anchors(h: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """For each window (its first word, by order): its hash, and the name and first word of the symbol it is sent
-    under: of those it alone decides the longest, by hash among equals; without any, the window itself."""
+    under: of those it alone decides the longest, by hash among equals; without any, the window itself, named by another
+    hash of its words, so that its name tells more than its hash does."""
     w = window_hashes(h, size)
     n = len(w)
     valid = np.zeros(n, bool)
@@ -109,7 +110,11 @@ def anchors(h: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, ...
     owner[np.repeat(low[use], count) + ragged(count)] = np.repeat(use, count)  # the last, highest, stays
     own = owner >= 0
     at = np.flatnonzero(valid)
-    return at, w[at], np.where(own, name[owner], w)[at], np.where(own, s[owner], np.arange(n))[at]
+    key = np.where(own, name[owner], np.uint64(0))
+    alone = at[~own[at]]
+    fresh = mix(h[alone[:, None] + np.arange(size)] ^ np.uint64(0x8CB92BA72F3D8DD7)) * powers(np.uint64(0x94D049BB133111EB), size)
+    key[alone] = mix(fresh.sum(1, dtype=np.uint64))
+    return at, w[at], key[at], np.where(own, s[owner], np.arange(n))[at]
 
 
 def _rows(kind: int, key: np.ndarray, doc: np.ndarray, at: np.ndarray, payload: pa.Array) -> pa.RecordBatch:
@@ -383,8 +388,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     Exchanges: symbols with 6 bytes a window, and compressed texts by key; windows of frequent symbols have one more.
     Equal windows of a slice are told apart before the first, so that a passage in a third of all documents adds one
     row a slice. A symbol in a third of all documents adds one row a slice too; its windows meet by themselves, and
-    are read in order of their documents, so that only the first of a window is held. Windows are equal if symbol,
-    place of the symbol and 48 bits of their own hash are: 112 bits stand for the comparison of the words.
+    are read in order of their documents, so that only the first of a window is held. Words are not compared: windows
+    are equal if the name of their symbol (64 bits of hash, over the symbol's words), its place in them and 48 bits of a
+    hash over all their words are. So 48 bits tell windows with one symbol in one place apart, and two independent hashes,
+    112 bits, windows without a symbol.
     """
     if not 1 <= window <= 32:
         raise ValueError("window must be 1 to 32")
