@@ -112,14 +112,16 @@ def _templates(texts: list[tuple[str, str]], least: float) -> list[tuple[str, li
 
 
 def license_scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS + NOTICES, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_licenses, licenses, license, dice, start): the licences of which each text holds a passage, and the best.
+    """(key, n_licenses, licenses, license, dice, start): the licences of which each text holds a passage of its own, and
+    the best.
 
     Texts are lower-cased and all but letters and digits is one space, so line breaks mean nothing. A passage is as many
     word bigrams as the template has, from one of the template's on, and at most to the text's end; its set of bigrams P
     and the template's T are alike by 2 |P and T| / (|P| + |T|). A template is only tried on texts that share as many
-    bigrams with it as any passage of `least` must. licenses are the names found, in order, joined by commas; license
-    is the likest template's, start its passage's first word (0-based); ties go to the earlier template, then the
-    earlier passage. Null and empty texts, and texts without a licence, have n_licenses 0, "" and nulls. Whole texts
+    bigrams with it as any passage of `least` must. Templates of one family are alike, so of passages that share a bigram
+    only the likest counts, and the next ones only where they share none with those before; ties go to the earlier
+    template, then the earlier passage. licenses are the names of those passages, in order, joined by commas; license is
+    the likest one's, start its first word (0-based). Null and empty texts, and texts without a licence, have n_licenses 0, "" and nulls. Whole texts
     are read, however long; repeated rows each have a row; other columns are not read. No shuffle, no Python.
     """
     templates = _templates(texts, least)
@@ -133,15 +135,21 @@ def license_scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS + NOTICES
     def passages(g: Column, t: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda k: F.array_contains(t["g"], F.get(g, k)))
         dice = lambda p: F.lit(2.0) * F.size(F.array_intersect(p, t["g"])) / (F.size(F.array_distinct(p)) + F.size(t["g"]))
-        return F.array_max(F.transform(starts, lambda k: F.struct(dice(F.slice(g, k + 1, t["n"])).alias("dice"), t["no"].alias("no"), (-k).alias("at"), t["name"].alias("name"))))
+        made = F.transform(starts, lambda k: F.struct((-dice(F.slice(g, k + 1, t["n"]))).alias("dice"), (-t["no"]).alias("no"), k.alias("at"), (k + t["n"]).alias("end"), t["name"].alias("name")))
+        return F.filter(made, lambda m: m["dice"] <= -least)
+
+    def apart(kept: Column, m: Column) -> Column:
+        meets = F.exists(kept, lambda x: (x["at"] < m["end"]) & (m["at"] < x["end"]))
+        return F.when(meets, kept).otherwise(F.array_append(kept, m))
 
     def found(g: Column) -> Column:
         near = let(F.array_intersect(g, union), lambda hits: F.filter(known, lambda t: F.size(F.array_intersect(hits, t["g"])) >= t["need"]))
-        return F.filter(F.transform(near, lambda t: passages(g, t)), lambda m: m["dice"] >= least)
+        all_ = F.array_sort(F.flatten(F.transform(near, lambda t: passages(g, t))))  # the likest first
+        return F.aggregate(all_, F.array().cast("array<struct<dice:double,no:int,at:int,end:int,name:string>>"), apart)
 
-    out = docs.select(F.col(key), let(let(words, two), found).alias("_found")).withColumn("_best", F.array_max("_found"))
+    out = docs.select(F.col(key), let(let(words, two), found).alias("_found")).withColumn("_best", F.get("_found", F.lit(0)))
     names = F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["name"])))
-    return out.select(key, F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.col("_best.name").alias("license"), F.col("_best.dice").alias("dice"), (-F.col("_best.at")).cast("long").alias("start"))
+    return out.select(key, F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.col("_best.name").alias("license"), (-F.col("_best.dice")).alias("dice"), F.col("_best.at").cast("long").alias("start"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +164,10 @@ def oracle() -> str:
 WITH t(no, name, tg, n, need) AS (VALUES {rows}),
 w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
 g AS (SELECT doc_id, [w[k] || ' ' || w[k + 1] for k in range(1, len(w))] AS g FROM w),
-near AS (SELECT doc_id, g, t.* FROM g, t WHERE len(list_intersect(list_distinct(g), tg)) >= need),
-p AS (SELECT doc_id, no, name, tg, s - 1 AS start, g[s:s + n - 1] AS p FROM near, unnest([k for k in range(1, len(g) + 1) if list_contains(tg, g[k])]) u(s)),
-m AS (SELECT doc_id, no, name, start, CAST(2.0 AS DOUBLE) * len(list_intersect(list_distinct(p), tg)) / (len(list_distinct(p)) + len(tg)) AS dice FROM p),
-hit AS (SELECT * FROM m WHERE dice >= {LEAST}),
-best AS (SELECT doc_id, count(DISTINCT name) AS k, string_agg(DISTINCT name, ',' ORDER BY name) AS names, arg_max(struct_pack(name := name, dice := dice, start := start), struct_pack(d := dice, no := -no, s := -start)) AS b FROM hit GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_licenses, coalesce(names, '') AS licenses, b.name AS license, b.dice AS dice, CAST(b.start AS BIGINT) AS start FROM documents d LEFT JOIN best USING (doc_id)
+near AS (SELECT doc_id, g, t.no, t.name, t.tg, t.n FROM g, t WHERE len(list_intersect(list_distinct(g), tg)) >= need),
+p AS (SELECT doc_id, no, name, tg, n, s - 1 AS start, g[s:s + n - 1] AS p FROM near, unnest([k for k in range(1, len(g) + 1) if list_contains(tg, g[k])]) u(s)),
+m AS (SELECT doc_id, no, name, start, start + n AS stop, CAST(2.0 AS DOUBLE) * len(list_intersect(list_distinct(p), tg)) / (len(list_distinct(p)) + len(tg)) AS dice FROM p),
+hit AS (SELECT doc_id, list(struct_pack(dice := dice, start := start, stop := stop, name := name) ORDER BY dice DESC, no, start) AS h FROM m WHERE dice >= {LEAST} GROUP BY doc_id),
+kept AS (SELECT doc_id, list_reduce([[x] for x in h], lambda a, x: CASE WHEN len([y for y in a if y.start < x[1].stop AND x[1].start < y.stop]) > 0 THEN a ELSE list_concat(a, x) END) AS k FROM hit)
+SELECT d.doc_id, CAST(coalesce(len(list_distinct([x.name for x in k])), 0) AS BIGINT) AS n_licenses, coalesce(array_to_string(list_sort(list_distinct([x.name for x in k])), ','), '') AS licenses, k[1].name AS license, k[1].dice AS dice, CAST(k[1].start AS BIGINT) AS start FROM documents d LEFT JOIN kept USING (doc_id)
 """
