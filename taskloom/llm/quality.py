@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, ready
+from .common import load, ready, saved
 from .toxicity import held_out
 from .words import hash_spans, mix, text_slices, word_places
 
-#: Labelled rows (of either label) and unlabelled rows the classifiers are fitted on.
-LABELLED, POOL = 4000, 12_000
+#: Labelled rows (of either label) that the classifiers are fitted on.
+LABELLED = 4000
+#: Rounds; chance from which a view is sure; rows a view labels for the other in a round, of all that have no label.
 ROUNDS, CONFIDENT, TAKEN = 5, 0.95, 200
 SLICE = 2 << 20
 #: Rows looked at together, at most.
@@ -101,25 +102,38 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, t, m in _featured(batches):
         packed = [pa.array([x.tobytes() for x in v.astype(np.float32)], pa.binary()) for v in (t, m)]
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *packed], names=["doc_id", "y", "t", "m"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *packed], names=["doc_id", "mark", "t", "m"])
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(len(col), -1).astype(np.float64)
+
+
+def _chance(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(z / 2))
 
 
 class View:
-    """Logistic regression on standardised features, those of the figures squared too; fitted by Newton's method with a
-    ridge, stronger for the features that are no figures."""
+    """Logistic regression on standardised features, those of the figures squared too, with a ridge, stronger for the
+    features that are no figures. Newton's method with steps halved until the loss falls, so that it can't diverge."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         self.mean, self.dev = x.mean(0), x.std(0) + 1e-6
         f = self._wide(x)
         self.w, wide = np.zeros(f.shape[1]), x.shape[1]
         self.scale = (1.0, 0.0)
-        ridge = np.diag(np.where((np.arange(f.shape[1]) > FIGURES) & (np.arange(f.shape[1]) <= wide), RIDGE, 0.5))
-        for _ in range(25):
-            q = 1 / (1 + np.exp(-f @ self.w))
-            step = np.linalg.solve((f * (weight * q * (1 - q))[:, None]).T @ f + ridge, f.T @ (weight * (q - y)) + ridge @ self.w)
-            self.w -= step
-            if np.abs(step).max() < 1e-4:
+        ridge = np.where((np.arange(f.shape[1]) > FIGURES) & (np.arange(f.shape[1]) <= wide), RIDGE, 0.5)
+        loss = lambda w: weight @ (np.logaddexp(0, f @ w) - y * (f @ w)) + ridge @ w**2 / 2
+        for _ in range(100):
+            q = _chance(f @ self.w)
+            self.slope = f.T @ (weight * (q - y)) + ridge * self.w
+            if np.abs(self.slope).max() < 1e-6 * weight.sum():
                 break
+            step = np.linalg.solve((f * (weight * q * (1 - q))[:, None]).T @ f + np.diag(ridge), self.slope)
+            size, was = 1.0, loss(self.w)
+            while loss(self.w - size * step) > was - 1e-4 * size * (self.slope @ step) and size > 1e-9:
+                size /= 2
+            self.w = self.w - size * step
 
     def _wide(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.dev, -6, 6)
@@ -129,62 +143,108 @@ class View:
         return np.clip(self._wide(x) @ self.w, -30, 30)
 
     def chance(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale[0] * self.logit(x) + self.scale[1])))
+        return _chance(self.scale[0] * self.logit(x) + self.scale[1])
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Platt's scaling on rows the view was not fitted on."""
         s, w = np.stack([self.logit(x), np.ones(len(x))], 1), np.array([1.0, 0.0])
         t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         for _ in range(30):
-            q = 1 / (1 + np.exp(-s @ w))
+            q = _chance(s @ w)
             w = w - np.clip(np.linalg.solve((s * (q * (1 - q))[:, None]).T @ s + 1e-2 * np.eye(2), s.T @ (q - t) + 1e-2 * (w - [1, 0])), -1, 1)
         self.scale = (max(float(w[0]), 1e-3), float(w[1]))
 
 
-def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT, taken: int = TAKEN, seed: int = 5) -> tuple[View, View] | None:
-    """The two views; y is 1, 0, or -1 where there is no label. None unless both labels occur.
+#: (view that is sure, label, key of the row, its features in either view)
+Taught = tuple[int, int, object, np.ndarray, np.ndarray]
+Teach = Callable[[list[View], tuple[int, int]], list[Taught]]
+
+
+def learned(t: np.ndarray, m: np.ndarray, y: np.ndarray, teach: Teach, rounds: int = ROUNDS, taken: int = TAKEN, seed: int = 5) -> tuple[View, View] | None:
+    """The two views, from labelled rows (y is 1 or 0) and rounds of co-training; None unless both labels occur.
 
-    In each round a view labels, for the other, the unlabelled rows of which it is surest (at least `confident`): up to
-    `taken` of each label in the share in which the labels occur. A fifth of the labelled rows calibrates the views.
+    teach(views, (of label 1, of label 0)) gives, for each view and label, the unlabelled rows of which the view is surest;
+    the other view learns them, each once, with half the weight of a labelled row. Of either label there are up to `taken`
+    in the share in which labels occur. A fifth of the labelled rows calibrates the views.
     """
-    known = np.flatnonzero(y >= 0)
-    if len(set(y[known].tolist())) < 2:
+    if len(set(y.tolist())) < 2:
         return None
     hold = np.zeros(len(y), bool)
     for c in (0, 1):
-        own = known[y[known] == c]
+        own = np.flatnonzero(y == c)
         hold[np.random.default_rng(seed + c).permutation(own)[: len(own) // 5]] = True
-    lab = known[~hold[known]]
-    share = np.clip(y[lab].mean(), 0.05, 0.95)
-    given: list[dict[int, int]] = [{}, {}]
+    lab = ~hold
+    share = float(np.clip(y[lab].mean(), 0.05, 0.95))
+    most = max(1, int(taken * share)), max(1, int(taken * (1 - share)))
+    given: list[dict[object, tuple[int, np.ndarray]]] = [{}, {}]
     views: list[View] = []
-    for _ in range(rounds + 1):
+    for k in range(rounds + 1):
         views = []
         for x, own in zip((t, m), given):
-            rows = np.concatenate([lab, np.array(sorted(own), int)]).astype(int)
-            labels = np.concatenate([y[lab], [own[i] for i in sorted(own)]])
-            weight = np.concatenate([np.ones(len(lab)), np.full(len(own), 0.5)])
-            views.append(View(x[rows], labels, weight))
-        free = np.flatnonzero(y < 0)
-        if not len(free):
-            break
-        for v, x, other in ((views[0], t, given[1]), (views[1], m, given[0])):
-            p = 1 / (1 + np.exp(-v.logit(x[free])))
-            for label, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(taken * part))]
-                other |= {int(free[i]): label for i in best if sure[i] >= confident and int(free[i]) not in other}
-    rows = np.flatnonzero(hold) if hold.any() else lab
+            rows = np.concatenate([x[lab], *(f[None] for _, f in own.values())])
+            labels = np.concatenate([y[lab], [label for label, _ in own.values()]])
+            views.append(View(rows, labels, np.where(np.arange(len(rows)) < lab.sum(), 1.0, 0.5)))
+        if k < rounds:
+            for view, label, key, ft, fm in teach(views, most):
+                given[1 - view].setdefault(key, (label, fm if view == 0 else ft))
+    rows = hold if hold.any() else lab
     for v, x in zip(views, (t, m)):
         v.calibrate(x[rows], y[rows])
     return views[0], views[1]
 
 
+def _surest(batches: Iterator[pa.RecordBatch], held, most: tuple[int, int], confident: float) -> Iterator[pa.RecordBatch]:
+    """(doc_id, mark, t, m) -> of the task's rows, for each view and label, those of which the view is surest."""
+    best: dict[tuple[int, int], tuple[np.ndarray, pa.Table]] = {}
+    least = np.log(confident / (1 - confident))
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        mark = batch.column(1).to_numpy()
+        for view, c in ((0, 2), (1, 3)):
+            z = held.value[view].logit(_matrix(batch.column(c))) if len(batch) else np.zeros(0)
+            for label, sure in ((1, z), (0, -z)):
+                k = most[1 - label]
+                at = np.flatnonzero(sure >= least)
+                at = at[np.lexsort((mark[at], -sure[at]))][:k]
+                was = best.get((view, label))
+                s, t = sure[at], rows.take(pa.array(at))
+                if was is not None:
+                    s, t = np.concatenate([was[0], s]), pa.concat_tables([was[1], t])
+                    at = np.lexsort((t.column("mark").to_numpy(), -s))[:k]
+                    s, t = s[at], t.take(pa.array(at))
+                best[view, label] = s, t
+    for (view, label), (s, t) in best.items():
+        t = t.combine_chunks()
+        n = len(t)
+        for r in t.to_batches():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, view, np.int32)), pa.array(np.full(n, label, np.int32)), pa.array(s), *r.columns], names=["view", "label", "sure", "doc_id", "mark", "t", "m"])
+
+
+def _teacher(free: DataFrame, confident: float) -> Teach:
+    """Looks at all rows of `free` in each round; what comes to the driver is the rows that are taken."""
+    kind = free.schema["doc_id"].dataType.simpleString()
+    schema = f"view int, label int, sure double, doc_id {kind}, mark long, t binary, m binary"
+    wide = lambda b: np.frombuffer(b, np.float32).astype(np.float64)
+
+    def teach(views: list[View], most: tuple[int, int]) -> list[Taught]:
+        held = free.sparkSession.sparkContext.broadcast(views)  # two vectors of weights
+        found = free.select("doc_id", "mark", "t", "m").mapInArrow(lambda it: _surest(it, held, most, confident), schema)
+        order = [F.col("sure").desc(), F.col("mark"), F.col("doc_id").asc_nulls_first()]
+        place = F.row_number().over(Window.partitionBy("view", "label").orderBy(*order))
+        rows = found.withColumn("_place", place).where(F.col("_place") <= F.when(F.col("label") == 1, most[0]).otherwise(most[1]))
+        return [(r["view"], r["label"], (r["doc_id"], r["mark"]), wide(r["t"]), wide(r["m"])) for r in sorted(rows.collect(), key=lambda r: (r["view"], -r["label"], r["_place"]))]
+
+    return teach
+
+
 def _scored(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """(doc_id, t, m) -> scores."""
     model = held.value
-    for rows, t, m in _featured(batches):
-        a, b = (model[0].chance(t), model[1].chance(m)) if model else (np.full(len(t), 0.5), np.full(len(t), 0.5))
+    for rows in batches:
+        n = len(rows)
+        a, b = (model[0].chance(_matrix(rows.column(1))), model[1].chance(_matrix(rows.column(2)))) if model and n else (np.full(n, 0.5), np.full(n, 0.5))
         logit = lambda p: np.log(np.clip(p, 1e-9, 1 - 1e-9) / np.clip(1 - p, 1e-9, 1))
-        both = 1 / (1 + np.exp(-(logit(a) + logit(b)) / 2))
+        both = _chance((logit(a) + logit(b)) / 2)
         yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(np.asarray(x, float)) for x in (both, a, b))], names=["doc_id", "score", "text_score", "page_score"])
 
 
@@ -193,22 +253,42 @@ def _rows(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select("doc_id", *more, F.coalesce(F.col("text"), F.lit("")).alias("_text"), or_null("source"), or_null("lang"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column) -> tuple[View, View] | None:
-    """Fits the views on the LABELLED usable rows and POOL unlabelled rows of the least hash of doc_id; only their
-    features reach the driver."""
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, t, m) of each row: a hash of the row, and its features in the views of the words and of the page."""
     ready(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = _rows(docs)
+    marked = rows.select("doc_id", F.xxhash64("_text", "_source", "_lang", F.col("_source").isNull(), F.col("_lang").isNull()).alias("mark"), "_text", "_source", "_lang")
+    return marked.mapInArrow(_views, f"doc_id {kind}, mark long, t binary, m binary")
+
+
+def with_labels(found: DataFrame, labels: DataFrame, label: str, usable: Column) -> DataFrame:
+    """Features with y: the greatest usable label of the row's doc_id, null where there is none."""
     known = labels.where(usable & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    ids = docs.select("doc_id").distinct().join(known, "doc_id", "left")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = ids.where("y is not null").orderBy(*order).limit(LABELLED).union(ids.where("y is null").orderBy(*order).limit(POOL))
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, y int"))  # LABELLED + POOL ids at most
-    rows = _rows(docs).join(chosen, "doc_id").select("doc_id", F.coalesce("y", F.lit(-1)).alias("y"), "_text", "_source", "_lang")
-    found = {r["doc_id"]: r for r in rows.mapInArrow(_views, "doc_id long, y int, t binary, m binary").collect()}
-    found = [found[k] for k in sorted(found)]
-    if not found:
+    return found.join(known, "doc_id", "left")
+
+
+def fitted(found: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT, taken: int = TAKEN) -> tuple[View, View] | None:
+    """The views, from rows of with_labels() that are saved: at most `labelled` labelled ones, those of the least hash of
+    doc_id, and in each round those of all others of which the views are surest. Rows of one doc_id are rows of their own,
+    in the order of their hashes, so the order in which rows arrive tells nothing. Only features of labelled rows and of
+    those taken reach the driver."""
+    some = found.where("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(labelled).collect()
+    if not some:
         return None
-    t, m = (np.stack([np.frombuffer(r[c], np.float32).astype(np.float64) for r in found]) for c in ("t", "m"))
-    return cotrain(t, m, np.array([r["y"] for r in found]))
+    t, m = (np.stack([np.frombuffer(r[c], np.float32).astype(np.float64) for r in some]) for c in ("t", "m"))
+    return learned(t, m, np.array([r["y"] for r in some]), _teacher(found.where("y is null"), confident), rounds, taken)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, **settings) -> tuple[View, View] | None:
+    return fitted(saved(with_labels(features(docs), labels, label, usable)), **settings)
+
+
+def scores(found: DataFrame, model: tuple[View, View] | None) -> DataFrame:
+    """(doc_id, score, text_score, page_score) of each row of features()."""
+    held = found.sparkSession.sparkContext.broadcast(model)  # two vectors of weights
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return found.select("doc_id", "t", "m").mapInArrow(lambda it: _scored(it, held), f"doc_id {kind}, score double, text_score double, page_score double")
 
 
 def quality(docs: DataFrame, model: tuple[View, View] | None) -> DataFrame:
@@ -218,13 +298,9 @@ def quality(docs: DataFrame, model: tuple[View, View] | None) -> DataFrame:
     their log-odds. The whole text is read. A null text is empty, an absent or null source or language a value of its
     own; repeated rows score alike; without a model all are 0.5. No shuffle; no rows give no rows.
     """
-    ready(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of weights
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _rows(docs).mapInArrow(lambda it: _scored(it, held), f"doc_id {kind}, score double, text_score double, page_score double")
+    return scores(features(docs), model)
 
 
 def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    model = train(docs, load(spark, sf_dir, "labels"), "quality", ~held_out())
-    return quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "text_score", "page_score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    found = saved(with_labels(features(load(spark, sf_dir, "documents")), load(spark, sf_dir, "labels"), "quality", ~held_out()))
+    return scores(found, fitted(found)).select("doc_id", held_out().alias("held_out"), "score", "text_score", "page_score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

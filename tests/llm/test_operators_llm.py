@@ -604,17 +604,6 @@ def test_gradients():
         p[name][at] = was
 
 
-def test_quality_cotraining():
-    rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 1500)
-    t, m = rng.normal(size=(1500, 3)) + y[:, None] * 2, rng.normal(size=(1500, 2)) - y[:, None] * 2
-    seen = np.where(np.arange(1500) < 60, y, -1)
-    a, b = quality.cotrain(t, m, seen)
-    right = lambda v, x: ((v.chance(x[60:]) >= 0.5) == y[60:]).mean()
-    assert right(a, t) > 0.94 and right(b, m) > 0.9  # 0.96 and 0.92 are the best there can be
-    assert quality.cotrain(t, m, np.full(1500, -1)) is None
-
-
 def plain_text_view(text):
     """The text view of one text, word by word."""
     w = text.encode().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)).split(b" ")
