@@ -265,3 +265,11 @@ def _(s, d):
     build.build_diverse(v.where("id % 4 = 0"), lambda k: batch(k) if k < 1 else None, path, 10**9, rules)  # stops after a batch
     build.build_diverse(v.where("id % 4 = 0"), batch, path, 10**9, rules)  # and goes on
     return read_committed(s, path).select("id", F.lower(F.trim("name")).alias("name"))
+
+
+@query("c10_rollout_rows", """WITH m AS (SELECT *, role = 'assistant' AND (conv_id + turn) % 3 <> 0 AS called FROM conversations),
+  x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, min(turn) FILTER (called) OVER (PARTITION BY conv_id) AS stop FROM m)
+  SELECT conv_id AS task_id, CAST(pos AS INT) AS pos, CASE WHEN turn = stop THEN 'tools_not_listed' END AS violation, CASE WHEN turn = stop THEN -1.0 WHEN conv_id % 5 <> 0 THEN 1.0 ELSE 0.0 END AS reward FROM x WHERE role = 'assistant' AND (stop IS NULL OR turn <= stop)""")
+def _(s, d):
+    t = cleaning.with_calls(trajectories(s, d))
+    return training.rollout_rows(t, trajectory_verdicts(s, d), think=False).select("task_id", "pos", "violation", "reward")

@@ -37,16 +37,20 @@ def live_scores(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("run", "mode").agg(n.alias("verified"), done.alias("complete"), (done / n).alias("score"))
 
 
-def throughput(verdicts: DataFrame, size: str = "10 minutes", slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Verdicts by run and time bucket; what comes later than `late` is dropped."""
+def throughput(verdicts: DataFrame, size: str = "10 minutes", slide: str | None = None, late: str | None = None) -> DataFrame:
+    """Verdicts by run and time bucket; what comes later than the watermark is dropped. late: the watermark of a stream that
+    has none (verdict_stream() has one, and Spark allows no second)."""
     bucket = F.window("landed", size, slide) if slide else F.window("landed", size)
-    return verdicts.withWatermark("landed", late).groupBy("run", bucket.alias("bucket")).agg(F.count("*").alias("n")).select("run", F.col("bucket.start").alias("start"), "n")
+    rows = verdicts.withWatermark("landed", late) if late else verdicts
+    return rows.groupBy("run", bucket.alias("bucket")).agg(F.count("*").alias("n")).select("run", F.col("bucket.start").alias("start"), "n")
 
 
-def stalls(verdicts: DataFrame, gap: str = "3600 seconds", late: str = "1 hour") -> DataFrame:
+def stalls(verdicts: DataFrame, gap: str = "3600 seconds", late: str | None = None) -> DataFrame:
     """Sessions of each run that ended because no verdict came for `gap`: its last verdict and when it counts as
-    stalled. A session comes out once, when the watermark has passed it."""
-    w = verdicts.withWatermark("landed", late).groupBy("run", F.session_window("landed", gap).alias("s")).agg(F.count("*").alias("n"), F.max("landed").alias("last"))
+    stalled. For what has landed already; a stream gives a session out only when other files have moved the watermark
+    past it, so stall_flags() watches a live one."""
+    rows = verdicts.withWatermark("landed", late) if late else verdicts
+    w = rows.groupBy("run", F.session_window("landed", gap).alias("s")).agg(F.count("*").alias("n"), F.max("landed").alias("last"))
     return w.select("run", "last", F.col("s.end").alias("stalled_at"), "n")
 
 

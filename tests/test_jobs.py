@@ -231,3 +231,37 @@ def test_strict_skills(spark):
     good = "\n".join(text.SKILL_SECTIONS) + "\nConfidence: high"
     df = spark.createDataFrame([(good,), (good + " Schemas, an example and ``` logs",)], "c string").select(text.skill_warnings(F.col("c"), 90, True).alias("w"))
     assert [x.w for x in df.collect()] == [[], [r"banned_terms:\bexamples?\b", r"banned_terms:\blogs?\b", r"banned_terms:\bschemas?\b", "code_fence"]]
+
+
+STEPS = "run string, scenario string, task_id long, steps array<struct<role string, content string, calls array<string>, response string>>, tools array<string>"
+
+
+def call(name, **args):
+    return json.dumps({"name": name, "arguments": args})
+
+
+def test_a_rollout_ends_with_its_first_violation(spark):
+    thought, lists = "<think>so</think> ok", call("list_tools")
+    use = lambda tool, inner="{}": call("call_tool", tool_name=tool, arguments=inner)
+    say = lambda calls=(), text=thought, response=None: ("assistant", text, list(calls), response)
+    head = [("system", "S", [], None), ("user", "U", [], None)]
+    cases = {
+        0: ([say([lists], response="tools"), say([use("a")], response="r"), say(text=thought + "done")], None, None),
+        1: ([say([use("a")])], 2, "tools_not_listed"),
+        2: ([say([lists]), say([lists])], 3, "list_tools_again"),
+        3: ([say([lists, lists])], 2, "list_tools_again"),
+        4: ([say([lists]), say([use("zz")]), say([use("zz")])], 3, "unknown_tool"),
+        5: ([say([lists]), say([use("a", "{bad")])], 3, "bad_arguments"),
+        6: ([say([lists]), say(text="<think> </think> no")], 3, "no_thought"),
+        7: ([say([lists]), say([call("call_tool", tool_name=None)])], 3, "unknown_tool"),
+        8: ([("assistant", None, None, None)], 2, "no_thought"),
+    }
+    t = spark.createDataFrame([("r", "s", k, head + steps, ["a", "b"]) for k, (steps, _, _) in cases.items()], STEPS)
+    got = {x.task_id: (x.pos, x.violation) for x in training.format_violations(t).collect()}
+    assert got == {k: (at, why) for k, (_, at, why) in cases.items() if why}
+    v = spark.createDataFrame([("r", "s", k, "complete") for k in range(7)], "run string, scenario string, task_id long, reward_type string")
+    rows_ = {(x.task_id, x.pos): x for x in training.rollout_rows(t, v).collect()}
+    assert [rows_[0, p].reward for p in (2, 3, 4)] == [1.0, 1.0, 1.0] and rows_[0, 4].violation is None
+    assert [m.text for m in rows_[0, 4].first_exchange] == [thought, "tools"] and [[m.text for m in turn] for turn in rows_[0, 4].history] == [[thought, "r"]]
+    assert {p: r.reward for (k, p), r in rows_.items() if k == 4} == {2: 1.0, 3: -1.0}  # what comes after is left out
+    assert rows_[7, 2].reward is None and rows_[7, 3].reward == -1.0

@@ -198,3 +198,24 @@ def test_cleaning_job_writes_buckets_and_totals(spark, place, tmp_path):
     assert sorted(p.name for p in (tmp_path / "job/rows").iterdir() if p.is_dir()) == ["bucket=kept", "bucket=rejected"]
     empty = cleaning.cleaning_job(run_tree(spark, str(tmp_path / "none")), str(tmp_path / "job2"))
     assert empty["rows"].count() == 0 and empty["stats"].first().matched == 0
+
+
+def test_throughput_leaves_out_what_is_too_late(spark, place):
+    t0 = 1_700_000_000
+
+    def turn(stream, mode):
+        q = stream.writeStream.format("parquet").option("path", place[1]).option("checkpointLocation", place[2]).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    rates = lambda: live.throughput(live.verdict_stream(spark, str(place[0]), "10 minutes"), "10 minutes")
+    for i in range(2):
+        verdict(place[0], "r", i, at=t0 + i)
+    verdict(place[0], "r", 0, at=t0 + 5, folder="copy")  # the same task again
+    turn(rates(), "append")
+    verdict(place[0], "r", 7, at=t0 + 20_000)
+    turn(rates(), "append")
+    verdict(place[0], "r", 8, at=t0 + 9)  # far behind the watermark
+    verdict(place[0], "r", 9, at=t0 + 40_000)
+    turn(rates(), "append")
+    rows = spark.read.parquet(place[1]).orderBy("start").collect()
+    assert [(r.run, r.n) for r in rows] == [("r", 2), ("r", 1)]
