@@ -17,11 +17,11 @@ def _row_mark(docs: DataFrame) -> Column:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose worst window scores below toxicity.CUT; the network learns from the labelled documents of sf_dir.
+    """Documents that score below toxicity.CUT; the network learns from the labelled documents of sf_dir.
 
     Null and empty texts stay. Every row is judged by its text alone, so copies go or stay together.
     """
-    model = toxicity.train(toxicity.sample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), "toxic", ~toxicity.held_out()))
+    model = toxicity.fitted(toxicity.sample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), "toxic", ~toxicity.held_out()))
     return toxicity.toxicity(docs, model, score="_toxic").where(F.col("_toxic") < toxicity.CUT).drop("_toxic")
 
 

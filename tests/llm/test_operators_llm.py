@@ -528,13 +528,24 @@ def test_toxicity_equals_one_window_after_another(spark):
 def test_toxicity_sample_leaves_held_out_rows(spark):
     docs = frame(spark, [(i, f"text {i}", "en", "a", 6) for i in range(60)] + [(60, None, None, None, 0), (61, "x" * 20_000, None, None, 0), (None, "n", None, None, 0)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(4, 1)], "doc_id long, toxic int")
-    got = toxicity.sample(docs, labels, "toxic", ~toxicity.held_out(), most=(9, 11))
+    got = [(r.text, r.y) for r in toxicity.sample(docs, labels, "toxic", ~toxicity.held_out(), most=(9, 11)).collect()]
     ids = [int(t.split()[1]) for t, _ in got]
     assert len(got) == 20 and sum(y for _, y in got) == 9 and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids)
     held = {r.doc_id: r.h for r in docs.select("doc_id", toxicity.held_out().alias("h")).collect() if r.doc_id is not None}
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in held.items())
 
 
+def test_toxicity_is_fitted_in_a_task_as_anywhere(spark):
+    rows = [(i // 2, f"kalo {'grubbish zorn' if i // 2 % 3 == 0 else 'mira sol'} w{i}", "en", "a", 0) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    some = [toxicity.sample(x, labels, "toxic", F.lit(True)) for x in (frame(spark, rows).repartition(5), frame(spark, rows[::-1]).coalesce(1))]
+    a, b = (sorted((r.doc_id, r.text, r.y) for r in x.collect()) for x in some)
+    assert a == b and len(a) == 120  # rows of one doc_id, in any order
+    got, want = toxicity.fitted(some[0]), toxicity.train([(t, y) for _, t, y in a])
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+    assert toxicity.fitted(some[0].where("y = 1")) is None and toxicity.fitted(some[0].where("false")) is None
+
+
 def test_drop_toxic_and_chain(spark, tmp_path):
     r, calm = random.Random(3), [f"{a}{b}" for a in "ka lo mi ren tu sol".split() for b in "da ve rin to pel".split()]
     rows, marks = [], []
