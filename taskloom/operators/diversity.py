@@ -80,7 +80,7 @@ def _packed(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, per_super: in
 def _pivots(vectors: DataFrame) -> np.ndarray:
     """A few vectors by a hash of their ids; any will do for right results."""
     some = vectors.select("embedding").orderBy(F.xxhash64("id"), "id").limit(4 * PIVOTS).collect()
-    u = _unit([r[0] for r in some]) if some else np.zeros((0, 1))
+    u = _unit([r[0] for r in some]) if some else np.zeros((0, 0))
     u = u[u.any(1)][:PIVOTS]
     return u if len(u) else np.eye(1, u.shape[1])
 
@@ -159,6 +159,8 @@ def nearest(candidates: DataFrame, pool: DataFrame, own: bool = True, save: Call
     """
     ship(candidates.sparkSession)
     pivots = _pivots(pool)
+    if not pivots.shape[1]:  # an empty pool
+        pivots = _pivots(candidates)
     a, b = blocks(candidates, pivots, WIDE, save), blocks(pool, pivots, WIDE, save)
     found = "id long, sim double, other long"
 
