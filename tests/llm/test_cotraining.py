@@ -59,6 +59,19 @@ def test_rounds_over_all_rows_equal_plain_ones(spark, parts):
     assert right(got[0], t) > 0.94 and right(got[1], m) > 0.9  # 0.96 and 0.92 are the best there can be
 
 
+def test_labelled_rows_are_those_of_the_least_hash(spark, monkeypatch):
+    y, t, m = two_views(4, 4000)
+    seen = {}
+    monkeypatch.setattr(quality, "learned", lambda t, m, y, *rest: seen.update(t=t, y=y))
+    found = table(spark, t, m, y)
+    quality.fitted(found, labelled=300)
+    order = [r.doc_id for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(300).collect()]
+    assert np.array_equal(seen["t"], t[order]) and np.array_equal(seen["y"], y[order])
+    hot = found.withColumn("doc_id", F.when(F.col("doc_id") < 3000, F.lit(7)).otherwise(F.col("doc_id")))
+    quality.fitted(hot, labelled=300)
+    assert len(seen["y"]) == 300
+
+
 def test_fits_converge_where_steps_would_overshoot():
     rng = np.random.default_rng(3)
     for scale in (1.0, 30.0):
