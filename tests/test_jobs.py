@@ -3,12 +3,14 @@
 import json
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from taskloom.functions import text
 from taskloom.operators import attempts, build, profile, rows, scores, selection, training
+from taskloom.plans import registry
 from taskloom.sources.committed import manifests, read_committed
 
 TRIED = "stage string, scenario string, attempt int, response string, error_ratio double, errors array<string>"
@@ -165,6 +167,18 @@ def test_a_build_goes_on_where_it_was_stopped(spark, tmp_path):
     assert check.first().n_rows == 20 + len(want) and kinds.agg(F.sum("n")).first()[0] == 20 + len(want)
 
 
+def test_a_build_of_copies_adds_nothing(spark, tmp_path):
+    """j13_c8_build over a table where every vector has copies in the existing pool: no batch adds a row, as in its SQL."""
+    m = np.random.default_rng(8).normal(size=(10, 6)).round(3).tolist()
+    data = [(i, m[i // 4 % 10], i % 3) for i in range(80)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["j13_c8_build"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.execute(registry.oracle_sql()["j13_c8_build"])
+    assert (got.columns, got.collect()) == ([c[0] for c in want.description], want.fetchall()) == (["id", "name"], [])
+
+
 def test_history_rows_keep_turns_whole(spark):
     say = ["system:S", "user:U", "assistant:list", "tool:tools", "assistant:a2", "tool:r2", "user:more", "assistant:a3", "assistant:a4", "tool:r4", "assistant:a5", "assistant:a6"]
     data = [(1, i, *x.split(":")) for i, x in enumerate(say)] + [(2, 0, "assistant", "hello"), (2, 1, "user", "late"), (2, 2, "assistant", "bye"), (3, 0, "user", "alone")]
